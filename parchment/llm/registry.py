@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import licenses, mixing, url_filters
+from parchment.llm import licenses, mixing, near_dedup, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op6_mix": mixing.op6_mix,
         "op8_url_filters": url_filters.op8_url_filters,
         "op10_licenses": licenses.op10_licenses,
