@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import licenses, mixing, near_dedup, url_filters
+from parchment.llm import ann, embedding_dedup, licenses, mixing, near_dedup, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op6_mix": mixing.op6_mix,
+        "op7_ann": ann.op7_ann,
         "op8_url_filters": url_filters.op8_url_filters,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_licenses": licenses.op10_licenses,
     }
 
