@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import ann, embedding_dedup, licenses, mixing, near_dedup, toxicity, url_filters
+from parchment.llm import ann, embedding_dedup, licenses, mixing, near_dedup, quality, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_quality": quality.op5_quality,
         "op6_mix": mixing.op6_mix,
         "op7_ann": ann.op7_ann,
         "op8_url_filters": url_filters.op8_url_filters,
