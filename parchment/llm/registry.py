@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import ann, embedding_dedup, licenses, mixing, near_dedup, quality, toxicity, url_filters
+from parchment.llm import ann, embedding_dedup, licenses, mixing, near_dedup, quality, sentencepiece_codec, token_counts, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality": quality.op5_quality,
         "op6_mix": mixing.op6_mix,
