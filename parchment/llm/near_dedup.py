@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("last > pivot").drop("last")
     star = materialise(banded.join(buckets, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    texts = base.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+    # the nodes grow with the corpus, so this join is a merge at every size
+    texts = base.withColumnRenamed("doc_id", "node").join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
     known = materialise(texts.mapInArrow(_items, "node long, items binary").join(classes.groupBy("node").agg(F.first("bands").alias("bands")), "node"))
     side = known.select("node", "items")
     pairs = star.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b").select("a", "b", "x", "y")
