@@ -25,14 +25,14 @@ from parchment.llm.common import materialise, read
 from parchment.llm.vectors import matrix, usable
 
 K = 10
-PROJECTIONS = 64
+PROJECTIONS = 48
 #: Half of a window's width, as a multiple of the search radius.
 WIDTH = 1.0
 #: Probability that a vector within the radius stays below the threshold.
-MISS = 0.03
+MISS = 0.1
 #: Factor between search radii, and the first one as a share of the block's typical distance.
-GROWTH, FIRST = 1.2, 0.05
-BLOCK_ROWS, CHUNK_ROWS = 4096, 256
+GROWTH, FIRST = 1.3, 0.05
+BLOCK_ROWS, CHUNK_ROWS = 8192, 256
 
 
 def threshold(m: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS) -> int:
@@ -49,26 +49,25 @@ class Index:
         self.axes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], m))
         on = vectors @ self.axes
         order = np.argsort(on, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T).astype(np.int64)
+        self.order = np.ascontiguousarray(order.T).astype(np.int32)
         self.values = np.ascontiguousarray(np.take_along_axis(on, order, axis=0).T)
         self.scale = sqrt(2 * max(float(vectors.var(axis=0).sum()), 1e-300))
 
     def nearest(self, query: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, the query's own id left out; ties go to the smaller id."""
         n, need = len(self.ids), threshold(self.m)
-        at, base = vector @ self.axes, np.arange(self.m) * n
+        at = vector @ self.axes
         left = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at, strict=True)])
         right, count, done = left.copy(), np.zeros(n, np.int64), self.ids == query
         found, distance = np.zeros(0, np.int64), np.zeros(0)
-        radius, flat = self.scale * FIRST, self.order.ravel()
+        radius = self.scale * FIRST
         while True:
             low = np.array([np.searchsorted(v, x, "left") for v, x in zip(self.values, at - WIDTH * radius, strict=True)])
             high = np.array([np.searchsorted(v, x, "right") for v, x in zip(self.values, at + WIDTH * radius, strict=True)])
             low, high = np.minimum(low, left), np.maximum(high, right)
-            begin, size = np.concatenate([base + low, base + right]), np.concatenate([left - low, high - right])
-            if total := int(size.sum()):
-                steps = np.arange(total) + np.repeat(begin - np.cumsum(size) + size, size)
-                count += np.bincount(flat[steps], minlength=n)
+            fresh = [o[a:b] for o, a, b in zip(self.order, low, left, strict=True) if a < b] + [o[a:b] for o, a, b in zip(self.order, right, high, strict=True) if a < b]
+            if fresh:
+                count += np.bincount(np.concatenate(fresh), minlength=n)
             left, right = low, high
             full = bool((left == 0).all() and (right == n).all())
             new = np.flatnonzero(~done if full else (count >= need) & ~done)
