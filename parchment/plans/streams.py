@@ -1 +1,78 @@
-"""Filled below."""
+"""Stateful behaviour over the events table, as streams where state is needed."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from parchment.plans.catalog import query, table
+from parchment.streaming import jobs as J
+
+
+def _stream(s, d, shape):
+    """A table as a stream that ends: every row is read once, in one batch after another."""
+    path = f"{d}/events.parquet"
+    schema = s.read.parquet(path).schema
+    return shape(s.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path if not path.endswith(".parquet") else d + "/event[s].parquet"))
+
+
+def _finished(s, stream, name: str):
+    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder.rstrip('/')}/stream-{name}-{id(stream)}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name)
+
+
+EVENTS = ("start", "run", "commit", "succeed", "cancel", "fail")
+
+
+@query("ts1_job_phases")
+def ts1(s, d):
+    kind = F.element_at(F.array(*[F.lit(e) for e in EVENTS]), (F.col("event_id") % 6 + 1).cast("int"))
+    events = _stream(s, d, lambda t: t.select(F.col("user_id").cast("long").alias("job"), F.col("event_id").cast("long").alias("event_id"), kind.alias("event")))
+    return _finished(s, J.job_phases(events), "ts1_job_phases")
+
+
+@query("ts4_save_coalescing")
+def ts4(s, d):
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = F.when(F.col("event_id") % 3 == 0, "done").otherwise("save")
+    events = _stream(s, d, lambda t: t.select(F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("event_id"), kind.alias("event")))
+    return _finished(s, J.save_actions(events), "ts4_save_coalescing")
+
+
+@query("ts2_one_job_at_a_time", "WITH e AS (SELECT event_id, user_id, event_id % 6 AS k, lag(event_id % 6) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT event_id, k = 0 AND p = 0 AS busy FROM e")
+def ts2(s, d):
+    from pyspark.sql import Window
+
+    e = table(s, d, "events", "event_id", "user_id").withColumn("k", F.col("event_id") % 6)
+    before = F.lag("k").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return e.select("event_id", ((F.col("k") == 0) & (before == 0)).alias("busy"))
+
+
+@query("ts3_stale_epoch", "SELECT event_id, event_id % 7 < max(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS stale FROM events")
+def ts3(s, d):
+    e = table(s, d, "events", "event_id", "user_id").withColumn("epoch", F.col("event_id") % 7)
+    return J.stale(e, "user_id", "event_id", "epoch").select("event_id", "stale")
+
+
+@query("ts5_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM i GROUP BY user_id, burst")
+def ts5(s, d):
+    e = table(s, d, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    return J.debounced(e, "user_id", "ts", "1 hour").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+@query("ts6_external_change", "WITH l AS (SELECT conv_id, turn, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN p IS NULL ELSE true END AS accepted FROM l")
+def ts6(s, d):
+    from pyspark.sql import Window
+
+    c = table(s, d, "conversations")
+    before = F.lag(F.sha2("text", 256)).over(Window.partitionBy("conv_id").orderBy("turn"))
+    writes = c.withColumn("seen", F.when(F.col("turn") % 3 == 0, F.lit(None)).otherwise(before))
+    return J.accepted_writes(writes, "conv_id", "turn", "seen", "text").select("conv_id", "turn", "accepted")
+
+
+@query("ts7_open_once", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def ts7(s, d):
+    return table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))

@@ -33,6 +33,8 @@ INLINE_HTML = re.compile(r"<(?:!--.*?-->|/?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:]
 AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)+)>")
 BARE = re.compile(r"(?:https?://|www\.)[^\s<]+")
 ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
+MATH = re.compile(r"\$\$(?!\$)([^$]+)\$\$(?!\$)|\$(?![\s\d$])((?:[^$\\\n]|\\.)*?[^\s$\\])\$(?![\d$])", re.S)
+DOLLARS = re.compile(r"\$+")
 PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
 
 
@@ -310,8 +312,13 @@ class Reader:
                 else:
                     plain.append(c)
                     i += 1
-            elif c == "$" and (m := re.compile(r"\$\$(.+?)\$\$|\$(?![\s\d])((?:[^$\\\n]|\\.)+?)(?<![\s\\])\$(?!\d)", re.S).match(text, i)):
-                add({"type": "inline_math", "latex": m[1] or m[2]}, m.end())
+            elif c == "$":
+                if m := MATH.match(text, i):
+                    add({"type": "inline_math", "latex": m[1] or m[2]}, m.end())
+                else:
+                    run = DOLLARS.match(text, i)[0]
+                    plain.append(run)
+                    i += len(run)
             elif c == "[" and (m := re.compile(r"\[\^([^\]\s]+)\]").match(text, i)):
                 add({"type": "footnote_ref", "target_ref": self.note(m[1]), "label": m[1]}, m.end())
             elif c == "[" or (c == "!" and text[i + 1 : i + 2] == "["):
