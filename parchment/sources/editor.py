@@ -140,5 +140,5 @@ def stable(nodes: list[dict]) -> list[dict]:
         for slot in SLOTS:
             if slot in n:
                 n[slot] = stable(merged(n[slot]) if slot in ("content", "caption") else n[slot])
-        out.append(n)
+        out.append({k: v for k, v in n.items() if v != []})
     return out
