@@ -142,13 +142,13 @@ def open_container(data: bytes) -> Container:
     return Container(header if right else None, archive, warnings, {}, data)
 
 
-def pack(entries: list[tuple[str, bytes]], name: str = "PARCHM", header: Header | None = None) -> bytes:
-    """Header and archive; the manifest first and stored, everything else deflated, all with the same time."""
+def pack(entries: list[tuple[str, bytes]], name: str = "PARCHM", header: Header | None = None, deflate: bool = True) -> bytes:
+    """Header and archive; the manifest first and stored, everything else deflated unless told otherwise, all with the same time."""
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         for n, payload in sorted(entries, key=lambda e: e[0] != "manifest.json"):
             info = zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0))
-            info.compress_type = zipfile.ZIP_STORED if n == "manifest.json" else zipfile.ZIP_DEFLATED
+            info.compress_type = zipfile.ZIP_DEFLATED if deflate and n != "manifest.json" else zipfile.ZIP_STORED
             z.writestr(info, payload)
     return (header or Header(name)).to_bytes() + held.getvalue()
 
@@ -234,11 +234,11 @@ def recovered(files: DataFrame, doc_id: str = "doc_id", content: str = "content"
     return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, "doc_id long, name string, mode string, ok boolean, bytes binary, reason string")
 
 
-def packed(table: DataFrame, name: str = "PARCHM") -> DataFrame:
+def packed(table: DataFrame, name: str = "PARCHM", deflate: bool = True) -> DataFrame:
     """doc_id and content: the entries (doc_id, name, bytes) of each document as a container."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = pack([(n, bytes(b)) for n, b in sorted(zip(pdf["name"], pdf["bytes"], strict=True))], name)
+        made = pack([(n, bytes(b)) for n, b in sorted(zip(pdf["name"], pdf["bytes"], strict=True))], name, deflate=deflate)
         return pd.DataFrame([(pdf["doc_id"].iloc[0], made)], columns=["doc_id", "content"])
 
     return table.groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
