@@ -81,7 +81,7 @@ class Chunk:
         _, back, piece = v.forward(self.part[: self.first], entry)
         out = v.emitted(self.part, v.trace(back, piece, self.first)[1])
         for w in self._words():
-            out += v.encode_word(w)
+            out += np.frombuffer(v.encode_word(w), np.int32).tolist()
         tail = self.part[self.last :]
         _, back, piece = v.forward(tail, None, self.size - self.last)
         return out + v.emitted(tail, v.trace(back, piece, self.size - self.last + leaving)[1])
@@ -115,10 +115,14 @@ def joined(parts: list[list[int]], vocab: Vocabulary) -> list[int]:
     return out
 
 
-def _ints(lists: list[list[int]]) -> pa.Array:
-    sizes = np.cumsum([0, *map(len, lists)])
-    flat = np.fromiter((x for row in lists for x in row), dtype=np.int32, count=int(sizes[-1]))
-    return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(flat))
+def _ints(coded: list[bytes]) -> pa.Array:
+    """Lists of ids from their bytes."""
+    sizes = np.cumsum([0, *map(len, coded)]) // 4
+    return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
 def _split(chunk: int, reach: int):
@@ -139,9 +143,9 @@ def _scan(giants: DataFrame, vocab: Vocabulary, chunk: int) -> DataFrame:
     chunks = materialise(giants.mapInArrow(_split(chunk, states - 1), "uid long, at int, part string, size int"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.prepare()
+        own = vocab.prepare()
         for b in batches:
-            m = [Chunk(vocab, p, n).matrix(states).tobytes() for p, n in zip(b["part"].to_pylist(), b["size"].to_pylist(), strict=True)]
+            m = [Chunk(own, p, n).matrix(states).tobytes() for p, n in zip(b["part"].to_pylist(), b["size"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["uid"], b["at"], pa.array(m, pa.binary())], ["uid", "at", "matrix"])
 
     def prefix(table: pa.Table) -> pa.Table:
@@ -150,9 +154,9 @@ def _scan(giants: DataFrame, vocab: Vocabulary, chunk: int) -> DataFrame:
         return pa.table({"uid": table["uid"], "at": table["at"], "entry": [e.tolist() for e in found]})
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.prepare()
+        own = vocab.prepare()
         for b in batches:
-            m = [Chunk(vocab, r["part"], r["size"]).entry_of(r["entry"], states) for r in b.to_pylist()]
+            m = [Chunk(own, r["part"], r["size"]).entry_of(r["entry"], states) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b["uid"], b["at"], pa.array(m, pa.list_(pa.int32()))], ["uid", "at", "map"])
 
     def suffix(table: pa.Table) -> pa.Table:
@@ -160,15 +164,15 @@ def _scan(giants: DataFrame, vocab: Vocabulary, chunk: int) -> DataFrame:
         return pa.table({"uid": table["uid"], "at": table["at"], "leaving": pa.array(leavings(table["map"].to_pylist()), pa.int32())})
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.prepare()
+        own = vocab.prepare()
         for b in batches:
-            ids = [Chunk(vocab, r["part"], r["size"]).ids(r["entry"], r["leaving"]) for r in b.to_pylist()]
+            ids = [_packed(Chunk(own, r["part"], r["size"]).ids(r["entry"], r["leaving"])) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b["uid"], b["at"], _ints(ids)], ["uid", "at", "ids"])
 
     def together(table: pa.Table) -> pa.Table:
-        vocab.prepare()
+        own = vocab.prepare()
         table = table.sort_by("at")
-        return pa.table({"uid": table["uid"][:1], "ids": _ints([joined(table["ids"].to_pylist(), vocab)])})
+        return pa.table({"uid": table["uid"][:1], "ids": _ints([_packed(joined(table["ids"].to_pylist(), own))])})
 
     entry = chunks.mapInArrow(matrices, "uid long, at int, matrix binary").groupBy("uid").applyInArrow(prefix, "uid long, at int, entry array<double>")
     entered = materialise(chunks.join(entry, ["uid", "at"]))
@@ -190,23 +194,23 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, doc_id: str
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     extra = ", n_pieces int, round_trip boolean" if check else ""
 
-    def out(doc_ids: pa.Array, texts: list[str | None], ids: list[list[int]], coded: pa.Array) -> pa.RecordBatch:
+    def out(own: Vocabulary, doc_ids: pa.Array, texts: list[str | None], coded: pa.Array) -> pa.RecordBatch:
         if not check:
             return pa.RecordBatch.from_arrays([doc_ids, coded], ["doc_id", "ids"])
-        same = [vocab.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-        return pa.RecordBatch.from_arrays([doc_ids, coded, pa.array([len(i) for i in ids], pa.int32()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
+        flat, edges = np.asarray(coded.values), np.asarray(coded.offsets)
+        same = [own.decode_bytes(flat[a:b]) == (" " + t if t else "").encode() for a, b, t in zip(edges[:-1], edges[1:], texts, strict=True)]
+        return pa.RecordBatch.from_arrays([doc_ids, coded, pa.array(np.diff(edges).astype(np.int32)), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.prepare()
+        own = vocab.prepare()
         for b in batches:
             texts = b["text"].to_pylist()
-            ids = [vocab.encode(t) for t in texts]
-            yield out(b["doc_id"], texts, ids, _ints(ids))
+            yield out(own, b["doc_id"], texts, _ints([own.encode(t) for t in texts]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.prepare()
+        own = vocab.prepare()
         for b in batches:
-            yield out(b["doc_id"], b["text"].to_pylist() if check else [], b["ids"].to_pylist() if check else [], b["ids"])
+            yield out(own, b["doc_id"], b["text"].to_pylist() if check else [], b["ids"])
 
     short = base.where(~giant).mapInArrow(whole, f"doc_id long, ids array<int>{extra}")
     giants = materialise(base.where(giant).withColumn("uid", F.monotonically_increasing_id()))
@@ -221,9 +225,9 @@ def decode(coded: DataFrame, model: str = MODEL, doc_id: str = "doc_id", ids: st
     vocab = vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(vocab.table)
+        n, own = len(vocab.table), vocab.prepare()
         for b in batches:
-            texts = [None if row is None else vocab.decode([i for i in row if i is not None and 0 <= i < n]) for row in b["ids"].to_pylist()]
+            texts = [None if row is None else own.decode([i for i in row if i is not None and 0 <= i < n]) for row in b["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return coded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -22,9 +22,9 @@ def token_counts(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", te
     vocab = vocabulary(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.prepare()
+        own = vocab.prepare()
         for batch in batches:
-            counts = [vocab.count(t.as_py()) for t in batch["text"]]
+            counts = [own.count(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -11,11 +11,13 @@ before each word and a word can be segmented by itself. Scores are added in doub
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 
 #: Pieces of a public vocabulary; the path is a parameter of every operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -70,15 +72,21 @@ def pieces(path: str) -> list[tuple[str, float, int]]:
 @dataclass
 class Vocabulary:
     table: list[tuple[str, float, int]]
-    _ready: bool = field(default=False, repr=False)
+    key: str = field(default="", repr=False)
+
+    def __post_init__(self) -> None:
+        self.key = hashlib.md5(repr(self.table).encode()).hexdigest()
 
     def __getstate__(self) -> dict:
-        return {"table": self.table, "_ready": False}
+        return {"table": self.table, "key": self.key}
 
     def prepare(self) -> Vocabulary:
-        """The automaton and lookups, made once by each worker."""
-        if self._ready:
-            return self
+        """This vocabulary with automaton and lookups, made once by each worker process."""
+        if self.key in _PREPARED:
+            return _PREPARED[self.key]
+        if len(_PREPARED) > 2:
+            _PREPARED.clear()
+        _PREPARED[self.key] = self
         self.automaton, self.single, self.byte, self.unknown, self.longest = ahocorasick.Automaton(), set(), {}, None, 1
         least = 0.0
         for i, (piece, score, kind) in enumerate(self.table):
@@ -97,7 +105,7 @@ class Vocabulary:
         self.penalty = least - PENALTY
         self.bytewise = len(self.byte) == 256
         self.automaton.make_automaton()
-        self.counts, self.ids, self._ready = {}, {}, True
+        self.counts, self.ids = {}, {}
         return self
 
     def forward(self, word: str, entry: list[float] | None = None, stop: int | None = None) -> tuple[list[float], list[int], list[int]]:
@@ -163,13 +171,14 @@ class Vocabulary:
     def score_word(self, word: str) -> float:
         return self.forward(word.replace(" ", BLANK))[0][-1]
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a word as 32-bit integers."""
         found = self.ids.get(word)
         if found is None:
             if len(self.ids) >= REMEMBERED:
                 self.ids.clear()
             marked = word.replace(" ", BLANK)
-            found = tuple(self.emitted(marked, self.path(marked)))
+            found = np.array(self.emitted(marked, self.path(marked)), np.int32).tobytes()
             if len(word) < 64:
                 self.ids[word] = found
         return found
@@ -214,21 +223,42 @@ class Vocabulary:
         if not text:
             return 0
         known, slow = self.counts, self.count_word
-        return sum(c if (c := known.get(w)) is not None else slow(w) for w in WORDS.findall(" " + text))
+        return sum(c if (c := known.get(w)) is not None else slow(w) for w in words(text))
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers."""
         if not text:
-            return []
-        known, slow, out = self.ids, self.encode_word, []
-        for w in WORDS.findall(" " + text):
-            out += known.get(w) or slow(w)
-        return out
+            return b""
+        known, slow = self.ids, self.encode_word
+        return b"".join([known.get(w) or slow(w) for w in words(text)])
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, bytes decoded, the leading blank taken off."""
-        if not hasattr(self, "bytes_of"):
-            self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(BLANK, " ").encode() for p, _, k in self.table]
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")[1:]
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of all pieces, the leading blank included."""
+        if not hasattr(self, "spelled"):
+            own = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(BLANK, " ").encode() for p, _, k in self.table]
+            sizes = np.array([len(x) for x in own])
+            self.spelled = np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes, sizes
+        data, start, size = self.spelled
+        size = size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(start[ids] - ends + size, size)
+        at += np.arange(len(at))
+        return data[at].tobytes()
+
+
+def words(text: str) -> list[str]:
+    """Words of a text, each with the blanks before it; the first has the leading blank that every text gets."""
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return WORDS.findall(" " + text)
+    return (" " + text.replace(" ", "\x00 ")).split("\x00") if "\x00" not in text else WORDS.findall(" " + text)
+
+
+#: Vocabularies that this process has prepared: tasks that share a worker share what it remembers.
+_PREPARED: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str = MODEL) -> Vocabulary:
