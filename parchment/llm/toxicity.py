@@ -23,12 +23,14 @@ from parchment.llm.common import read, small_batches
 from parchment.llm.logistic import Logistic
 
 #: Labelled rows of each class that are learnt from at most, and the longest text among them.
-SAMPLE, SAMPLE_CHARS = 4000, 50_000
+SAMPLE, SAMPLE_CHARS = 3000, 50_000
 GRAM = 5
 #: Codes of a window, and from the start of one to the next.
 WINDOW, STEP = 128, 112
 #: Bytes of the two dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 32768
+#: Windows of ordinary text that its dictionary is trained on.
+ORDINARY_WINDOWS = 20_000
 #: A code is toxic if so many toxic documents hold it, and if it is so many times as frequent in toxic text as in ordinary text.
 SEEN, RATIO = 3, 8.0
 #: Bytes saved in a window from which the saving counts as high.
@@ -97,6 +99,23 @@ class Model:
         return self.threshold(np.array([self.features(t or "") for t in texts]).reshape(len(texts), 5))
 
 
+def _counted(texts: list[str], toxic: np.ndarray, at_a_time: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes of texts, how often ordinary and toxic ones hold each, and how many toxic ones do.
+
+    Texts are counted a few hundred at a time, and the counts merged, so that only distinct codes are held.
+    """
+    values, counts = np.zeros(0, np.uint32), np.zeros((3, 0))
+    for a in range(0, len(texts), at_a_time):
+        found = [np.unique(codes(t), return_counts=True) for t in texts[a : a + at_a_time]]
+        owner = np.repeat(toxic[a : a + at_a_time], [len(v) for v, _ in found])
+        times = np.concatenate([n for _, n in found]).astype(float)
+        rows = np.stack([np.where(owner, 0, times), np.where(owner, times, 0), owner.astype(float)])
+        values, inverse = np.unique(np.concatenate([values, *[v for v, _ in found]]), return_inverse=True)
+        rows = np.concatenate([counts, rows], axis=1)
+        counts = np.stack([np.bincount(inverse, r, minlength=len(values)) for r in rows])
+    return values, counts[:2], counts[2]
+
+
 def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Dictionaries from two thirds of the texts, in the order given, and the threshold from the rest.
 
@@ -105,26 +124,26 @@ def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.
     toxic = np.asarray(toxic, bool)
     if toxic.sum() < SEEN or (~toxic).sum() < SEEN:
         return Model()
-    coded = [codes(t) for t in texts]
     build = np.arange(len(texts)) % 3 != 2
-    held, times = zip(*(np.unique(coded[i], return_counts=True) for i in np.flatnonzero(build)), strict=True)
-    owner = np.repeat(toxic[build], [len(h) for h in held])
-    values, inverse = np.unique(np.concatenate(held), return_inverse=True)
-    times = np.concatenate(times)
-    often = [np.bincount(inverse[owner == kind], times[owner == kind], minlength=len(values)) for kind in (False, True)]
-    docs = np.bincount(inverse[owner], minlength=len(values))
+    values, often, docs = _counted([texts[i] for i in np.flatnonzero(build)], toxic[build])
     marked = values[(docs >= SEEN) & (often[1] / max(1, often[1].sum()) >= RATIO * (often[0] + 1) / max(1, often[0].sum()))]
     passages: dict[bytes, int] = {}
     for i in np.flatnonzero(toxic & build):
-        inside = np.isin(coded[i], marked)
+        coded = codes(texts[i])
+        inside = np.isin(coded, marked)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
-            passage = coded[i][a:b].tobytes()
+            passage = coded[a:b].tobytes()
             passages[passage] = passages.get(passage, 0) + 1
     kept = sorted((p for p, n in passages.items() if n > 1), key=lambda p: (passages[p], p))
     if not kept:
         return Model()
-    plain = [coded[i][a : a + WINDOW].tobytes() for i in np.flatnonzero(~toxic & build) for a in range(0, len(coded[i]), WINDOW)][:40_000]
+    plain: list[bytes] = []
+    for i in np.flatnonzero(~toxic & build):
+        coded = codes(texts[i])
+        plain.extend(coded[a : a + WINDOW].tobytes() for a in range(0, len(coded), WINDOW))
+        if len(plain) >= ORDINARY_WINDOWS:
+            break
     try:
         ordinary = zs.train_dictionary(ORDINARY_BYTES, plain).as_bytes()
     except zs.ZstdError:  # too few samples to train on
