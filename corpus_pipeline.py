@@ -40,9 +40,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents of null id are taken as often as the most taken of them."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies.where("_copies > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("copies").alias("__mixed_copies"))
+    taken = docs.join(copies.where("__mixed_copies > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__mixed_id")))
+    return taken.withColumn("__mixed_copy", F.explode(F.sequence(F.lit(1), F.col("__mixed_copies")))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

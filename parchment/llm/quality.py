@@ -77,7 +77,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Means, inverse Cholesky factors and log-determinants of class 0 and 1, and the calibration; none: every score is prior."""
+    """Means, inverse Cholesky factors and log-determinants of class 0 and 1, and the calibration; without them every score is the share of good labels, 1 if there are none."""
 
     prior: float
     means: list[np.ndarray] | None = None
@@ -106,7 +106,7 @@ def _squashed(d: np.ndarray) -> np.ndarray:
 
 def discriminant(count: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> Model:
     """From each class's number of rows, sums (2 x p) and sums of products (2 x p x p)."""
-    prior = float(count[1] / max(1, count.sum()))
+    prior = float(count[1] / count.sum()) if count.sum() else 1.0
     p = sums.shape[1]
     if min(count) < 2:
         return Model(prior)
@@ -174,7 +174,9 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns; texts do not move."""
+    """The rows of docs that are not rejected, with all their columns; texts do not move. Without a model nothing is rejected."""
+    if model.calibration is None:
+        return docs
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
