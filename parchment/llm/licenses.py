@@ -1,12 +1,17 @@
-"""Licence scans: normalised lines against licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: normalised sentences against licence templates by the Dice coefficient over word bigrams.
 
-SQL functions only. A line's bigrams are counted as a multiset. Two texts of a and b bigrams have a Dice coefficient of
-at most 2 min(a, b) / (a + b), so a template needs to be compared only with lines whose size lies within its bounds; most
-lines fit no template's bounds and are dropped before their bigrams are built.
+SQL functions only. A text is cut into units at line ends and after full stops, exclamation and question marks that white
+space follows. A unit's bigrams are counted as a multiset. Two texts of a and b bigrams have a Dice coefficient of at most
+2 min(a, b) / (a + b), so a template needs to be compared only with units whose size lies within its bounds; units that fit
+no template's bounds are dropped before their bigrams are built. And a unit that reaches the coefficient shares more than
+half of a template's bigrams, so it holds one of any half of them: a unit without any of these is dropped as well.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +31,7 @@ TEMPLATES = {
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "Proprietary": "All rights reserved",
 }
-#: Dice coefficient from which a line is said to carry a licence.
+#: Dice coefficient from which a unit is said to carry a licence.
 DICE = 0.8
 
 
@@ -58,19 +63,30 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return table.select("_licence", bigrams(normalised(F.col("_text"))).alias("_own")).withColumn("_size", F.size("_own"))
 
 
+def _telling(grams: list[str], dice: float) -> list[str]:
+    """Bigrams of a template of which a unit with that coefficient has at least one: it shares dice / (2 - dice) of n at least,
+    so any n - that + 1 of them will do; the longest are the rarest."""
+    n = len(grams)
+    return sorted(grams, key=lambda g: (-len(g), g))[: n - math.ceil(n * dice / (2 - dice) - 1e-9) + 1]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, licences (sorted, distinct), n_lines (lines that carry one), best (largest Dice).
+    """A row for each row of docs: doc_id, licences (sorted, distinct), n_units (units that carry one), best (largest Dice).
 
-    Every line of every text is compared; the units are lines. A null or empty text, and one without such lines, gets an
-    empty list, 0 and 0.0. A line that fits several templates counts for the best, of equal ones for the first by name.
+    Every unit of every text is compared. A null or empty text, and one without such units, gets an empty list, 0 and 0.0.
+    A unit that fits several templates counts for the best, of equal ones for the first by name.
     Repeated rows and rows of null doc_id each get their own result: nothing is grouped by doc_id.
     """
     spark = docs.sparkSession
     rows = template_table(spark, templates).orderBy("_licence").collect()  # the templates given, no data
-    low, high = min(r._size for r in rows) * dice / (2 - dice), max(r._size for r in rows) * (2 - dice) / dice
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r]"), lambda s: F.length(s) > 0)
-    # a bound on words is cheap to take before a line is normalised: words hold no blank, and bigrams are one fewer
-    near = F.transform(F.filter(lines, lambda s: F.size(F.split(s, r"[^\p{L}\p{N}]+", int(high) + 5)) <= int(high) + 4), normalised)
+    high = max(r._size for r in rows) * (2 - dice) / dice
+    shortest = min(min(len(g.split("\t")[0]) for g in r._own) for r in rows)
+    marks = "|".join(sorted({re.escape(x) for r in rows for x in _telling([g.split("\t")[0] for g in r._own], dice)}))
+    units = F.split(F.coalesce(F.col(text), F.lit("")), r"[\n\r]+|(?<=[.!?])[ \t]+")
+    # a bound on length is cheap to take before a unit is normalised: a word has at least one character and a blank
+    words = int(high) + 1
+    near = F.transform(F.filter(units, lambda u: (F.length(u) >= shortest) & (F.size(F.split(u, r"[^\p{L}\p{N}]+", words + 4)) <= words + 3)), normalised)
+    near = F.filter(near, lambda u: u.rlike(f"(^| )({marks})( |$)"))
 
     def compared(found: Column) -> Column:
         def of(own: list[str]) -> Column:
@@ -82,16 +98,45 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     def best(s: Column) -> Column:
         return let(bigrams(s), compared)
 
-    hits = F.filter(F.transform(F.filter(near, lambda s: s != ""), best), lambda h: h["dice"] >= dice)
+    hits = F.filter(F.transform(near, best), lambda h: h["dice"] >= dice)
     out = docs.select(F.col(doc_id).alias("doc_id"), hits.alias("_hits"))
     return out.select(
         "doc_id",
         F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["licence"]))).alias("licences"),
-        F.size("_hits").alias("n_lines"),
+        F.size("_hits").alias("n_units"),
         F.coalesce(F.array_max(F.transform("_hits", lambda h: h["dice"])), F.lit(0.0)).alias("best"),
     )
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_lines", F.round("best", 6).alias("best"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_units", F.round("best", 6).alias("best"))
+
+
+_SQL_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
+
+
+def _sql_grams(words: str) -> str:
+    pairs = f"list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])"
+    return f"CASE WHEN len({words}) > 1 THEN {pairs} ELSE {words} END"
+
+
+def _sql_normal(text: str) -> str:
+    return rf"trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+_SQL_NUMBERED = "list_transform(g, lambda x, i: x || chr(9) || len(list_filter(g[1:i], lambda y: y = x)))"
+ORACLE = rf"""
+WITH t0(licence, g) AS (SELECT licence, {_sql_grams("w")} FROM (SELECT licence, string_split({_sql_normal("body")}, ' ') AS w FROM (VALUES {_SQL_TEMPLATES}) v(licence, body))),
+t AS (SELECT licence, {_SQL_NUMBERED} AS b FROM t0),
+u AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), '[
+]+', chr(10), 'g'), chr(10))) AS s FROM documents),
+n AS (SELECT doc_id, row_number() OVER () AS u, string_split({_sql_normal("s")}, ' ') AS w FROM u WHERE length(s) < 2000),
+k AS (SELECT doc_id, u, w FROM n WHERE len(w) BETWEEN 1 AND 60 AND w[1] <> ''),
+f0 AS (SELECT doc_id, u, {_sql_grams("w")} AS g FROM k),
+f AS (SELECT doc_id, u, {_SQL_NUMBERED} AS b FROM f0),
+d AS (SELECT doc_id, u, licence, 2.0 * len(list_intersect(f.b, t.b)) / (len(f.b) + len(t.b)) AS dice FROM f, t WHERE len(f.b) BETWEEN len(t.b) / 1.5 - 1 AND len(t.b) * 1.5 + 1),
+h AS (SELECT doc_id, u, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM d WHERE dice >= {DICE} GROUP BY doc_id, u),
+r AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_units, max(dice) AS best FROM h GROUP BY doc_id)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_units, 0) AS n_units, round(coalesce(best, 0.0), 6) AS best FROM documents LEFT JOIN r USING (doc_id)
+"""

@@ -27,4 +27,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filters.ORACLE}
+    return {
+        "op8_url_filters": url_filters.ORACLE,
+        "op9_embedding_dedup": embedding_dedup.ORACLE,
+        "op10_licenses": licenses.ORACLE,
+    }

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parchment.llm import hashing, licenses, mixing, near_dedup, quality, sentencepiece_codec, token_counts, toxicity, unigram, url_filters
+from parchment.llm import hashing, licenses, mixing, near_dedup, quality, registry, sentencepiece_codec, token_counts, toxicity, unigram, url_filters
 from parchment.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -356,10 +356,11 @@ def test_urls(spark):
     assert url_filters.judge(table.limit(0)).count() == 0
 
 
-def test_url_oracle(spark):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracles(spark, name):
     from oracle import compare, connection
 
-    columns, got, names, expected = compare(spark, connection(SMALL), url_filters.op8_url_filters, url_filters.ORACLE, SMALL)
+    columns, got, names, expected = compare(spark, connection(SMALL), registry.queries()[name], registry.oracle_sql()[name], SMALL)
     assert columns == names and got == expected
 
 
@@ -374,18 +375,18 @@ def brute_dice(a, b):
 
 LINES = [
     "Released under the MIT License.", "released UNDER the mit licence", "All rights reserved.", "all rights reserved by us", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0 (the License)",
-    "rights", "", "x y z", "all rights reserved all rights reserved",
+    "rights", "", "x y z", "all rights reserved all rights reserved", "Licensed under CC BY-NC 4.0", "Use of this source code is governed by a BSD style licence that can be found in the LICENSE file",
 ]
 
 
 def test_licences(spark, docs, empty):
-    table = spark.createDataFrame([(i, line) for i, line in enumerate(LINES)] + [(90, "\n".join(LINES)), (91, None), (None, LINES[0]), (92, "word " * 100_000 + "\nAll rights reserved")], "doc_id long, text string")
+    table = spark.createDataFrame([(i, line) for i, line in enumerate(LINES)] + [(90, "\n".join(LINES)), (91, None), (93, "Some words. Released under the MIT License. And more."), (None, LINES[0]), (92, "word " * 100_000 + "\nAll rights reserved")], "doc_id long, text string")
     found = {r.doc_id: r for r in licenses.scan(table).collect()}
     for i, line in enumerate(LINES):
         best = max((brute_dice(line, t), n) for n, t in licenses.TEMPLATES.items())
-        assert (found[i].n_lines == 1) == (best[0] >= licenses.DICE)
+        assert (found[i].n_units == 1) == (best[0] >= licenses.DICE)
         if best[0] >= licenses.DICE:
             assert found[i].best == pytest.approx(best[0]) and found[i].licences == [best[1]]
-    assert found[90].n_lines == sum(found[i].n_lines for i in range(len(LINES)))
-    assert found[91].n_lines == 0 and found[None].n_lines == 1 and found[92].n_lines == 1
+    assert found[90].n_units == sum(found[i].n_units for i in range(len(LINES)))
+    assert found[93].licences == ["MIT"] and found[91].n_units == 0 and found[None].n_units == 1 and found[92].n_units == 1
     assert licenses.scan(docs).count() == len(ROWS) and licenses.scan(empty).count() == 0
