@@ -18,7 +18,7 @@ _SPAN = 1 << 12
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(_SPAN, U(0x100000001B3), dtype=U))
 #: Bytes of text that are hashed at a time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
