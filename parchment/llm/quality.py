@@ -156,8 +156,8 @@ def learn(stats: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -
                 squares[k, i, j] = squares[k, j, i] = r[f"q{i}_{j}"]
     model = discriminant(count, sums, squares)
     if model.means is not None:
-        sample = rows.select("stats", "quality", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(calibration).toPandas()
-        x, y = np.array(sample["stats"].tolist()), sample["quality"].to_numpy()
+        sample = rows.select("stats", "quality", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(calibration).toArrow()
+        x, y = np.array(sample["stats"].to_pylist()).reshape(-1, len(NAMES)), np.array(sample["quality"].to_pylist())
         model.calibration = Logistic.fit(_squashed(model.difference(x)), y, np.ones(len(y)))
     return model
 

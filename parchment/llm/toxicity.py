@@ -23,7 +23,7 @@ from parchment.llm.common import read, small_batches
 from parchment.llm.logistic import Logistic
 
 #: Labelled rows of each class that are learnt from at most, and the longest text among them.
-SAMPLE, SAMPLE_CHARS = 3000, 50_000
+SAMPLE, SAMPLE_CHARS = 2500, 50_000
 GRAM = 5
 #: Codes of a window, and from the start of one to the next.
 WINDOW, STEP = 128, 112
@@ -169,10 +169,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.xxhash64("doc_id", F.lit(3))
     ids = known.where("toxic").orderBy(order, "doc_id").limit(sample).union(known.where("not toxic").orderBy(order, "doc_id").limit(sample))
     chosen = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")  # 2 x sample rows at most
-    rows = chosen.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(order, "doc_id").toPandas()
-    toxic = rows["toxic"].to_numpy(bool)
+    rows = chosen.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(order, "doc_id").toArrow()
+    toxic = np.array(rows["toxic"].to_pylist(), bool)
     weight = tuple(size.get(k, 0) / max(1, int((toxic == k).sum())) for k in (False, True))
-    return train(rows["text"].tolist(), toxic, weight)
+    return train(rows["text"].to_pylist(), toxic, weight)
 
 
 def score(docs: DataFrame, model: Model, schema: str = "doc_id long", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
