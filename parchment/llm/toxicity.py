@@ -4,8 +4,8 @@ Text is lower-cased, its blanks are folded, and each byte position becomes a fou
 there. In codes a match means at least five equal bytes, so zstandard sees word stems and not chance letters. A document
 is cut into overlapping windows of codes, and each window is compressed twice: with a dictionary trained on ordinary text,
 and with one that holds the same and, nearest to the window, passages of toxic text. The difference in length is what the
-toxic dictionary saves. Dictionaries are trained on part of the labelled sample, and the threshold is calibrated by logistic
-regression on the rest.
+toxic dictionary saves. The threshold is calibrated by logistic regression on features that each labelled text gets from
+dictionaries trained without it.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ ORDINARY_WINDOWS = 20_000
 SEEN, RATIO = 3, 8.0
 #: Bytes saved in a window from which the saving counts as high.
 HIGH = 12
+#: Parts of the labelled sample for calibration.
+FOLDS = 3
 #: Code points that are coded at a time.
 PART = 1 << 20
 U = np.uint64
@@ -116,19 +118,14 @@ def _counted(texts: list[str], toxic: np.ndarray, at_a_time: int = 256) -> tuple
     return values, counts[:2], counts[2]
 
 
-def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Dictionaries from two thirds of the texts, in the order given, and the threshold from the rest.
-
-    weight: how many rows an ordinary and a toxic example stand for.
-    """
-    toxic = np.asarray(toxic, bool)
+def dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | None:
+    """The ordinary and the toxic dictionary; none if no toxic passage comes up more than once."""
     if toxic.sum() < SEEN or (~toxic).sum() < SEEN:
-        return Model()
-    build = np.arange(len(texts)) % 3 != 2
-    values, often, docs = _counted([texts[i] for i in np.flatnonzero(build)], toxic[build])
+        return None
+    values, often, docs = _counted(texts, toxic)
     marked = values[(docs >= SEEN) & (often[1] / max(1, often[1].sum()) >= RATIO * (often[0] + 1) / max(1, often[0].sum()))]
     passages: dict[bytes, int] = {}
-    for i in np.flatnonzero(toxic & build):
+    for i in np.flatnonzero(toxic):
         coded = codes(texts[i])
         inside = np.isin(coded, marked)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
@@ -137,9 +134,9 @@ def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.
             passages[passage] = passages.get(passage, 0) + 1
     kept = sorted((p for p, n in passages.items() if n > 1), key=lambda p: (passages[p], p))
     if not kept:
-        return Model()
+        return None
     plain: list[bytes] = []
-    for i in np.flatnonzero(~toxic & build):
+    for i in np.flatnonzero(~toxic):
         coded = codes(texts[i])
         plain.extend(coded[a : a + WINDOW].tobytes() for a in range(0, len(coded), WINDOW))
         if len(plain) >= ORDINARY_WINDOWS:
@@ -148,11 +145,27 @@ def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.
         ordinary = zs.train_dictionary(ORDINARY_BYTES, plain).as_bytes()
     except zs.ZstdError:  # too few samples to train on
         ordinary = b"".join(plain)[-ORDINARY_BYTES:]
-    model = Model(ordinary, b"".join(kept)[-TOXIC_BYTES:])
-    rest = np.flatnonzero(~build)
-    x = np.array([model.features(texts[i]) for i in rest])
-    model.threshold = Logistic.fit(x, toxic[rest], np.where(toxic[rest], weight[1], weight[0]))
-    return model
+    return ordinary, b"".join(kept)[-TOXIC_BYTES:]
+
+
+def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Dictionaries from all texts, and a threshold from features that each text gets from dictionaries without it.
+
+    The texts are dealt into FOLDS parts by position. weight: how many rows an ordinary and a toxic example stand for.
+    """
+    toxic = np.asarray(toxic, bool)
+    whole = dictionaries(texts, toxic)
+    fold, x, y = np.arange(len(texts)) % FOLDS, [], []
+    for f in range(FOLDS if whole else 0):
+        own = dictionaries([t for t, k in zip(texts, fold, strict=True) if k != f], toxic[fold != f])
+        if own:
+            part = Model(*own)
+            x.extend(part.features(texts[i]) for i in np.flatnonzero(fold == f))
+            y.extend(toxic[fold == f])
+    if not any(y):
+        return Model()
+    y = np.array(y)
+    return Model(*whole, Logistic.fit(np.array(x), y, np.where(y, weight[1], weight[0])))
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
