@@ -199,7 +199,8 @@ def _rest(star: DataFrame, links: DataFrame, known: DataFrame, similarity: float
     theirs = F.transform(F.filter(every, lambda i: i < F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
     big = F.transform(every, lambda i: F.struct(i.alias("i"), (F.col("n_few") + F.col("block")).alias("j"), F.lit(False).alias("left")))
     dealt = placed.withColumn("at", F.explode(F.when(F.col("few"), F.concat(mine, theirs)).otherwise(big))).select("group", "at.*", "node", "comp", "bands", "items")
-    return dealt.groupBy("group", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
+    # dealt out anew: the join left a whole group in one partition, which would do for the grouping, but not for a large group
+    return dealt.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
