@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 WORDS = re.compile(" +[^ ]*|[^ ]+")
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NEVER = float("-inf")
 
 
@@ -105,7 +105,7 @@ class Vocabulary:
         self.penalty = least - PENALTY
         self.bytewise = len(self.byte) == 256
         self.automaton.make_automaton()
-        self.counts, self.ids = {}, {}
+        self.counts, self.ids, self.scores = {}, {}, {}
         return self
 
     def forward(self, word: str, entry: list[float] | None = None, stop: int | None = None) -> tuple[list[float], list[int], list[int]]:
@@ -169,7 +169,14 @@ class Vocabulary:
         return self.trace(back, piece, len(word))[1]
 
     def score_word(self, word: str) -> float:
-        return self.forward(word.replace(" ", BLANK))[0][-1]
+        found = self.scores.get(word)
+        if found is None:
+            if len(self.scores) >= REMEMBERED:
+                self.scores.clear()
+            found = self.forward(word.replace(" ", BLANK))[0][-1]
+            if len(word) < 64:
+                self.scores[word] = found
+        return found
 
     def encode_word(self, word: str) -> bytes:
         """Ids of a word as 32-bit integers."""
