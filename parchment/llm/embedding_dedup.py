@@ -1,60 +1,27 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by comparing all vectors of a label, block by block.
 
-Each pass gives a vector a string of random-hyperplane bits and orders the vectors of a label by it, most significant
-bit first; near vectors share a prefix with high probability and so stand close. Each vector is compared with the WINDOW
-vectors after it. The passes are sorted in one job over light rows (no vectors); vectors join in only for the blocks in
-which windows are compared, and a block also gets the first WINDOW rows of the next one.
+Vectors of one label and dimension are dealt into blocks, and every two blocks are compared by one matrix product, so no
+link is lost however loose or dense a group is. The price is a number of products that grows with the square of a label's
+distinct vectors; they spread over tasks evenly, whatever share of the rows a label holds. Labels of one block share tasks.
 
-Equal vectors are one class from the start, so a vector that very many rows repeat fills no window. The verified pairs of
-all passes give components; the links inside a component are then counted by comparing its members block by block, as a
-window shows only part of a dense group. Counts, not pairs, leave a block.
+Equal vectors are one class from the start, so a vector that very many rows repeat is compared once. Two blocks give a count
+of links for each vector and edges that connect what is linked: counts and at most one edge a vector, not pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import discard, materialise, read
+from parchment.llm.common import materialise, read
 from parchment.llm.components import components
 from parchment.llm.vectors import matrix, usable
 
 COSINE = 0.98
-PASSES, BITS, WINDOW = 8, 48, 32
-#: Rows of a block in which windows are compared, and of a block of a component.
-BLOCK = 512
-
-
-def _keys(passes: int, bits: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
-        for batch in batches:
-            sizes = np.asarray(batch["dim"])
-            for dim in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
-                signs = (matrix(part["vector"]) @ planes[dim] >= 0).reshape(part.num_rows, passes, bits)
-                key = signs.astype(np.int64) @ weights
-                for p in range(passes):
-                    n = pa.array(np.full(part.num_rows, p, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([n, part["label"], part["dim"], pa.array(key[:, p]), part["node"]], ["pass", "label", "dim", "key", "node"])
-
-    return run
-
-
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, done = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(done, done + n))], [*batch.schema.names, "part", "at"])
-        done += n
+#: Rows of a block, and of the strip of a block whose products are held at a time.
+BLOCK, STRIP = 2048, 256
 
 
 def _unit(column) -> np.ndarray:
@@ -62,59 +29,55 @@ def _unit(column) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
-def _window(cosine: float, window: int):
-    """A pair for each two groups of a block's vectors that a link joins: enough for the components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rank")
-        node, rank, halo = (table[c].to_numpy() for c in ("node", "rank", "halo"))
-        run_of = np.asarray(table["run"].to_numpy(zero_copy_only=False))
-        vectors = table["vector"].combine_chunks()
-        sizes = np.asarray(vectors.value_lengths())
-        up = list(range(len(node)))
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        a, b = [], []
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            unit, order, same, edge = _unit(vectors.take(pa.array(at))), rank[at], run_of[at], halo[at]
-            for step in range(1, min(window, len(at) - 1) + 1):
-                near = (same[step:] == same[:-step]) & ~edge[:-step] & (order[step:] - order[:-step] <= window)
-                near &= np.einsum("ij,ij->i", unit[step:], unit[:-step]) >= cosine
-                for i in np.flatnonzero(near):
-                    x, y = find(at[i]), find(at[i + step])
-                    if x != y:
-                        up[x] = y
-                        a.append(int(node[at[i]]))
-                        b.append(int(node[at[i + step]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _count(cosine: float):
-    """Of two blocks of a component, or of one block with whole small components: how many vectors each one links with."""
+def _forest(links: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges (row, column) that connect all that links, a matrix of row by column, connects."""
+    rows, columns = np.ones(links.shape[0], bool), np.ones(links.shape[1], bool)
+    a, b = [], []
+    for start in np.flatnonzero(links.any(axis=1)):
+        todo = [start] if rows[start] else []
+        rows[start] = False
+        while todo:
+            x = todo.pop()
+            for y in np.flatnonzero(links[x] & columns):
+                columns[y] = False
+                a.append(x)
+                b.append(y)
+                more = np.flatnonzero(links[:, y] & rows)
+                rows[more] = False
+                a.extend(more)
+                b.extend([y] * len(more))
+                todo.extend(more)
+    return a, b
+
+
+def _compare(cosine: float):
+    """Of two blocks of a label, or of one block with whole small labels: node and how many vectors it links with (n), and edges."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, copies, left, right = (table[c].to_numpy() for c in ("node", "component", "copies", "left", "right"))
+        node, copies, left, right = (table[c].to_numpy() for c in ("node", "copies", "left", "right"))
+        of = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
         unit = _unit(table["vector"])
         one = bool((left & right).all())
         x, y = np.flatnonzero(left), np.flatnonzero(right)
-        links = (unit[x] @ unit[y].T >= cosine) & (comp[x][:, None] == comp[y][None, :])
+        links = np.empty((len(x), len(y)), bool)
+        for k in range(0, len(x), STRIP):
+            at = x[k : k + STRIP]
+            links[k : k + STRIP] = (unit[at] @ unit[y].T >= cosine) & (of[at][:, None] == of[y][None, :])
         if one:
             np.fill_diagonal(links, False)
-            return pa.table({"node": node[x], "n": links @ copies[y]})
-        return pa.table({"node": np.concatenate([node[x], node[y]]), "n": np.concatenate([links @ copies[y], links.T @ copies[x]])})
+        n = links @ copies[y]
+        ids, counts = (node[x], n) if one else (np.concatenate([node[x], node[y]]), np.concatenate([n, links.T @ copies[x]]))
+        a, b = _forest(links)
+        some = counts > 0
+        made = pa.table({"node": ids[some], "n": counts[some], "other": pa.nulls(int(some.sum()), pa.int64())})
+        edges = pa.table({"node": node[x][np.array(a, int)], "n": pa.nulls(len(a), pa.int64()), "other": node[y][np.array(b, int)]})
+        return pa.concat_tables([made, edges])
 
     return run
 
 
 def near_vectors(
-    table: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 7
+    table: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label"
 ) -> DataFrame:
     """One row for each row of table: vec_id, n_links, component_id (smallest vec_id reachable by links) and kept.
 
@@ -123,7 +86,6 @@ def near_vectors(
     own component (null for a null id, and kept). Vectors of different dimension do not link. Rows that repeat an id and
     its vector are one vector; equal vectors under different ids link. An empty table gives an empty result.
     """
-    spark = table.sparkSession
     base = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     takes = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")), F.lit(False))
     class_ = F.when(takes, F.struct(F.xxhash64("label", "vector").alias("h"), F.xxhash64(F.lit(1), "vector", "label").alias("g")))
@@ -131,35 +93,21 @@ def near_vectors(
     ids = rows.where("class is not null").groupBy("class", "vec_id").agg(F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = ids.groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = materialise(classes.withColumn("dim", F.size("vector")))
-    keys = classes.select("label", "dim", "node", "vector").mapInArrow(_keys(passes, BITS, seed), "pass int, label string, dim int, key long, node long")
-    order = ["pass", "label", "dim", "key", "node"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    light = materialise(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_positions, "pass int, label string, dim int, key long, node long, part int, at long"))
-    # a row for each partition
-    offset = light.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-    ranked = light.join(offset, "part").select("node", F.struct("pass", "label", "dim").alias("run"), (F.col("at") + F.col("offset")).alias("rank"))
-    block = F.floor(F.col("rank") / F.lit(BLOCK))
-    both = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(F.struct(block.alias("block"), F.lit(False).alias("halo")), F.struct((block - 1).alias("block"), F.lit(True).alias("halo"))))
-    dealt = ranked.withColumn("to", F.explode(both.otherwise(F.array(F.struct(block.alias("block"), F.lit(False).alias("halo"))))))
-    dealt = dealt.select("node", F.xxhash64("run").alias("run"), "rank", "to.block", "to.halo").join(classes.select("node", "vector"), "node")
-    edges = materialise(dealt.groupBy("block").applyInArrow(_window(cosine, window), "a long, b long"))
-    discard(light)
-    comps = components(edges)
-    # links inside components: blocks of a large one against each other, small ones together in bins
-    member = comps.withColumnRenamed("id", "node").join(classes.select("node", "copies", "vector", "dim"), "node")
-    member = materialise(member)
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    bins = max(1, -(-member.count() // (BLOCK // 2)))
-    placed = member.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    label_sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    placed = classes.join(label_sizes, ["label", "dim"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # blocks of a large label against each other, small labels together in bins
+    bins = max(1, -(-classes.count() // (BLOCK // 2)))
     i = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    none = F.lit(None).cast("long")
-    small = F.array(F.struct(none.alias("of"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right")))
+    none = F.lit(None).cast("string")
+    small = F.array(F.struct(none.alias("of"), F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right")))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.col("component").alias("of"), F.least(i, k).alias("i"), F.greatest(i, k).alias("j"), (i <= k).alias("left"), (i >= k).alias("right")),
+        lambda k: F.struct(F.col("label").alias("of"), F.least(i, k).alias("i"), F.greatest(i, k).alias("j"), (i <= k).alias("left"), (i >= k).alias("right")),
     )
-    dealt = placed.withColumn("to", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(small))).select("to.*", "dim", "node", "component", "copies", "vector")
-    counts = dealt.groupBy("of", "i", "j", "dim").applyInArrow(_count(cosine), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    dealt = placed.withColumn("to", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(small))).select("to.*", "label", "dim", "node", "copies", "vector")
+    found = materialise(dealt.groupBy("of", "i", "j", "dim").applyInArrow(_compare(cosine), "node long, n long, other long"))
+    comps = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    counts = found.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
     known = classes.select("class", "node", "copies").join(comps.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
     known = known.select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     done = rows.select("vec_id", "class").join(known, "class", "left")

@@ -77,6 +77,22 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert {x.vec_id: x.n_links for x in found} == dict(enumerate(truth.tolist()))
 
 
+def test_loose_group(spark):
+    r = np.random.default_rng(5)
+    v = (r.normal(size=64) + 0.19 * r.normal(size=(10_000, 64))).astype(np.float32).astype(float)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    close = unit @ unit.T >= 0.98
+    np.fill_diagonal(close, False)
+    lowest, before = np.arange(len(v)), None
+    while before is None or (lowest != before).any():
+        before = lowest
+        lowest = np.array([min(own, before[row].min(initial=own)) for own, row in zip(before, close, strict=True)])
+    data = [(i, x, 1, "c", 1) for i, x in enumerate(v.tolist())]
+    found = {x.vec_id: x for x in embedding_dedup.near_vectors(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert [found[i].n_links for i in range(len(v))] == close.sum(axis=1).tolist()
+    assert [found[i].component_id for i in range(len(v))] == lowest.tolist()
+
+
 def brute_nearest(data, q, k):
     own = {i: np.array(v, float) for i, v, *_ in data if i is not None and usable(v)}
     near = sorted((float(np.sqrt(((own[q] - w) ** 2).sum())), i) for i, w in own.items() if i != q and len(w) == len(own[q]))
