@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def history(revisions: DataFrame) -> DataFrame:
@@ -17,18 +21,50 @@ def history(revisions: DataFrame) -> DataFrame:
     return out.withColumns({"is_head": F.col("position") == 1, "is_root": F.col("parent").isNull(), "broken": F.col("parent").isNotNull() & F.col("_known").isNull()}).drop("_known")
 
 
-def ancestors(revisions: DataFrame, most: int = 200) -> DataFrame:
-    """doc_id, rev, depth: revisions reached from the head along parent, by a recursive query."""
-    spark = revisions.sparkSession
-    revisions.createOrReplaceTempView("_revisions")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(doc_id, rev, parent, depth) MAX RECURSION LEVEL {most + 2} AS (
-          SELECT doc_id, rev, parent, 0 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rev DESC) AS n FROM _revisions) WHERE n = 1
-          UNION ALL
-          SELECT r.doc_id, r.rev, r.parent, c.depth + 1 FROM chain c JOIN _revisions r ON c.doc_id = r.doc_id AND c.parent = r.rev WHERE c.depth < {most})
-        SELECT doc_id, rev, depth FROM chain"""
-    )
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, rev, parent), a document's together and its newest first -> (doc_id, rev, depth), a document at a time."""
+    none = object()
+    doc, head, parents, found = none, None, {}, []
+
+    def finish() -> None:
+        if doc is none:
+            return
+        at, depth, seen = head, 0, set()
+        while depth == 0 or (at is not None and at in parents):
+            if at in seen:
+                raise ValueError(f"the revisions of document {doc} run in a circle at {at}")
+            seen.add(at)
+            found.append((doc, at, depth))
+            at, depth = parents[at], depth + 1
+
+    types = None
+    for batch in batches:
+        types = [batch.schema.field("doc_id").type, batch.schema.field("rev").type, pa.int32()]
+        for d, rev, parent in zip(*(batch[c].to_pylist() for c in ("doc_id", "rev", "parent")), strict=True):
+            if doc is none or d != doc:
+                finish()
+                doc, head, parents = d, rev, {}
+            parents.setdefault(rev, parent)
+        yield _chain_rows(found, types)
+        found.clear()
+    if types:
+        finish()
+        yield _chain_rows(found, types)
+
+
+def _chain_rows(found: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "rev", "depth"])
+
+
+def ancestors(revisions: DataFrame) -> DataFrame:
+    """doc_id, rev, depth: revisions reached from the head along parent, however long the chain; a chain in a circle is an error.
+
+    One exchange; a task holds the parents of one document at a time. A document's rows of equal rev count once.
+    """
+    rows = revisions.select("doc_id", "rev", "parent")
+    schema = StructType([*rows.select("doc_id", "rev").schema.fields, StructField("depth", IntegerType())])
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("rev").desc()).mapInArrow(_walk, schema)
 
 
 def differences(items: DataFrame, revisions: DataFrame) -> DataFrame:

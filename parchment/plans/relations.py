@@ -178,7 +178,7 @@ def jn18(s, d):
 
 @query("jn18_ancestors", "SELECT conv_id AS doc_id, turn AS rev, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS depth FROM conversations")
 def jn18b(s, d):
-    return V.ancestors(_revisions(s, d).select("doc_id", "rev", "parent"), 60)
+    return V.ancestors(_revisions(s, d))
 
 
 @query("jn19_head_in_chain", "SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE turn = conv_id % 5")
