@@ -76,12 +76,15 @@ def style_chain(styles: DataFrame, hops: int = 16) -> DataFrame:
 def pair_ranges(events: DataFrame, doc: str = "doc_id", key: str = "key", at: str = "at", kind: str = "kind") -> DataFrame:
     """Each end with the nearest start before it of the same key that no other end has taken: doc, key, start, end.
 
-    Ends take starts like a stack does, so with as many starts as ends open the match is by depth: a window numbers the
-    nesting depth, and start and end of one depth alternate.
+    Ends take starts like a stack does, so the match is by depth: a window numbers the nesting depth, which an end without
+    an open start leaves at 0, and start and end of one depth alternate.
     """
     w = Window.partitionBy(doc, key).orderBy(at)
     step = F.when(F.col(kind) == "start", 1).otherwise(-1)
-    depth = events.withColumn("_d", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col(kind) == "end", 1).otherwise(0))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    depth = events.withColumn("_s", F.sum(step).over(so_far)).withColumn("_low", F.least(F.lit(0), F.min("_s").over(so_far)))
+    # an end has the depth that it closes: that of the row before
+    depth = depth.withColumn("_o", F.col("_s") - F.col("_low")).withColumn("_d", F.when(F.col(kind) == "start", F.col("_o")).otherwise(F.coalesce(F.lag("_o").over(w), F.lit(0)))).drop("_s", "_low", "_o")
     level = Window.partitionBy(doc, key, "_d").orderBy(at)
     paired = depth.withColumn("start", F.lag(at).over(level)).withColumn("_k", F.lag(kind).over(level))
     return paired.where((F.col(kind) == "end") & (F.col("_k") == "start") & (F.col("_d") > 0)).select(doc, key, "start", F.col(at).alias("end"))

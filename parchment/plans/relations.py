@@ -116,10 +116,7 @@ def jn4(s, d):
 @query("jn13_comment_ranges", "WITH t AS (SELECT conv_id, turn, role FROM conversations WHERE role <> 'system'), w AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM t) SELECT conv_id, p AS \"start\", turn AS \"end\" FROM w WHERE role = 'assistant' AND r = 'user' AND NOT EXISTS (SELECT 1 FROM w v WHERE v.conv_id = w.conv_id AND v.role = v.r)")
 def jn13(s, d):
     t = table(s, d, "conversations").where("role <> 'system'")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    # conversations whose roles alternate, where nesting plays no part
-    odd = t.withColumn("_r", F.lag("role").over(w)).where("role = _r").select("conv_id").distinct()
-    events = t.join(odd, "conv_id", "left_anti").select(F.col("conv_id"), F.lit("c").alias("key"), F.col("turn").alias("at"), F.when(F.col("role") == "user", "start").otherwise("end").alias("kind"))
+    events = t.select(F.col("conv_id"), F.lit("c").alias("key"), F.col("turn").alias("at"), F.when(F.col("role") == "user", "start").otherwise("end").alias("kind"))
     return R.pair_ranges(events, "conv_id").select("conv_id", "start", "end")
 
 

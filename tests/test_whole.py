@@ -25,3 +25,18 @@ def test_branches_and_circles(spark):
     assert V.ancestors(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(Exception, match="circle"):
         V.ancestors(spark.createDataFrame([(1, 0, 1), (1, 1, 0)], schema)).collect()
+
+
+def test_ranges_as_a_stack_pairs_them(spark, tmp_path):
+    roles = {1: "uuaa", 2: "auaua", 3: "uauuaauaaau", 4: "suaua", 5: "uaauusaa", 6: "aaa"}
+    names, rows, expected = {"u": "user", "a": "assistant", "s": "system"}, [], set()
+    for conv, turns in roles.items():
+        held = []
+        for at, role in enumerate(turns):
+            rows.append((conv, at, names[role], "x"))
+            if role == "u":
+                held.append(at)
+            elif role == "a" and held:
+                expected.add((conv, held.pop(), at))
+    found = registry.queries()["jn13_comment_ranges"](spark, conversations(spark, tmp_path, rows)).collect()
+    assert sorted(tuple(r) for r in found) == sorted(expected)
