@@ -24,9 +24,12 @@ def by_feature(events: DataFrame, samples: int = 3) -> DataFrame:
     return events.groupBy("doc_id", "feature").agg(F.count("*").alias("n"), first.alias("samples"))
 
 
-def reports(events: DataFrame, source: str, target: str, engine: str = "parchment") -> DataFrame:
-    """doc_id and report: a JSON conversion report, one issue for each event that is not none; an unknown location is left out."""
-    counts = loss_by_class(events)
+def reports(events: DataFrame, source: str, target: str, engine: str = "parchment", docs: DataFrame | None = None) -> DataFrame:
+    """doc_id and report: a JSON conversion report, one issue for each event that is not none; an unknown location is left out.
+
+    With docs also for documents without events.
+    """
+    counts = loss_by_class(events, docs)
     issue = F.struct(F.format_string("iss_%04d", F.col("seq")).alias("id"), "feature", "loss_class", "action", "location", "detail")
     issues = events.where("loss_class <> 'none'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", issue.alias("issue")))).alias("_issues"))
     joined = counts.join(issues, "doc_id", "left")

@@ -40,3 +40,10 @@ def test_ranges_as_a_stack_pairs_them(spark, tmp_path):
                 expected.add((conv, held.pop(), at))
     found = registry.queries()["jn13_comment_ranges"](spark, conversations(spark, tmp_path, rows)).collect()
     assert sorted(tuple(r) for r in found) == sorted(expected)
+
+
+def test_report_of_every_page(spark, tmp_path):
+    pages = [(1, "<p>x</p>"), (2, "<p>x</p><!-- a -->"), (3, "<script>1</script><p>x</p><style>p {}</style><!-- a --><!-- b -->"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = registry.queries()["cm5_import_pipeline"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, "complete", 0), (2, "partial", 1), (3, "partial", 4), (4, "complete", 0)]
