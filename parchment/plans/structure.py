@@ -100,7 +100,7 @@ def sc10(s, d):
 @query("sc9_markdown_import", "SELECT doc_id, 1 AS paragraphs FROM documents WHERE trim(text) <> ''")
 def sc9(s, d):
     docs = I.imported(table(s, d, "documents", "doc_id", "text"), "markdown")
-    return I.nodes_of(docs).groupBy("doc_id").agg(F.count_if(F.col("kind") == "block").cast("int").alias("blocks")).where("blocks > 0").select("doc_id", F.lit(1).alias("paragraphs"))
+    return I.nodes_of(docs).where("kind = 'block'").groupBy("doc_id").agg(F.count_if(F.col("type") == "paragraph").cast("int").alias("paragraphs"))
 
 
 @query("fn1_plain_spans")

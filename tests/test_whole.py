@@ -47,3 +47,10 @@ def test_report_of_every_page(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = registry.queries()["cm5_import_pipeline"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == [(1, "complete", 0), (2, "partial", 1), (3, "partial", 4), (4, "complete", 0)]
+
+
+def test_paragraphs_are_counted(spark, tmp_path):
+    texts = [(1, "one"), (2, "one\n\ntwo\n\nthree"), (3, "# head\n\none\n\ntwo"), (4, " "), (5, "# head")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["sc9_markdown_import"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1), (2, 3), (3, 2), (5, 0)]
