@@ -5,6 +5,9 @@ space follows. A unit's bigrams are counted as a multiset. Two texts of a and b
 2 min(a, b) / (a + b), so a template needs to be compared only with units whose size lies within its bounds; units that fit
 no template's bounds are dropped before their bigrams are built. And a unit that reaches the coefficient shares more than
 half of a template's bigrams, so it holds one of any half of them: a unit without any of these is dropped as well.
+
+A statement that is wrapped over lines is found as a join: adjacent units, none of which carries a licence itself, without
+a blank line between them and of a size within the bounds. Of joins that overlap the best counts.
 """
 
 from __future__ import annotations
@@ -82,11 +85,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     high = max(r._size for r in rows) * (2 - dice) / dice
     shortest = min(min(len(g.split("\t")[0]) for g in r._own) for r in rows)
     marks = "|".join(sorted({re.escape(x) for r in rows for x in _telling([g.split("\t")[0] for g in r._own], dice)}))
-    units = F.split(F.coalesce(F.col(text), F.lit("")), r"[\n\r]+|(?<=[.!?])[ \t]+")
+    units = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r]|(?<=[.!?])[ \t]+")
     # a bound on length is cheap to take before a unit is normalised: a word has at least one character and a blank
     words = int(high) + 1
-    near = F.transform(F.filter(units, lambda u: (F.length(u) >= shortest) & (F.size(F.split(u, r"[^\p{L}\p{N}]+", words + 4)) <= words + 3)), normalised)
-    near = F.filter(near, lambda u: u.rlike(f"(^| )({marks})( |$)"))
+    has_mark = f"(^| )({marks})( |$)"
+    loose = "(" + marks.replace(r"\ ", " ").replace(" ", r"[^\p{L}\p{N}]+") + ")"
+
+    def short(u: Column) -> Column:
+        return (F.length(u) > 0) & (F.size(F.split(u, r"[^\p{L}\p{N}]+", words + 4)) <= words + 3)
+
+    near = F.filter(F.transform(F.filter(units, lambda u: (F.length(u) >= shortest) & short(u)), normalised), lambda u: u.rlike(has_mark))
 
     def compared(found: Column) -> Column:
         def of(own: list[str]) -> Column:
@@ -99,7 +107,36 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
         return let(bigrams(s), compared)
 
     hits = F.filter(F.transform(near, best), lambda h: h["dice"] >= dice)
-    out = docs.select(F.col(doc_id).alias("doc_id"), hits.alias("_hits"))
+
+    def joins(lines: Column) -> Column:
+        """Hits of adjacent units, best first; a null is a unit that no join may hold."""
+
+        def of(i: Column) -> Column:
+            def made(k: Column) -> Column:
+                part = F.slice(lines, i, k)
+                return F.when((i + k - 1 <= F.size(lines)) & ~F.exists(part, lambda x: x.isNull()), F.array_join(part, " "))
+
+            def hit(k: Column) -> Column:
+                return let(made(k), lambda t: F.when(t.rlike(has_mark) & (F.size(F.split(t, " ")) <= words), F.struct((-best(t)["dice"]).alias("less"), k.alias("k"), i.alias("i"), best(t)["licence"].alias("licence"))))
+
+            return F.when(F.array_join(F.slice(lines, i, words), " ").rlike(has_mark), F.transform(F.sequence(F.lit(2), F.lit(words)), hit))
+
+        found = F.flatten(F.filter(F.transform(F.sequence(F.lit(1), F.size(lines)), of), lambda x: x.isNotNull()))
+        return F.array_sort(F.filter(found, lambda h: h.isNotNull() & (h["less"] <= -dice)))
+
+    def apart(found: Column) -> Column:
+        none = F.filter(found, lambda h: F.lit(False))
+        over = lambda h, x: (h["i"] < x["i"] + x["k"]) & (x["i"] < h["i"] + h["k"])
+        return F.aggregate(found, none, lambda taken, h: F.when(F.exists(taken, lambda x: over(h, x)), taken).otherwise(F.concat(taken, F.array(h))))
+
+    def line(u: Column) -> Column:
+        text_ = F.when(short(u), normalised(u))
+        return let(text_, lambda t: F.when((t != "") & ~F.coalesce(t.rlike(has_mark) & (best(t)["dice"] >= dice), F.lit(False)), t))
+
+    wrapped = F.when(F.lower(text).rlike(loose), let(F.transform(units, line), lambda x: let(joins(x), apart)))
+    out = docs.select(F.col(doc_id).alias("doc_id"), hits.alias("_own"), wrapped.alias("_joined"))
+    joined = F.transform("_joined", lambda h: F.struct((-h["less"]).alias("dice"), F.lit(0).alias("order"), h["licence"].alias("licence")))
+    out = out.select("doc_id", F.concat("_own", F.coalesce(joined, F.filter("_own", lambda h: F.lit(False)))).alias("_hits"))
     return out.select(
         "doc_id",
         F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["licence"]))).alias("licences"),
@@ -130,7 +167,8 @@ ORACLE = rf"""
 WITH t0(licence, g) AS (SELECT licence, {_sql_grams("w")} FROM (SELECT licence, string_split({_sql_normal("body")}, ' ') AS w FROM (VALUES {_SQL_TEMPLATES}) v(licence, body))),
 t AS (SELECT licence, {_SQL_NUMBERED} AS b FROM t0),
 u AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), '[
-]+', chr(10), 'g'), chr(10))) AS s FROM documents),
+
+]+', chr(10), 'g'), chr(10))) AS s FROM documents),
 n AS (SELECT doc_id, row_number() OVER () AS u, string_split({_sql_normal("s")}, ' ') AS w FROM u WHERE length(s) < 2000),
 k AS (SELECT doc_id, u, w FROM n WHERE len(w) BETWEEN 1 AND 60 AND w[1] <> ''),
 f0 AS (SELECT doc_id, u, {_sql_grams("w")} AS g FROM k),

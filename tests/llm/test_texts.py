@@ -379,6 +379,22 @@ LINES = [
 ]
 
 
+WRAPPED = {
+    "MIT-grant": "Copyright (c) 2020 Acme\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "BSD-grant": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met:\r\n\r\n1. x",
+    "BSD": "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.",
+}
+
+
+def test_wrapped_licences(spark):
+    rows = [(i, t) for i, t in enumerate(WRAPPED.values())] + [(10, "\n".join(WRAPPED.values())), (11, WRAPPED["BSD"].replace("\n", "\n\n")), (12, "All\nrights\nreserved")]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(WRAPPED):
+        assert (found[i].licences, found[i].n_units) == ([name], 1)
+    assert (found[10].licences, found[10].n_units) == (sorted(WRAPPED), 3)
+    assert found[11].n_units == 0 and (found[12].licences, found[12].best) == (["Proprietary"], 1.0)
+
+
 def test_licences(spark, docs, empty):
     table = spark.createDataFrame([(i, line) for i, line in enumerate(LINES)] + [(90, "\n".join(LINES)), (91, None), (93, "Some words. Released under the MIT License. And more."), (None, LINES[0]), (92, "word " * 100_000 + "\nAll rights reserved")], "doc_id long, text string")
     found = {r.doc_id: r for r in licenses.scan(table).collect()}
