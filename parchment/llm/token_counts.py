@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm.common import read, small_batches
+from parchment.llm.hashing import slices
 from parchment.llm.unigram import MODEL, vocabulary
 
 
@@ -24,8 +26,8 @@ def token_counts(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocab.prepare()
         for batch in batches:
-            counts = [own.count(t.as_py()) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+            counts = [own.count_all(part) for part in slices(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(counts) if counts else [], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
