@@ -5,8 +5,9 @@ time is the source's words up to and including it, divided by the source's targe
 size are served a second time. Serving all queues by virtual finish time and stopping at the total budget gives every
 source its target, to within a document.
 
-Both prefix sums (within a source, and over the global order) are taken in two levels: sums of buckets first, then rows
-within a bucket. No source and no partition is ever gathered by one task, whatever share of the rows it holds.
+The order is cut into ranges. Both prefix sums (within a source, and over the global order of finish times) are taken in two
+levels: sums of ranges first, then rows within a range. Of the global order only the range in which the budget ends is sorted
+row by row, as all before it is served and nothing after it. No source and no range of many rows is gathered by one task.
 """
 
 from __future__ import annotations
@@ -117,13 +118,14 @@ def mix(
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-#: Ranges of finish time that are summed before one of them is ordered row by row.
-SLICES = 4096
+#: Ranges of finish time beyond 1 for each doubling of the time past 1. A double is past 1 by 2 ** -52 at least.
+SLICES, FINEST, COARSEST = 64, -52, 63
 
 
 def _slice(finish: Column) -> Column:
-    """Finish times above 1 lie beyond every target, so they share the last range."""
-    return F.least(F.ceil(finish * SLICES), F.lit(SLICES + 1)).cast("int")
+    """Range 0 holds finish times up to 1; those beyond 1 lie in ranges whose width grows with the time past 1, by about a hundredth of it."""
+    past = F.log2(F.greatest(finish - 1, F.lit(2.0**FINEST)))
+    return F.when(finish <= 1, 0).otherwise(1 + F.floor((F.least(past, F.lit(float(COARSEST))) - FINEST) * SLICES)).cast("int")
 
 
 class _Edge(NamedTuple):
@@ -133,15 +135,21 @@ class _Edge(NamedTuple):
 
 
 def _edge(queue: DataFrame, rounds: list[Column]) -> _Edge:
-    """The range of finish times in which the budget is spent, and what is served before it: at most SLICES + 1 sums."""
+    """The range of finish times in which the budget is spent, and what is served before it.
+
+    Up to finish time 1 every source has had no more than its target, so the budget lasts beyond 1; and by then what is left is
+    less than one document of each source. The ranges just past 1 are the narrowest, so the one in which the budget ends
+    holds few rows, however many there are. At most SLICES sums for each doubling come to the driver, whatever the corpus.
+    """
     budget = queue.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
+    budget += max(1e-9, budget * 1e-12)  # targets are rounded, words are whole
     sums = queue.select("size", F.explode(F.array(*[_slice(f) for f in rounds])).alias("slice")).groupBy("slice").agg(F.sum("size").alias("n")).orderBy("slice").collect()
     upto = 0
     for row in sums:
         if upto + row.n > budget:
             return _Edge(row.slice, upto, budget)
         upto += row.n
-    return _Edge(SLICES + 2, upto, budget)
+    return _Edge((COARSEST - FINEST) * SLICES + 2, upto, budget)
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
