@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +85,45 @@ def plain_spans(nodes: DataFrame) -> DataFrame:
     spans = nodes.where("kind = 'span'").select("doc_id", F.regexp_extract("path", r"^(.*?)\.(?:content|caption)\[\d+\](?:\.content\[\d+\])*$", 1).alias("path"), "seq", F.coalesce(shown, F.lit("")).alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")
     return spans.groupBy("doc_id", "path").agg(joined.alias("text"))
+
+
+def list_items(nodes: DataFrame) -> DataFrame:
+    """Items of the lists of a node table: doc_id, list (its path), style, start, ord, checked, and marker, what stands before an item."""
+    items = nodes.where("type = 'item'").select("doc_id", F.regexp_replace("path", r"\.items\[\d+\]$", "").alias("list"), "ord", "checked")
+    lists = nodes.where("type = 'list'").select("doc_id", F.col("path").alias("list"), "style", "start")
+    number = F.concat((F.coalesce("start", F.lit(1)) + F.col("ord")).cast("string"), F.lit(". "))
+    return items.join(lists, ["doc_id", "list"]).withColumn("marker", F.when(F.col("style") == "ordered", number).otherwise("- "))
+
+
+def lone(nodes: DataFrame, kind: str) -> DataFrame:
+    """doc_id, path and lone: whether a paragraph, blank text aside, holds one span of that kind and nothing else."""
+    span = nodes.where("kind = 'span'").select("doc_id", F.col("parent_seq").alias("seq"), "type", F.coalesce(F.trim("text"), F.lit("")).alias("text"))
+    solid = span.groupBy("doc_id", "seq").agg(F.count_if(F.col("type") == kind).alias("n"), F.count_if((F.col("type") != "text") | (F.col("text") != "")).alias("all"))
+    found = nodes.where("type = 'paragraph'").select("doc_id", "seq", "path").join(solid, ["doc_id", "seq"], "left")
+    return found.select("doc_id", "path", F.coalesce((F.col("n") == 1) & (F.col("all") == 1), F.lit(False)).alias("lone"))
+
+
+def slugs(names: list[str]) -> list[str]:
+    """A slug for each name: ASCII letters and digits by dashes; style-N without any; repeats get a number. Each depends on those before."""
+    taken: set[str] = set()
+    out = []
+    for i, name in enumerate(names):
+        base = re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-") or f"style-{i + 1}"
+        slug, n = base, 2
+        while slug in taken:
+            slug, n = f"{base}-{n}", n + 1
+        taken.add(slug)
+        out.append(slug)
+    return out
+
+
+def style_slugs(styles: DataFrame, doc: str, order: str, name: str) -> DataFrame:
+    """styles(doc, order, name) -> doc, order and slug. The names of a document are one small group; it goes through Arrow at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        return pa.table({doc: table[doc], order: table[order], "slug": slugs([n or "" for n in table[name].to_pylist()])})
+
+    kept = styles.select(doc, order, name)
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    return kept.groupBy(doc).applyInArrow(run, f"{doc} {kinds[doc]}, {order} {kinds[order]}, slug string")

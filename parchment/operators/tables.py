@@ -12,6 +12,26 @@ def _shift(axis: str, at: int, by: int) -> dict[str, Column]:
     return {axis: F.when(F.col(axis) >= at, F.col(axis) + by).otherwise(F.col(axis))}
 
 
+def cells(nodes: DataFrame) -> DataFrame:
+    """The cells of a node table's tables, with their plain text: doc_id, table (its path), row, col, row_span, col_span, role, text."""
+    at = F.regexp_extract("path", r"^(.*)\.rows\[(\d+)\]\.cells\[\d+\]$", 1), F.regexp_extract("path", r"\.rows\[(\d+)\]\.cells\[\d+\]$", 1).cast("int")
+    own = nodes.where("type = 'cell'").select(
+        "doc_id", F.col("path").alias("cell"), at[0].alias("table"), at[1].alias("row"), "col", F.coalesce("row_span", F.lit(1)).alias("row_span"),
+        F.coalesce("col_span", F.lit(1)).alias("col_span"), F.coalesce("role", F.lit("data")).alias("role"),
+    )
+    # a span belongs to the innermost cell on its path
+    inside = nodes.where("kind = 'span' and text is not null").withColumn("cell", F.regexp_extract("path", r"^(.*\.cells\[\d+\])", 1)).where("cell <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")
+    texts = inside.groupBy("doc_id", "cell").agg(joined.alias("text"))
+    return own.join(texts, ["doc_id", "cell"], "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("cell")
+
+
+def widths(cells: DataFrame) -> DataFrame:
+    """doc_id, table and width: the most columns that a row's cells take together."""
+    rows = cells.groupBy(*KEY, "row").agg(F.sum("col_span").alias("n"))
+    return rows.groupBy(*KEY).agg(F.max("n").alias("width"))
+
+
 def insert(cells: DataFrame, axis: str, at: int) -> DataFrame:
     """An empty row or column before position at; cells that reach across it grow by one."""
     span, other = f"{axis}_span", "col" if axis == "row" else "row"

@@ -168,31 +168,6 @@ def w6(s, d):
     return islands(c, ["conv_id"], "turn", F.col("role") == F.col("_before")).groupBy("conv_id", F.col("island").alias("list")).agg(F.count("*").alias("items"))
 
 
-def slugs(names: list[str]) -> list[str]:
-    """A slug for each name: ASCII letters and digits by dashes; style-N without any; repeats get a number. Each depends on those before."""
-    import re
-
-    taken: set[str] = set()
-    out = []
-    for i, name in enumerate(names):
-        base = re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-") or f"style-{i + 1}"
-        slug, n = base, 2
-        while slug in taken:
-            slug, n = f"{base}-{n}", n + 1
-        taken.add(slug)
-        out.append(slug)
-    return out
-
-
-@query("w10_style_slugs")
-def w10(s, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "slug": slugs(pdf["role"].tolist())})
-
-    return table(s, d, "conversations", "conv_id", "turn", "role").groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, slug string")
-
-
 @query("sk20_theme", "SELECT p_brand AS style, count(*) AS uses, max(p_size) AS size FROM part WHERE p_size % 2 = 0 GROUP BY 1")
 def sk20(s, d):
     used = table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_brand").alias("style"), "p_size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchment.plans import documents, more, relations, scalars, streams, structure  # noqa: F401  they register themselves
+from parchment.plans import documents, mapping, more, relations, scalars, streams, structure  # noqa: F401  they register themselves
 from parchment.plans.catalog import ORACLES, QUERIES, Query
 
 

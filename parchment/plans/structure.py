@@ -240,24 +240,6 @@ def fl6(s, d):
     return V.grid_issues(cells, ("table",)).select("seq", "issue")
 
 
-@query("fl24_table_has_spans", "SELECT n_regionkey AS region, bool_or(n_nationkey % 7 = 0) AS has_spans FROM nation GROUP BY 1")
-def fl24(s, d):
-    cells = table(s, d, "nation").select(F.col("n_regionkey").alias("region"), F.when(F.col("n_nationkey") % 7 == 0, 2).otherwise(1).alias("col_span"), F.lit(1).alias("row_span"))
-    return cells.groupBy("region").agg(F.bool_or((F.col("col_span") > 1) | (F.col("row_span") > 1)).alias("has_spans"))
-
-
-@query("ag17_table_width", "SELECT region, max(n) AS width FROM (SELECT n_regionkey AS region, n_nationkey % 3 AS r, count(*) AS n FROM nation GROUP BY ALL) GROUP BY region")
-def ag17(s, d):
-    rows = table(s, d, "nation").groupBy(F.col("n_regionkey").alias("region"), (F.col("n_nationkey") % 3).alias("r")).agg(F.count("*").alias("n"))
-    return rows.groupBy("region").agg(F.max("n").alias("width"))
-
-
-@query("fl19_only_image", "SELECT conv_id, count(*) FILTER (role = 'system') = 1 AND count(*) = 1 AS lone FROM conversations GROUP BY conv_id")
-def fl19(s, d):
-    g = table(s, d, "conversations", "conv_id", "role").groupBy("conv_id")
-    return g.agg(((F.count_if(F.col("role") == "system") == 1) & (F.count("*") == 1)).alias("lone"))
-
-
 @query("jn16_style_chain", "WITH RECURSIVE s AS (SELECT p_partkey AS style, CASE WHEN p_partkey % 8 <> 1 THEN p_partkey - 1 END AS based_on, p_size % 5 = 0 AS bold, CASE WHEN p_size % 3 = 0 THEN p_brand END AS font, CASE WHEN p_size % 2 = 0 THEN p_size END AS size FROM part), c AS (SELECT style, based_on, 0 AS depth, bold, font, size FROM s UNION ALL SELECT c.style, s.based_on, c.depth + 1, s.bold, s.font, s.size FROM c JOIN s ON c.based_on = s.style WHERE c.depth < 15) SELECT style, bool_or(bold) AS bold, arg_min(font, depth) FILTER (font IS NOT NULL) AS font, arg_min(size, depth) FILTER (size IS NOT NULL) AS size, max(depth) + 1 AS hops FROM c GROUP BY style")
 def jn16(s, d):
     p = table(s, d, "part")

@@ -76,8 +76,31 @@ def spans(inline: list[dict]) -> list[dict]:
     return merged(build(rows, 0))
 
 
+def _extra(column: dict) -> dict:
+    extra = column.get("extra") or {}
+    return json.loads(extra) if isinstance(extra, str) else extra
+
+
+def _width(column: dict):
+    return _extra(column).get("width")
+
+
+def _take_widths(columns: list[dict], rows: list[dict]) -> None:
+    """Each column gets the first width that a cell gives for it; cells beyond the columns add none."""
+    found: dict[int, object] = {}
+    for cell in (c for r in rows for c in r.get("content", [])):
+        attrs = cell.get("attrs") or {}
+        for k, w in enumerate(attrs.get("colwidth") or []):
+            if w is not None:
+                found.setdefault((attrs.get("col") or 0) + k, w)
+    for i, column in enumerate(columns):
+        if i in found:
+            column["extra"] = _extra(column) | {"width": found[i]}
+
+
 def to_editor(nodes: list[dict]) -> dict:
-    """A document as the editor holds it."""
+    """A document as the editor holds it. The widths of a table's columns are spread to its cells."""
+    shown: dict[int, list] = {}
 
     def block(n: dict) -> dict:
         kind = NAMES.get(n["type"], n["type"])
@@ -86,6 +109,13 @@ def to_editor(nodes: list[dict]) -> dict:
             attrs["extra"] = n["extra"]
         if n["type"] == "table":
             attrs["columns"] = [{k: v for k, v in c.items() if v is not None} for c in n.get("columns", [])]
+            spread = [_width(c) for c in n.get("columns", [])]
+            if any(w is not None for w in spread):
+                for cell in (c for r in n.get("rows", []) for c in r.get("cells", [])):
+                    at = cell.get("col") or 0
+                    shown[id(cell)] = spread[at : at + (cell.get("col_span") or 1)]
+        if id(n) in shown:
+            attrs["colwidth"] = shown.pop(id(n))
         if n.get("caption"):
             attrs["caption"] = runs(n["caption"])
         out = {"type": kind, "attrs": attrs}
@@ -116,11 +146,12 @@ def from_editor(doc: dict, new_id: Callable[[str], str] | None = None) -> list[d
         out |= {f: attrs[f] for f in FIELDS if attrs.get(f) is not None and not (f in ("col_span", "row_span") and attrs[f] == 1)}
         if attrs.get("extra") is not None:
             out["extra"] = attrs["extra"]
+        content = n.get("content", [])
         if kind == "table":
             out["columns"] = [{"type": "column", **{k: v for k, v in c.items() if k != "type"}} for c in attrs.get("columns") or []]
+            _take_widths(out["columns"], content)
         if attrs.get("caption") is not None:
             out["caption"] = spans(attrs["caption"])
-        content = n.get("content", [])
         if kind == "code_block":
             out["text"] = "".join(c.get("text", "") for c in content)
         elif kind in CHILDREN:

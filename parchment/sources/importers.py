@@ -7,6 +7,7 @@ task and nothing is exchanged.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,11 +18,18 @@ from pyspark.sql.types import StructType
 
 from parchment.operators.render import Document, render
 from parchment.schemas import ASSETS, LOSS, NODES, PRESERVED
+from parchment.sources import editor
 from parchment.sources.html import read_html
 from parchment.sources.markdown import read_markdown
+from parchment.sources.pandoc import read_pandoc, write_pandoc
 from parchment.tree import Job, flatten, unflatten
 
-READERS: dict[str, Callable[[str], tuple[list[dict], Job]]] = {"html": read_html, "markdown": read_markdown}
+READERS: dict[str, Callable[[str], tuple[list[dict], Job]]] = {
+    "html": read_html,
+    "markdown": read_markdown,
+    "pandoc": lambda t: read_pandoc(t) if t else ([], Job()),
+    "editor": lambda t: (editor.from_editor(json.loads(t)), Job()) if t else ([], Job()),
+}
 
 
 def _inner(schema: str) -> StructType:
@@ -95,6 +103,21 @@ def exported(docs: DataFrame, fmt: str, **options) -> DataFrame:
     return docs.mapInPandas(run, EXPORTED)
 
 
+WRITTEN = "doc_id long, output string"
+
+
+def written(docs: DataFrame, fmt: str) -> DataFrame:
+    """doc_id and output of imported documents as JSON for another program: an editor document or a pandoc tree."""
+    write = {"editor": lambda nodes, title: json.dumps(editor.to_editor(nodes), ensure_ascii=False), "pandoc": write_pandoc}[fmt]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [write(_document(r.nodes).nodes, r.title) for r in batch.itertuples()]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "output": made})
+
+    return docs.select("doc_id", "title", "nodes").mapInPandas(run, WRITTEN)
+
+
 def convert(table: DataFrame, source: str, target: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Import and export in one task: text never leaves it as a tree."""
     reader = READERS[source]

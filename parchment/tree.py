@@ -11,12 +11,14 @@ import mimetypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from parchment.schemas import ID_ALPHABET, ID_DIGITS, NODE_FIELDS, SPAN_TYPES
+from parchment.schemas import ID_ALPHABET, ID_DIGITS, NODE_FIELDS, NODES, SPAN_TYPES
 
 SLOTS = ("columns", "content", "children", "items", "rows", "cells", "caption")
 STRUCTS = ("item", "row", "cell", "column")
 #: Slots that hold spans.
 SPAN_SLOTS = ("content", "caption")
+#: Attributes that are whole numbers; data frames with nulls hand them over as floats.
+WHOLE = frozenset(f.split()[0] for f in NODES.split(", ") if f.endswith(" int"))
 ATTRIBUTES = [f for f in NODE_FIELDS if f not in ("doc_id", "seq", "parent_seq", "slot", "ord", "depth", "path", "kind", "type")]
 
 
@@ -143,7 +145,7 @@ def unflatten(rows: Iterable[dict]) -> list[dict]:
     """The tree of a document's rows, whatever their order."""
     found, root = {}, []
     for r in sorted(rows, key=lambda r: r["seq"]):
-        n = {"type": r["type"]} | {a: r[a] for a in ATTRIBUTES if r.get(a) is not None and r.get(a) == r.get(a)}
+        n = {"type": r["type"]} | {a: int(r[a]) if a in WHOLE else r[a] for a in ATTRIBUTES if r.get(a) is not None and r.get(a) == r.get(a)}
         found[r["seq"]] = n
         parent = r["parent_seq"]
         if parent is None or parent != parent:
