@@ -119,20 +119,6 @@ def jn11(s, d):
     return R.asset_urls(t.select("doc_id", F.concat(F.lit("asset://as_"), i, F.lit("/x.mp4")).alias("asset")), assets).select("doc_id", F.col("asset_mime").alias("mime"))
 
 
-@query("jn14_comments", "SELECT c.conv_id, c.turn, o.text AS comment FROM conversations c LEFT JOIN conversations o ON c.conv_id = o.conv_id AND o.turn = c.turn + 1 AND o.role = 'assistant'")
-def jn14(s, d):
-    c = table(s, d, "conversations")
-    comments = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("comment"))
-    return c.select("conv_id", "turn").join(comments, ["conv_id", "turn"], "left")
-
-
-@query("jn15_numbering_levels", "SELECT p_partkey, r.r_name AS fmt, p_size % 5 + 1 AS level FROM part LEFT JOIN region r ON p_size % 7 = r.r_regionkey")
-def jn15(s, d):
-    levels = table(s, d, "region").select(F.col("r_regionkey").alias("num"), F.col("r_name").alias("fmt"))
-    p = table(s, d, "part").select("p_partkey", (F.col("p_size") % 7).alias("num"), (F.col("p_size") % 5 + 1).alias("level"))
-    return p.join(levels, "num", "left").select("p_partkey", "fmt", "level")
-
-
 @query("jn17_type_status", "SELECT event_id, CASE event_type WHEN 'click' THEN 'supported' WHEN 'view' THEN 'degraded' ELSE 'degraded' END AS status FROM events")
 def jn17(s, d):
     kinds = s.createDataFrame([("click", "paragraph"), ("view", "callout")], "event_type string, type string")
@@ -168,14 +154,6 @@ def w6(s, d):
     return islands(c, ["conv_id"], "turn", F.col("role") == F.col("_before")).groupBy("conv_id", F.col("island").alias("list")).agg(F.count("*").alias("items"))
 
 
-@query("sk20_theme", "SELECT p_brand AS style, count(*) AS uses, max(p_size) AS size FROM part WHERE p_size % 2 = 0 GROUP BY 1")
-def sk20(s, d):
-    used = table(s, d, "part").where("p_size % 2 = 0").select(F.col("p_brand").alias("style"), "p_size")
-    theme = used.groupBy("style").agg(F.count("*").alias("uses"), F.max("p_size").alias("size"))
-    body = F.from_json(F.to_json(F.struct("style", "uses", "size")), "style string, uses long, size int")
-    return theme.select(body.alias("b")).select("b.*")
-
-
 @query("fn33_converter_name", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'parchment-markdown' WHEN 1 THEN 'parchment-html' ELSE 'parchment-docx' END AS converter FROM events")
 def fn33(s, d):
     fmt = F.element_at(F.array(F.lit("markdown"), F.lit("html"), F.lit("docx")), (F.col("event_id") % 3 + 1).cast("int"))

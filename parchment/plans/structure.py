@@ -216,12 +216,6 @@ def w9(s, d):
     return S.row_spans(c, ["conv_id"], "turn", "merge")
 
 
-@query("w11_preserved_numbers", "SELECT doc_id, source || '/part-' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS VARCHAR), 6, '0') AS path FROM documents")
-def w11(s, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(s, d, "documents", "doc_id", "source").select("doc_id", F.concat("source", F.lit("/part-"), F.lpad(n.cast("string"), 6, "0")).alias("path"))
-
-
 CELLS = "c AS (SELECT n_nationkey AS seq, n_regionkey AS t, n_nationkey // 5 AS r, n_nationkey % 5 AS c, 1 + n_nationkey % 2 AS w, 1 + n_nationkey % 3 AS h FROM nation)"
 
 
@@ -250,16 +244,3 @@ def jn16(s, d):
     return R.style_chain(styles)
 
 
-@query("sc20_numbering", "SELECT s.s_suppkey AS num, n.n_nationkey AS abstract, r.r_name AS fmt FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
-def sc20(s, d):
-    num, abstract, lvl = table(s, d, "supplier"), table(s, d, "nation"), table(s, d, "region")
-    joined = num.join(abstract, F.col("s_nationkey") == F.col("n_nationkey")).join(lvl, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select(F.col("s_suppkey").alias("num"), F.col("n_nationkey").alias("abstract"), F.col("r_name").alias("fmt"))
-
-
-@query("sc19_content_types", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'override/' || p_size WHEN p_size % 2 = 0 THEN 'default/even' END AS content_type FROM part")
-def sc19(s, d):
-    p = table(s, d, "part", "p_partkey", "p_size").withColumn("ext", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd"))
-    overrides = p.where("p_size % 10 = 0").select("p_partkey", F.concat(F.lit("override/"), F.col("p_size").cast("string")).alias("_o")).distinct()
-    defaults = s.createDataFrame([("even", "default/even")], "ext string, _d string")
-    return p.join(overrides, "p_partkey", "left").join(F.broadcast(defaults), "ext", "left").select("p_partkey", F.coalesce("_o", "_d").alias("content_type"))

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions.assets import guess_mime
-from parchment.sources.importers import SCHEMA, gathered
-from parchment.tree import Job, merged, normalised, plain_block, text_span, wrapped
+from parchment.sources.importers import COLUMNS, SCHEMA, gathered
+from parchment.sources.pandoc import read_pandoc
+from parchment.tree import Job, merged, normalised, plain_block, plain_span, text_span, wrapped
 
 MOST_PARTS, LARGEST_PART, LARGEST_TOTAL = 10_000, 256 << 20, 1 << 30
 STYLE_HOPS = 16
@@ -54,7 +55,7 @@ def parse_xml(data: bytes) -> ET.Element:
     try:
         return ET.fromstring(data)
     except ET.ParseError as e:
-        # fixtures may leave prefixes undeclared
+        # some writers leave prefixes undeclared
         names = set(re.findall(rb"[<\s/]([A-Za-z][\w-]*):[\w-]+", data)) - {b"xml", b"xmlns"}
         missing = [n for n in sorted(names) if b"xmlns:" + n not in data]
         if not missing:
@@ -162,7 +163,8 @@ class Reader:
         self.kinds: dict[str, tuple[str, str]] = {}
         self.authors: dict[str, Counter] = {}
         self.page: dict[str, float] = {}
-        self.open_comments: dict[str, tuple[int, int]] = {}
+        self.open_comments: dict[str, tuple[str, int, str]] = {}
+        self.commented: set[str] = set()
 
     def _notes(self, kind: str) -> dict[str, ET.Element]:
         root = self.package.xml(f"word/{kind}s.xml")
@@ -188,6 +190,11 @@ class Reader:
                 self.job.extra[local(e.tag)] = e.text
         self.side_parts()
         out = self.blocks(body)
+        for i, (block, _, _) in list(self.open_comments.items()):  # ranges that never end
+            self._comment(i, block)
+        for i in self.comments:
+            if i not in self.commented:
+                self.count("docx_comment", "partial", "dropped", i)
         if self.authors:
             ref = self.job.keep("docx", "xml", self.package.zip.read(self.part))
             detail = "; ".join(f"{a}: +{c['ins']} -{c['del']}" for a, c in sorted(self.authors.items()))
@@ -276,7 +283,9 @@ class Reader:
                 self.section(e)
             elif local(e.tag) not in ("pStyle", "numPr", "rPr"):
                 self.count("docx_paragraph_props", "partial", "dropped", local(e.tag))
-        content = merged(s for c in p if local(c.tag) != "pPr" for s in self.inline(c))
+        content = [s for c in p if local(c.tag) != "pPr" for s in self.inline(c)]
+        marks: list[tuple[str, bool, int]] = []
+        content = merged(self._unmarked(content, marks, [0]))
         blocks = [s.pop("block") for s in content if "block" in s]
         content = [s for s in content if s.get("type")]
         self.job.lose("none", "paragraph", "mapped")
@@ -292,17 +301,43 @@ class Reader:
             node = {"type": "paragraph", "node_id": self.job.uid("blk"), "content": content}
         if style and not outline:
             node["style"] = (self.styles.by_id.get(style) or {}).get("name") or style
-        for c in [i for i, (a, b) in self.open_comments.items() if b]:
-            self._annotate(c, node)
+        self._annotate(node, marks)
         return [node, *blocks], None if num in (None, "0") or outline else (num, level)
 
-    def _annotate(self, i: str, node: dict) -> None:
-        start, end = self.open_comments.pop(i)
-        text, found = plain_block(node), self.comments.get(i, {"author": "unknown", "text": ""})
-        exact = text[start:end]
+    def _unmarked(self, content: list[dict], marks: list[tuple[str, bool, int]], at: list[int]) -> list[dict]:
+        """Spans without the marks of comment ranges, which are noted with the length of the text before them."""
+        out = []
+        for s in content:
+            if "mark" in s:
+                marks.append((*s["mark"], at[0]))
+                continue
+            if "content" in s:
+                s = {**s, "content": self._unmarked(s["content"], marks, at)}
+            elif s.get("type"):
+                at[0] += len(plain_span(s))
+            out.append(s)
+        return out
+
+    def _annotate(self, node: dict, marks: list[tuple[str, bool, int]]) -> None:
+        """A range inside one block quotes its text; one over several blocks stands for the block that it begins in."""
+        text = plain_block(node)
+        for i, begins, place in marks:
+            if begins:
+                self.open_comments[i] = (node["node_id"], place, text)
+            elif i in self.open_comments:
+                block, start, whole = self.open_comments.pop(i)
+                quoted = (whole[start:place], whole[max(0, start - 32) : start], whole[place : place + 32]) if block == node["node_id"] else (None, None, None)
+                self._comment(i, block, *quoted)
+
+    def _comment(self, i: str, block: str | None, exact: str | None = None, prefix: str | None = None, suffix: str | None = None) -> None:
+        found = self.comments.get(i, {"author": "unknown", "text": ""})
         self.job.annotations.append(
-            {"type": "comment", "target_block": node["node_id"], "exact": exact, "prefix": text[max(0, start - 32) : start], "suffix": text[end : end + 32], "author": found["author"], "value": found["text"]}
-        )
+            {
+                "ord": len(self.job.annotations), "annotation_id": self.job.uid("ann"), "type": "comment", "target_kind": "text_quote" if exact else "block", "target_block": block,
+                "exact": exact or None, "prefix": prefix, "suffix": suffix, "value": found["text"], "author": found["author"],
+            }
+        )
+        self.commented.add(i)
 
     def table(self, e: ET.Element) -> dict:
         self.job.lose("none", "table", "mapped")
@@ -370,7 +405,9 @@ class Reader:
         if kind == "bookmarkStart":
             self.count("docx_bookmark", "partial", "dropped", attr(e, "name") or "")
             return []
-        if kind in ("bookmarkEnd", "proofErr", "pPr", "rPr", "commentRangeStart", "commentRangeEnd"):
+        if kind in ("commentRangeStart", "commentRangeEnd"):
+            return [{"type": None, "mark": (attr(e, "id"), kind == "commentRangeStart")}]
+        if kind in ("bookmarkEnd", "proofErr", "pPr", "rPr"):
             return []
         return self.inlines(e)
 
@@ -462,22 +499,45 @@ def read_docx(data: bytes) -> tuple[list[dict], Job]:
     return out, job
 
 
-def imported_docx(files: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    """Rows as sources.importers.imported(); a file that cannot be read gives an empty document with one loss event."""
+UNREADABLE = (Part, zipfile.BadZipFile, KeyError, ValueError)
+
+
+def read_any(data: bytes, tree: str | None, reader: str) -> tuple[list[dict], Job]:
+    """A package by the native reader, or by pandoc's JSON tree of it; auto takes the tree only where the native reader fails, and says so."""
+    if reader != "pandoc":
+        try:
+            return read_docx(data)
+        except UNREADABLE as e:
+            reason = str(e)[:200]
+            if reader == "native" or not tree:
+                job = Job()
+                job.lose("unsupported", "docx_unreadable", "dropped", reason, "package could not be read")
+                return [], job
+            nodes, job = read_pandoc(tree)
+            job.lose("partial", "docx_reader_fallback", "degraded", reason, "package read by pandoc's tree instead")
+            return nodes, job
+    if tree:
+        return read_pandoc(tree)
+    job = Job()
+    job.lose("unsupported", "docx_unreadable", "dropped", "no tree", "pandoc's tree is not at hand")
+    return [], job
+
+
+def imported_docx(files: DataFrame, doc_id: str = "doc_id", content: str = "content", reader: str = "auto", tree: str | None = None) -> DataFrame:
+    """Rows as sources.importers.imported(). reader: native, pandoc or auto; tree names the column of pandoc's JSON, if there is one.
+
+    A file that no reader can read gives an empty document with one loss event.
+    """
+    if reader not in ("auto", "native", "pandoc"):
+        raise ValueError(f"no reader {reader}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for i, data in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    rows.append(gathered(i, *read_docx(bytes(data or b""))))
-                except (Part, zipfile.BadZipFile, KeyError) as e:
-                    job = Job()
-                    job.lose("unsupported", "docx_unreadable", "dropped", str(e)[:200], "package could not be read")
-                    rows.append(gathered(i, [], job))
-            yield pd.DataFrame(rows, columns=["doc_id", "title", "language", "nodes", "loss", "preserved", "assets"])
-
-    return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, SCHEMA)
+            rows = [gathered(i, *read_any(bytes(data or b""), t, reader)) for i, data, t in zip(batch["doc_id"], batch["content"], batch["tree"], strict=True)]
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    given = F.col(tree) if tree else F.lit(None).cast("string")
+    return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content"), given.alias("tree")).mapInPandas(run, SCHEMA)
 
 
 # inventories over an entry table

@@ -13,11 +13,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.types import StructType
 
 from parchment.operators.render import Document, render
-from parchment.schemas import ASSETS, LOSS, NODES, PRESERVED
+from parchment.schemas import ANNOTATIONS, ASSETS, LOSS, NODES, PRESERVED
 from parchment.sources import editor
 from parchment.sources.html import read_html
 from parchment.sources.markdown import read_markdown
@@ -32,24 +30,24 @@ READERS: dict[str, Callable[[str], tuple[list[dict], Job]]] = {
 }
 
 
-def _inner(schema: str) -> StructType:
-    return StructType([f for f in T._parse_datatype_string(schema).fields if f.name != "doc_id"])
-
-
-IMPORTED = "doc_id long, title string, language string, nodes array<struct<{n}>>, loss array<struct<{l}>>, preserved array<struct<{p}>>, assets array<struct<{a}>>"
+IMPORTED = "doc_id long, title string, language string, nodes array<struct<{n}>>, loss array<struct<{l}>>, preserved array<struct<{p}>>, assets array<struct<{a}>>, annotations array<struct<{m}>>, theme string"
 
 
 def _fields(schema: str) -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in schema.split(", ") if not f.startswith("doc_id "))
 
 
-SCHEMA = IMPORTED.format(n=_fields(NODES), l=_fields(LOSS), p=_fields(PRESERVED), a=_fields(ASSETS))
+SCHEMA = IMPORTED.format(n=_fields(NODES), l=_fields(LOSS), p=_fields(PRESERVED), a=_fields(ASSETS), m=_fields(ANNOTATIONS))
+COLUMNS = ["doc_id", "title", "language", "nodes", "loss", "preserved", "assets", "annotations", "theme"]
 
 
 def gathered(doc_id, nodes: list[dict], job: Job) -> dict:
     """The row of an imported document."""
     loss = [{"direction": "import", "seq": i, **e} for i, e in enumerate(job.loss)]
-    return {"doc_id": doc_id, "title": job.title, "language": job.language, "nodes": list(flatten(nodes)), "loss": loss, "preserved": job.preserved, "assets": job.assets}
+    return {
+        "doc_id": doc_id, "title": job.title, "language": job.language, "nodes": list(flatten(nodes)), "loss": loss, "preserved": job.preserved, "assets": job.assets, "annotations": job.annotations,
+        "theme": json.dumps(job.theme) if job.theme else None,
+    }
 
 
 def imported(table: DataFrame, fmt: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,7 +56,7 @@ def imported(table: DataFrame, fmt: str, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([gathered(i, *reader(t)) for i, t in zip(batch["doc_id"], batch["text"], strict=True)], columns=["doc_id", "title", "language", "nodes", "loss", "preserved", "assets"])
+            yield pd.DataFrame([gathered(i, *reader(t)) for i, t in zip(batch["doc_id"], batch["text"], strict=True)], columns=COLUMNS)
 
     return table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
 
@@ -80,6 +78,10 @@ def preserved_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline("preserved"))
 
 
+def annotations_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.inline("annotations"))
+
+
 def _document(nodes, assets=(), preserved=(), title=None, language=None) -> Document:
     rows = [n.asDict() if hasattr(n, "asDict") else dict(n) for n in nodes]
     kept = {p["path"]: bytes(p["bytes"]) for p in preserved}
