@@ -15,6 +15,7 @@ from parchment.operators import validate as C
 from parchment.operators import verify as Y
 from parchment.plans.catalog import query, table
 from parchment.sources import importers as I
+from parchment.store import materialise
 
 
 def _nodes(s, d, **columns):
@@ -35,39 +36,37 @@ def _k():
 PATH = "user_id AS doc_id, 'content[' || event_id || ']' AS path"
 
 
-def _codes(parts, *codes):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("code").isin(*codes)).select("doc_id", "path", "code")
+def _codes(issues, *codes):
+    return issues.where(F.col("code").isin(*codes)).select("doc_id", "path", "code")
 
 
 @query("fl2_types", f"SELECT {PATH}, CASE WHEN event_id % 5 = 0 THEN 'type_missing' ELSE 'type_unknown' END AS code FROM events WHERE event_id % 5 < 2")
 def fl2(s, d):
-    return _codes(C.type_rules(_nodes(s, d, type=F.when(_k() == 0, F.lit(None)).when(_k() == 1, "sidebar").otherwise("paragraph"))), "type_missing", "type_unknown")
+    return _codes(C.issues_of(_nodes(s, d, type=F.when(_k() == 0, F.lit(None)).when(_k() == 1, "sidebar").otherwise("paragraph")), C.type_rules()), "type_missing", "type_unknown")
 
 
 @query("fl3_ids", f"SELECT {PATH}, CASE event_id % 5 WHEN 0 THEN 'id_missing' WHEN 1 THEN 'id_invalid' ELSE 'id_prefix' END AS code FROM events WHERE event_id % 5 < 3")
 def fl3(s, d):
     n = F.when(_k() == 0, F.lit(None)).when(_k() == 1, "blk_short").otherwise(X.identifier(F.col("event_id"), "blk"))
-    return _codes(C.id_rules(_nodes(s, d, type=F.when(_k() == 2, "section").otherwise("paragraph"), node_id=n)), "id_missing", "id_invalid", "id_prefix")
+    return _codes(C.issues_of(_nodes(s, d, type=F.when(_k() == 2, "section").otherwise("paragraph"), node_id=n), C.id_rules()), "id_missing", "id_invalid", "id_prefix")
 
 
 @query("fl4_block_fields", f"SELECT {PATH}, CASE event_id % 5 WHEN 0 THEN 'heading_level' WHEN 1 THEN 'list_style' WHEN 2 THEN 'code_text' WHEN 3 THEN 'callout_variant' ELSE 'math_latex' END AS code FROM events")
 def fl4(s, d):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("heading", "list", "code_block", "callout", "math_block")]), (_k() + 1).cast("int"))
-    return _codes(C.block_rules(_nodes(s, d, type=kind, level=F.lit(7), style=F.lit("stars"), variant=F.lit("shout"))), "heading_level", "list_style", "code_text", "callout_variant", "math_latex")
+    return _codes(C.issues_of(_nodes(s, d, type=kind, level=F.lit(7), style=F.lit("stars"), variant=F.lit("shout")), C.block_rules()), "heading_level", "list_style", "code_text", "callout_variant", "math_latex")
 
 
 @query("fl5_table_parts", "SELECT user_id AS doc_id, 'content[' || event_id || ']' AS path, unnest(['table_columns', 'table_rows']) AS code FROM events WHERE event_id % 5 = 0")
 def fl5(s, d):
-    return _codes(C.table_rules(_nodes(s, d, type=F.when(_k() == 0, "table").otherwise("paragraph"))), "table_columns", "table_rows")
+    columns, rows, grid = C.table_rules(_nodes(s, d, type=F.when(_k() == 0, "table").otherwise("paragraph")))
+    return _codes(columns.unionByName(rows).unionByName(grid), "table_columns", "table_rows")
 
 
 @query("fl7_spans", f"SELECT {PATH}, CASE event_id % 5 WHEN 0 THEN 'span_text' WHEN 1 THEN 'link_url' ELSE 'footnote_ref_id' END AS code FROM events WHERE event_id % 5 < 3")
 def fl7(s, d):
     kind = F.when(_k() == 0, "text").when(_k() == 1, "link").when(_k() == 2, "footnote_ref").otherwise("hard_break")
-    return _codes(C.span_rules(_nodes(s, d, kind=F.lit("span"), type=kind)), "span_text", "link_url", "footnote_ref_id")
+    return _codes(C.issues_of(_nodes(s, d, kind=F.lit("span"), type=kind), C.span_rules()), "span_text", "link_url", "footnote_ref_id")
 
 
 @query("fl8_unknown_fields", f"SELECT {PATH}, CASE event_id % 5 WHEN 0 THEN 'unknown_loss_class' WHEN 1 THEN 'unknown_payload_ref' WHEN 2 THEN 'unknown_summary' ELSE 'unknown_payload_missing' END AS code FROM events WHERE event_id % 5 < 4")
@@ -77,14 +76,14 @@ def fl8(s, d):
         summary=F.when(_k() == 2, " ").otherwise("x"),
     )
     held = table(s, d, "events", F.col("user_id").alias("doc_id")).distinct().withColumn("path", F.lit("held"))
-    return _codes(C.unknown_rules(nodes, held), "unknown_loss_class", "unknown_payload_ref", "unknown_summary", "unknown_payload_missing")
+    return _codes(C.issues_of(nodes, C.unknown_rules()).unionByName(C.missing_payloads(nodes, held)), "unknown_loss_class", "unknown_payload_ref", "unknown_summary", "unknown_payload_missing")
 
 
 @query("fl9_format", f"SELECT {PATH}, CASE event_id % 5 WHEN 0 THEN 'format_align' WHEN 1 THEN 'format_line_height' WHEN 2 THEN 'format_color' WHEN 3 THEN 'format_font_size' ELSE 'format_vertical' END AS code FROM events")
 def fl9(s, d):
     bad = F.array(*[F.lit(f'{{"format":{x}}}') for x in ('{"align":"middle"}', '{"lineHeight":9}', '{"color":"red"}', '{"fontSize":0}', '{"verticalAlign":"top"}')])
     codes = ("format_align", "format_line_height", "format_color", "format_font_size", "format_vertical")
-    return _codes(C.format_rules(_nodes(s, d, type=F.lit("text"), extra=F.element_at(bad, (_k() + 1).cast("int")))), *codes)
+    return _codes(C.issues_of(_nodes(s, d, type=F.lit("text"), extra=F.element_at(bad, (_k() + 1).cast("int"))), C.format_rules()), *codes)
 
 
 @query("fl22_unknown_entries", "SELECT user_id AS doc_id, 'other/' || event_id AS path FROM events WHERE event_id % 5 = 0")
@@ -255,7 +254,7 @@ def cm6(s, d):
 
 @query("sc28_export_document", "SELECT page_id AS doc_id, len(regexp_extract_all(html, '<nav>')) + len(regexp_extract_all(html, '<footer>')) + len(regexp_extract_all(html, '<!--')) AS payloads FROM pages")
 def sc28(s, d):
-    docs = I.imported(table(s, d, "pages", "page_id", "html"), "html", "page_id", "html")
+    docs = materialise(I.imported(table(s, d, "pages", "page_id", "html"), "html", "page_id", "html"))  # parsed once
     held = R.payloads(I.nodes_of(docs).where("payload_ref is not null"), I.preserved_of(docs))
     counted = held.groupBy("doc_id").agg(F.count_if(F.col("payload").isNotNull()).alias("payloads"))
     return docs.select("doc_id").join(counted, "doc_id", "left").na.fill(0)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from parchment.plans.catalog import query, table
+from parchment.store import shared_dir
 from parchment.streaming import jobs as J
 
 
@@ -20,7 +20,7 @@ def _stream(s, d, shape):
 
 def _finished(s, stream, name: str):
     """What a stream that ends has written: files in the shared folder, so nothing is gathered by the driver."""
-    folder = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(s)}/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{folder}/rows")

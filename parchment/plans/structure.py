@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parchment.functions import text as X
 from parchment.operators import loss as L
 from parchment.operators import references as R
 from parchment.operators import structure as S
 from parchment.operators import validate as V
 from parchment.plans.catalog import query, table
 from parchment.sources import importers as I
+from parchment.store import materialise
 
 
 def _pages(s, d):
@@ -22,6 +22,11 @@ def _nodes(s, d):
     return I.nodes_of(_pages(s, d))
 
 
+def _parsed(s, d):
+    """The pages parsed once and written, for what reads them several times."""
+    return materialise(_pages(s, d))
+
+
 N = lambda pattern: f"len(regexp_extract_all(html, '{pattern}'))"
 
 
@@ -56,7 +61,7 @@ UNESCAPE = "replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quo
 
 @query("pj11_outline", f"WITH h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1)) AS t FROM pages) SELECT doc_id, 1 AS level, trim({UNESCAPE}) AS text FROM h")
 def pj11(s, d):
-    return S.outline(_nodes(s, d)).select("doc_id", "level", "text")
+    return S.outline(I.nodes_of(_parsed(s, d))).select("doc_id", "level", "text")
 
 
 @query("pj12_title", f"WITH h AS (SELECT page_id AS doc_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM pages) SELECT doc_id, trim({UNESCAPE}) AS title FROM h")
@@ -87,9 +92,9 @@ def jn2(s, d):
 
 @query("jn3_payloads", "SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<nav>.*?</nav>', 0, 's')) AS payload FROM pages")
 def jn3(s, d):
-    docs = _pages(s, d)
+    docs = _parsed(s, d)
     joined = R.payloads(I.nodes_of(docs).where("summary = '<nav>'"), I.preserved_of(docs))
-    return joined.select("doc_id", X.unescape_html(F.lit("")).alias("_e"), F.col("payload").cast("string").alias("payload")).drop("_e")
+    return joined.select("doc_id", F.col("payload").cast("string").alias("payload"))
 
 
 @query("sc10_html_import")
@@ -135,12 +140,39 @@ def sk6b(s, d):
 
 @query("fl1_check_content", "SELECT page_id AS doc_id, 0 AS errors FROM pages")
 def fl1(s, d):
-    docs = _pages(s, d)
-    issues = V.check_content(I.nodes_of(docs), I.preserved_of(docs))
+    docs = _parsed(s, d)
+    issues = V.check_content(materialise(I.nodes_of(docs)), I.preserved_of(docs))
     errors = V.totals(issues).select("doc_id", "errors")
     return docs.select("doc_id").join(errors, "doc_id", "left").select("doc_id", F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
+@query(
+    "fl1_planted_faults",
+    f"""WITH c AS (SELECT page_id AS doc_id, {N('<h1>')} AS h, {N('<article>')} AS a, {N('<nav>')} + {N('<footer>')} + {N('<!--')} AS u, page_id % 8 AS k FROM pages)
+        SELECT doc_id, CASE k WHEN 0 THEN h WHEN 1 THEN u WHEN 2 THEN u WHEN 3 THEN u WHEN 5 THEN h + a - 1 WHEN 6 THEN h ELSE 0 END AS errors, CASE k WHEN 4 THEN u WHEN 5 THEN a WHEN 7 THEN h ELSE 0 END AS warnings,
+               CASE k WHEN 6 THEN a ELSE 0 END AS infos FROM c WHERE CASE k WHEN 0 THEN h WHEN 1 THEN u WHEN 2 THEN u WHEN 3 THEN u WHEN 4 THEN u WHEN 5 THEN h + a WHEN 6 THEN h + a ELSE h END > 0""",
+)
+def fl1b(s, d):
+    # a fault in each page, of a kind that its number gives; the validator is to find just these
+    docs = _parsed(s, d)
+    k, own = F.col("doc_id") % 8, F.lit("blk_" + "0" * 26)
+    heading, section, unknown = F.col("type") == "heading", F.col("type") == "section", F.col("type") == "unknown"
+    nodes = I.nodes_of(docs).withColumns(
+        {
+            "level": F.when(heading & (k == 0), 7).otherwise(F.col("level")),
+            "payload_ref": F.when(unknown & (k == 1), F.lit(None)).when(unknown & (k == 2), "gone").otherwise(F.col("payload_ref")),
+            "loss_class": F.when(unknown & (k == 3), "lost").otherwise(F.col("loss_class")),
+            "summary": F.when(unknown & (k == 4), " ").otherwise(F.col("summary")),
+            "node_id": F.when((heading | section) & (k == 5), own).when(heading & (k == 6), F.lit("blk_1")).otherwise(F.col("node_id")),
+            "type": F.when(section & (k == 6), "aside").otherwise(F.col("type")),
+            "extra": F.when(heading & (k == 7), '{"format":{"color":"red"}}').otherwise(F.col("extra")),
+        }
+    )
+    # what was a section keeps its id, whose prefix is then a warning of its own
+    issues = V.check_content(materialise(nodes), I.preserved_of(docs)).where("not (doc_id % 8 = 6 and code = 'id_prefix')")
+    return V.totals(issues).select("doc_id", "errors", "warnings", "infos")
+
+
 # synthetic trees over tables
 
 
