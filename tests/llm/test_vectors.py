@@ -93,6 +93,29 @@ def test_loose_group(spark):
     assert [found[i].component_id for i in range(len(v))] == lowest.tolist()
 
 
+def test_one_id_under_two_vectors(spark):
+    e = np.eye(8).tolist()
+    near = [1.0, 0.05, *[0.0] * 6]
+    data = [(1, e[0], 1), (1, e[1], 1), (2, near, 1), (3, e[1], 1), (3, e[1], 2), (4, e[2], 2), (5, e[1], 2)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame([(*x, "c", 1) for x in data], SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [
+        (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 1, 1, False),
+    ]
+
+
+def test_passes_over_a_long_label(spark):
+    # a label cut into many runs: pairs well above the threshold are found in some pass, none is counted twice
+    r = np.random.default_rng(8)
+    base = r.normal(size=(1500, 32))
+    v = np.concatenate([base, base[:300] + 0.03 * r.normal(size=(300, 32))]).astype(np.float32).astype(float)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    truth = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    data = [(i, x, 1, "c", 1) for i, x in enumerate(v.tolist())]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(data, SCHEMA), longest=64).collect()
+    assert embedding_dedup.signs(1800, 64) == 5 and embedding_dedup.passes(5, 0.98) > 5
+    assert {x.vec_id: x.n_links for x in found} == dict(enumerate(truth.tolist()))
+
+
 def brute_nearest(data, q, k):
     own = {i: np.array(v, float) for i, v, *_ in data if i is not None and usable(v)}
     near = sorted((float(np.sqrt(((own[q] - w) ** 2).sum())), i) for i, w in own.items() if i != q and len(w) == len(own[q]))
