@@ -38,10 +38,16 @@ def ts1(s, d):
 
 @query("ts4_save_coalescing")
 def ts4(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = F.when(F.col("event_id") % 3 == 0, "done").otherwise("save")
     events = _stream(s, d, lambda t: t.select(F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("event_id"), kind.alias("event")))
-    return _finished(s, J.save_actions(events), "ts4_save_coalescing")
+    # the operator needs this store; the stream ends here, so the session gets its setting back
+    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = s.conf.get(key)
+    s.conf.set(key, own)
+    try:
+        return _finished(s, J.save_actions(events), "ts4_save_coalescing")
+    finally:
+        s.conf.set(key, before)
 
 
 @query("ts2_one_job_at_a_time", "WITH e AS (SELECT event_id, user_id, event_id % 6 AS k, lag(event_id % 6) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT event_id, k = 0 AND p = 0 AS busy FROM e")
