@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from parchment.functions.text import context_of
 
+#: Passages of one or two words that quoted() takes at most.
+SHORT_PASSAGES = 1000
+
 
 def relocate(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """annotations(doc_id, annotation_id, target_block, exact, prefix, suffix), blocks(doc_id, node_id, text) -> decision of each.
@@ -58,3 +61,30 @@ def guarded(results: DataFrame, blocks: DataFrame) -> DataFrame:
     """Model results that may be used: their block exists and is a paragraph, the quote stands in it, confidence is in 0..1."""
     own = blocks.select("doc_id", F.col("node_id").alias("target_block"), "text", "type")
     return results.join(own, ["doc_id", "target_block"]).where(F.contains("text", "exact") & F.col("confidence").between(0, 1) & (F.col("type") == "paragraph")).drop("text", "type")
+
+
+def quoted(texts: DataFrame, passages: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """doc_id and item_id of each text (doc_id, text) that contains a passage (item_id, passage).
+
+    A text that contains a passage holds each of its inner words between blanks, so the longest inner word is the key of an
+    equi-join; only keys move in it, and a text is fetched once for the passages whose key it holds. Passages of one or two words
+    have no inner word: they are compared with every text, in one pass over the texts, as a list on each row. There may be a few
+    of them at most, which is checked.
+    """
+    inner = F.expr("slice(split(passage, ' '), 2, greatest(size(split(passage, ' ')) - 2, 0))")
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = passages.select(F.col(item_id).alias("item_id"), "passage", key.alias("word"))
+    long, short = keyed.where("word is not null and word <> ''"), keyed.where("(word is null or word = '') and passage <> ''")
+    given = texts.select(F.col(doc_id).alias("doc_id"), "text")
+    words = given.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    near = words.join(long.select("item_id", "word"), "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    fetched = near.join(given, "doc_id").select("doc_id", "text", F.explode("items").alias("item_id"))
+    hits = fetched.join(long.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    few = short.select("item_id", "passage").limit(SHORT_PASSAGES + 1).collect()
+    if len(few) > SHORT_PASSAGES:
+        raise ValueError(f"more than {SHORT_PASSAGES} passages of one or two words")
+    if few:
+        listed = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.passage).alias("passage")) for r in few])
+        brief = given.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("text"), x["passage"]))).alias("x")).select("doc_id", "x.item_id")
+        hits = hits.unionByName(brief)
+    return hits.distinct()

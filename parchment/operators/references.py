@@ -59,17 +59,17 @@ def style_chain(styles: DataFrame, hops: int = 16) -> DataFrame:
 
     A recursive query of at most hops steps; cycles end with it.
     """
-    spark = styles.sparkSession
-    styles.createOrReplaceTempView("_styles")
-    return spark.sql(
+    # the table is passed to the query, so no name is taken in the session
+    return styles.sparkSession.sql(
         f"""
         WITH RECURSIVE chain(style, at, based_on, depth, bold, font, size) MAX RECURSION LEVEL {hops + 2} AS (
-          SELECT style, style, based_on, 0, bold, font, size FROM _styles
+          SELECT style, style, based_on, 0, bold, font, size FROM {{styles}}
           UNION ALL
-          SELECT c.style, s.style, s.based_on, c.depth + 1, s.bold, s.font, s.size FROM chain c JOIN _styles s ON c.based_on = s.style WHERE c.depth < {hops - 1})
+          SELECT c.style, s.style, s.based_on, c.depth + 1, s.bold, s.font, s.size FROM chain c JOIN {{styles}} s ON c.based_on = s.style WHERE c.depth < {hops - 1})
         SELECT style, bool_or(bold) AS bold, min_by(font, CASE WHEN font IS NOT NULL THEN depth END) AS font,
                min_by(size, CASE WHEN size IS NOT NULL THEN depth END) AS size, max(depth) + 1 AS hops
-        FROM chain GROUP BY style"""
+        FROM chain GROUP BY style""",
+        styles=styles,
     )
 
 

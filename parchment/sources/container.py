@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,21 +205,40 @@ def _scan(data: bytes) -> Iterator[dict]:
         at = max(after, at + 4)
 
 
+#: Bytes of entries that a batch holds before it is handed on.
+BATCH_BYTES = 8 << 20
+
+
+def _batches(rows: Iterator[tuple], names: list[str], at: int) -> Iterator[pd.DataFrame]:
+    """Rows in data frames of about BATCH_BYTES, by the length of the field at that position."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at] or b"") + 64
+        if size >= BATCH_BYTES:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 def entries(files: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
     """A row for each entry of each file; a file that is refused gives one row with the reason as its warning."""
+    names = [f.split()[0] for f in ENTRIES.split(", ")]
+
+    def opened(batch: pd.DataFrame) -> Iterator[tuple]:
+        for i, data in zip(batch["doc_id"], batch["content"], strict=True):
+            try:
+                c = open_container(bytes(data or b""))
+            except Refused as e:
+                yield (i, None, None, None, None, None, None, None, str(e))
+                continue
+            for k, e in enumerate(c.archive.infolist()):
+                yield (i, e.filename, k, e.file_size, e.compress_size, METHODS[e.compress_type], True, c.archive.read(e), "; ".join(c.warnings) or None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, data in zip(batch["doc_id"], batch["content"], strict=True):
-                rows = []
-                try:
-                    c = open_container(bytes(data or b""))
-                    for k, e in enumerate(c.archive.infolist()):
-                        payload = c.archive.read(e)
-                        rows.append((i, e.filename, k, e.file_size, e.compress_size, METHODS[e.compress_type], True, payload, "; ".join(c.warnings) or None))
-                except Refused as e:
-                    rows.append((i, None, None, None, None, None, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in ENTRIES.split(", ")])
+            yield from _batches(opened(batch), names, names.index("bytes"))
 
     return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, ENTRIES)
 
@@ -236,12 +256,53 @@ def recovered(files: DataFrame, doc_id: str = "doc_id", content: str = "content"
 
 def packed(table: DataFrame, name: str = "PARCHM", deflate: bool = True) -> DataFrame:
     """doc_id and content: the entries (doc_id, name, bytes) of each document as a container."""
+    return packed_rows(table.groupBy("doc_id").agg(F.collect_list(F.struct("name", "bytes")).alias("entries")), name, deflate)
+
+
+def packed_rows(table: DataFrame, name: str = "PARCHM", deflate: bool = True) -> DataFrame:
+    """doc_id and content: a container for each row, from its array entries of (name, bytes). Nothing is exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pack(sorted((e["name"], e["bytes"]) for e in row or []), name, deflate=deflate) for row in batch["entries"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made, pa.binary())], ["doc_id", "content"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = pack([(n, bytes(b)) for n, b in sorted(zip(pdf["name"], pdf["bytes"], strict=True))], name, deflate=deflate)
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], made)], columns=["doc_id", "content"])
+    return table.select(F.col("doc_id").cast("long").alias("doc_id"), "entries").mapInArrow(run, "doc_id long, content binary")
 
-    return table.groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
+
+def rewritten(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """doc_id and content: containers (doc_id, content) with changes (doc_id, name, bytes) set; one without changes keeps its bytes."""
+    new = changes.groupBy("doc_id").agg(F.collect_list(F.struct("name", "bytes")).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for data, entries_ in zip(batch["content"].to_pylist(), batch["entries"].to_pylist(), strict=True):
+                if entries_:
+                    c = open_container(data)
+                    for e in sorted(entries_, key=lambda e: e["name"]):
+                        c.set(e["name"], e["bytes"])
+                    data = c.write()
+                made.append(data)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made, pa.binary())], ["doc_id", "content"])
+
+    joined = files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").join(new, "doc_id", "left")
+    return joined.select("doc_id", "content", "entries").mapInArrow(run, "doc_id long, content binary")
+
+
+def headers(table: DataFrame, name: str = "PARCHM") -> DataFrame:
+    """doc_id and content: the header of each row (doc_id, minor, flags, extension), encoded with its checksum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for minor, flags, extension in zip(*(batch[c].to_pylist() for c in ("minor", "flags", "extension")), strict=True):
+                size = HEADER_SIZE + len(extension or b"")
+                made.append(Header(name, VERSION, minor, size, flags, size, extension or b"").to_bytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made, pa.binary())], ["doc_id", "content"])
+
+    kept = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("minor").cast("int").alias("minor"), F.col("flags").cast("int").alias("flags"), "extension")
+    return kept.mapInArrow(run, "doc_id long, content binary")
 
 
 # header fields of a binary column, without Python

@@ -41,13 +41,18 @@ def step(phase: str | None, event: str) -> tuple[str, bool]:
 OUTPUT = "job long, event_id long, event string, phase string, taken boolean"
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator:
+    """A key's events of a micro-batch in order, also where they come in several Arrow batches."""
+    parts = list(batches)
+    return pd.concat(parts).sort_values("event_id").itertuples() if parts else iter(())
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     phase = state.get[0] if state.exists else None
     rows = []
-    for batch in batches:
-        for r in batch.sort_values("event_id").itertuples():
-            phase, taken = step(phase, r.event)
-            rows.append((key[0], r.event_id, r.event, phase, taken))
+    for r in _in_order(batches):
+        phase, taken = step(phase, r.event)
+        rows.append((key[0], r.event_id, r.event, phase, taken))
     state.update((phase,))
     yield pd.DataFrame(rows, columns=["job", "event_id", "event", "phase", "taken"])
 
@@ -66,10 +71,9 @@ class Coalescer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         running, waiting = self.state.get() or (False, False)
         out = []
-        for batch in rows:
-            for r in batch.sort_values("event_id").itertuples():
-                running, waiting, action = coalesce(running, waiting, r.event)
-                out.append((key[0], r.event_id, action))
+        for r in _in_order(rows):
+            running, waiting, action = coalesce(running, waiting, r.event)
+            out.append((key[0], r.event_id, action))
         self.state.update((running, waiting))
         yield pd.DataFrame(out, columns=["session", "event_id", "action"])
 
@@ -108,3 +112,30 @@ def accepted_writes(writes: DataFrame, session: str, order: str, seen: str, cont
     """writes with accepted: whether the fingerprint a writer has seen is that of the write before it."""
     before = F.lag(F.sha2(content, 256)).over(Window.partitionBy(session).orderBy(order))
     return writes.withColumn("accepted", F.col(seen).eqNullSafe(before))
+
+
+def opened_once(opens: DataFrame, user: str, path: str, order: str) -> DataFrame:
+    """opens with session: a path that a user has open already leads to the session that opened it first."""
+    return opens.withColumn("session", F.min(order).over(Window.partitionBy(user, path)))
+
+
+def busy(events: DataFrame, session: str, order: str, event: str) -> DataFrame:
+    """events with busy: a start while the last start or end before it was a start, as one job runs at a time."""
+    so_far = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(event).isin("start", "end"), F.col(event)), ignorenulls=True).over(so_far)
+    return events.withColumn("busy", (F.col(event) == "start") & F.coalesce(last == "start", F.lit(False)))
+
+
+def publish_conflicts(jobs: DataFrame, writes: DataFrame, session: str) -> DataFrame:
+    """jobs(session, job, started, committed) with conflict: whether the input changed between start and commit.
+
+    Under the commit gate a job reads its input again: it conflicts if the last write (session, at, sha) up to its commit has
+    another hash than the last one up to its start. One window over writes and both moments of all jobs; no range join.
+    """
+    moments = jobs.select(session, "job", F.explode(F.array(F.struct(F.col("started").alias("at"), F.lit("s").alias("kind")), F.struct(F.col("committed").alias("at"), F.lit("c").alias("kind")))).alias("m"))
+    moments = moments.select(session, F.col("m.at").alias("at"), F.lit(None).cast("string").alias("sha"), "job", F.col("m.kind").alias("kind"))
+    every = writes.select(session, "at", "sha", F.lit(None).cast(jobs.schema["job"].dataType).alias("job"), F.lit("").alias("kind")).unionByName(moments)
+    seen = F.last("sha", ignorenulls=True).over(Window.partitionBy(session).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    known = every.withColumn("seen", seen).where("kind <> ''")
+    pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("seen")))
+    return known.groupBy(session, "job").agg((~pick("s").eqNullSafe(pick("c"))).alias("conflict"))
