@@ -231,3 +231,56 @@ def resolve_entity(name: Column) -> Column:
     for k, v in named.items():
         out = out.when(name == k, v)
     return out.otherwise(F.concat(F.lit("&"), name, F.lit(";")))
+
+
+# print themes and fingerprints
+
+#: Page margins where a theme gives none, and their bounds, in millimetres.
+MARGINS, LEAST_MARGIN, MOST_MARGIN = {"top": 22.0, "right": 18.0, "bottom": 22.0, "left": 18.0}, 5.0, 60.0
+
+
+def normal_theme(theme: Column) -> Column:
+    """Page settings of a theme, a JSON object, as a struct: page_size, orientation, four margins, header and footer.
+
+    A margin is the theme's own, else that of its default page (one to four numbers, as CSS has them), else a fixed one; it is rounded
+    to a tenth and clamped. Header and footer end after 200 characters. What is no object gives the defaults.
+    """
+    at = lambda path: F.get_json_object(theme, path)
+    spec = F.split(F.coalesce(at("$.defaults.page.size"), F.lit("")), r"\s+")
+    given = F.transform(F.regexp_extract_all(F.coalesce(at("$.defaults.page.margin"), F.lit("")), F.lit(r"([\d.]+)")), lambda x: x.try_cast("double"))
+    page = lambda *places: F.coalesce(*[F.get(given, F.lit(i)) for i in places])
+    own = {"top": page(0), "right": page(3, 1), "bottom": page(2, 0), "left": page(3, 1)}
+    letter = (at("$.pageSize") == "Letter") | (F.get(spec, F.lit(0)) == "Letter")
+    landscape = (at("$.orientation") == "landscape") | (F.get(spec, F.lit(1)) == "landscape")
+
+    def margin(side: str) -> Column:
+        value = F.coalesce(at(f"$.margins.{side}").try_cast("double"), own[side], F.lit(MARGINS[side]))
+        return F.greatest(F.lit(LEAST_MARGIN), F.least(F.lit(MOST_MARGIN), F.round(value, 1))).alias(side)
+
+    return F.struct(
+        F.when(F.coalesce(letter, F.lit(False)), "Letter").otherwise("A4").alias("page_size"), F.when(F.coalesce(landscape, F.lit(False)), "landscape").otherwise("portrait").alias("orientation"),
+        *[margin(side) for side in MARGINS], F.coalesce(F.substring(at("$.header"), 1, 200), F.lit("")).alias("header"), F.coalesce(F.substring(at("$.footer"), 1, 200), F.lit("")).alias("footer"),
+    )
+
+
+def inline_first_script(html: Column, body: Column) -> Column:
+    """The first script element with a body of its own instead of what it had or loaded; a page without one stays."""
+    pattern = r"(?s)^(.*?)<script\b[^>]*>.*?</script>(.*)$"
+    made = F.concat(F.regexp_extract(html, pattern, 1), F.lit("<script>\n"), body, F.lit("\n</script>"), F.regexp_extract(html, pattern, 2))
+    return F.when(html.rlike(pattern), made).otherwise(html)
+
+
+def little_endian(n: Column) -> Column:
+    """A whole number as eight bytes, the least first."""
+    h = F.lpad(F.hex(n.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(8))]))
+
+
+def file_fingerprint(path: Column, length: Column, seconds: Column) -> Column:
+    """Hash of a file's path, length and time of change."""
+    return F.sha2(F.concat(path.cast("binary"), little_endian(F.coalesce(length, F.lit(0))), little_endian(F.coalesce(seconds, F.lit(0)))), 256)
+
+
+def preview_hash(content: Column, theme: Column, css_version: str, engine: str) -> Column:
+    """Hash of all that a page preview depends on."""
+    return F.sha2(F.concat(content, F.coalesce(theme, F.lit("")), F.lit(css_version), F.lit(engine)), 256)

@@ -101,3 +101,8 @@ def prefer(staged: DataFrame, registered: DataFrame, key: str, value: str) -> Da
     """A staged value goes before a registered one."""
     a, b = staged.select(key, F.col(value).alias("_a")), registered.select(key, F.col(value).alias("_b"))
     return a.join(b, key, "full").select(key, F.coalesce("_a", "_b").alias(value), F.when(F.col("_a").isNotNull(), "staged").otherwise("registered").alias("origin"))
+
+
+def first_refs(nodes: DataFrame, column: str) -> DataFrame:
+    """doc_id, ref and first: the distinct references of a column, with the place of the first use, by which they are ordered."""
+    return nodes.where(F.col(column).isNotNull()).groupBy("doc_id", F.col(column).alias("ref")).agg(F.min("seq").alias("first"))

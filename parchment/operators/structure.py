@@ -127,3 +127,13 @@ def style_slugs(styles: DataFrame, doc: str, order: str, name: str) -> DataFrame
     kept = styles.select(doc, order, name)
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     return kept.groupBy(doc).applyInArrow(run, f"{doc} {kinds[doc]}, {order} {kinds[order]}, slug string")
+
+
+def count_chars(nodes: DataFrame) -> DataFrame:
+    """doc_id and n: the characters of all text in a document."""
+    return nodes.where("text is not null").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
+
+
+def text_index(nodes: DataFrame) -> DataFrame:
+    """doc_id and index, a map from the path of each block with spans to its plain text."""
+    return plain_spans(nodes).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("index"))

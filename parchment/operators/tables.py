@@ -93,10 +93,12 @@ def format_state(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_format(spans: DataFrame, key: str, value: str | None) -> DataFrame:
-    """spans with a key of the format extension set, or cleared; other members of extra stay."""
-    whole = F.from_json(F.coalesce("extra", F.lit("{}")), "map<string,string>")
-    own = F.coalesce(F.from_json(F.get_json_object("extra", "$.format"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    rest = F.map_filter(own, lambda k, _: k != key)
-    new = rest if value is None else F.map_concat(rest, F.create_map(F.lit(key), F.lit(value)))
+    """spans with a key of the format extension set, or cleared; other members of extra stay as they are, of whatever type."""
+    members = "map<string,variant>"
+    empty = F.create_map().cast(members)
+    whole = F.coalesce(F.from_json("extra", members), empty)
+    own = F.coalesce(F.from_json(F.get_json_object("extra", "$.format"), members), empty)
+    kept = F.map_filter(own, lambda k, _: k != key)
+    new = kept if value is None else F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(F.to_json(F.array(F.lit(value)))).cast("array<variant>")[0]))
     others = F.map_filter(whole, lambda k, _: k != "format")
-    return spans.withColumn("extra", F.to_json(F.map_concat(F.map_from_entries(F.array(F.struct(F.lit("format"), F.to_json(new)))), others)))
+    return spans.withColumn("extra", F.to_json(F.map_concat(others, F.create_map(F.lit("format"), F.parse_json(F.to_json(new))))))

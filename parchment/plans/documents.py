@@ -207,18 +207,6 @@ def cm21(s, d):
 # model pipeline with the deterministic provider
 
 
-@query(
-    "cm15_model_pipeline",
-    """SELECT conv_id AS doc_id, arg_max(turn, struct_pack(n := length(text), t := turn)) FILTER (length(text) >= 20) AS block,
-       left(arg_max(text, struct_pack(n := length(text), t := turn)) FILTER (length(text) >= 20), 24) AS label FROM conversations GROUP BY 1""",
-)
-def cm15(s, d):
-    c = table(s, d, "conversations").where(F.length("text") >= 20)
-    every = table(s, d, "conversations", F.col("conv_id").alias("doc_id")).distinct()
-    best = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.max_by(F.struct("turn", "text"), F.struct(F.length("text"), "turn")).alias("b"))
-    return every.join(best, "doc_id", "left").select("doc_id", F.col("b.turn").alias("block"), F.substring("b.text", 1, 24).alias("label"))
-
-
 @query("st4_longest", "SELECT source, arg_max(doc_id, struct_pack(n := length(text), d := doc_id)) AS doc_id FROM documents GROUP BY source")
 def st4(s, d):
     return table(s, d, "documents", "doc_id", "text", "source").groupBy("source").agg(F.max_by("doc_id", F.struct(F.length("text"), "doc_id")).alias("doc_id"))
@@ -247,11 +235,6 @@ def st5(s, d):
     return table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
 
 
-@query("ag11_count_chars", "SELECT conv_id, sum(length(text)) AS n FROM conversations GROUP BY 1")
-def ag11(s, d):
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
-
-
 @query("ag16_footnote_index", "SELECT user_id AS doc_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'click') GROUP BY 1")
 def ag16(s, d):
     e = table(s, d, "events", "event_id", "user_id", "event_type")
@@ -272,17 +255,8 @@ def ag14(s, d):
     return I.nodes_of(docs).groupBy("doc_id").agg(F.count_if(F.col("type") == "unknown").alias("unknown"))
 
 
-@query("cm2_info", "SELECT conv_id AS doc_id, max(turn) + 1 AS revisions, arg_max(role, turn) AS head_author, count(DISTINCT role) AS authors FROM conversations GROUP BY 1")
-def cm2(s, d):
-    g = table(s, d, "conversations").groupBy(F.col("conv_id").alias("doc_id"))
-    return g.agg((F.max("turn") + 1).alias("revisions"), F.max_by("role", "turn").alias("head_author"), F.count_distinct("role").alias("authors"))
-
-
 @query("cm22_recovery_drafts", "SELECT left(sha256(CAST(user_id AS VARCHAR)), 24) || '.draft.json' AS name, max(ts) AS at FROM events GROUP BY user_id")
 def cm22(s, d):
     return table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("at")).select(X.recovery_name(F.col("user_id").cast("string")).alias("name"), "at")
 
 
-@query("pj10_rewrite_block", "SELECT conv_id, turn, CASE WHEN turn = 1 AND role = 'assistant' THEN 'rewritten' ELSE text END AS text FROM conversations")
-def pj10(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.when((F.col("turn") == 1) & (F.col("role") == "assistant"), "rewritten").otherwise(F.col("text")).alias("text"))

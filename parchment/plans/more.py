@@ -138,13 +138,6 @@ def ag13(s, d):
     return V.next_sequence(table(s, d, "events").select(F.col("user_id").alias("doc_id"), path.alias("path")), "reports/export-")
 
 
-@query("ag15_text_index", "SELECT conv_id, map_from_entries(list((turn, left(text, 5)) ORDER BY turn))[1] AS second FROM conversations GROUP BY conv_id")
-def ag15(s, d):
-    entries = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 5))))
-    index = table(s, d, "conversations").groupBy("conv_id").agg(F.map_from_entries(entries).alias("m"))
-    return index.select("conv_id", F.try_element_at("m", F.lit(1).cast("long")).alias("second"))
-
-
 @query("w6_list_assembly", "WITH k AS (SELECT conv_id, turn, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS list FROM k) SELECT conv_id, list, count(*) AS items FROM i GROUP BY ALL")
 def w6(s, d):
     from parchment.operators.structure import islands

@@ -144,14 +144,6 @@ def jn23(s, d):
     return table(s, d, "events", "event_id", "event_type").join(F.broadcast(defs), "event_type", "left").select("event_id", "def")
 
 
-@query("cm16_classify_assets", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'staged' WHEN 1 THEN 'embedded' WHEN 2 THEN 'external' ELSE 'unknown' END AS storage FROM documents")
-def cm16(s, d):
-    i = F.col("doc_id").cast("string")
-    ref = F.element_at(F.array(F.concat(F.lit("asset://as_"), i), F.lit("data:image/png;base64,AA"), F.lit("https://example.com/x"), F.lit("x.png")), (F.col("doc_id") % 4 + 1).cast("int"))
-    kind = F.when(ref.startswith("asset://"), "staged").when(ref.startswith("data:"), "embedded").when(ref.rlike("^https?://"), "external").otherwise("unknown")
-    return table(s, d, "documents", "doc_id").select("doc_id", kind.alias("storage"))
-
-
 # conversations as revision chains
 
 
@@ -184,11 +176,6 @@ def jn19(s, d):
     return manifest.join(_revisions(s, d), ["doc_id", "rev"], "left_semi").select("doc_id")
 
 
-@query("ag6_author_counts", "SELECT conv_id AS doc_id, count(*) FILTER (role = 'assistant') AS ai, count(*) FILTER (role = 'user') AS human, count(*) FILTER (role = 'system') AS system FROM conversations GROUP BY 1")
-def ag6(s, d):
-    return _revisions(s, d).groupBy("doc_id").pivot("author_type", ["ai", "human", "system"]).agg(F.count("rev")).na.fill(0)
-
-
 WORDS = "w AS (SELECT DISTINCT conv_id AS doc_id, turn AS rev, unnest(string_split(text, ' ')) AS item FROM conversations), r AS (SELECT conv_id AS doc_id, turn AS rev, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations)"
 
 
@@ -284,11 +271,6 @@ def sc4(s, d):
     return C.within_limits(_entries(s, d)).select("doc_id", "n_entries", "largest", "total", "ok")
 
 
-@query("sc6_entry_names", "SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS name FROM documents")
-def sc6(s, d):
-    return _entries(s, d).select("doc_id", "name")
-
-
 @query("sc15_inventory", "SELECT source AS doc_id, bool_or(doc_id % 9 = 1) AS has_headers, bool_or(doc_id % 9 = 2) AS has_footers, bool_or(doc_id % 9 = 3) AS has_comments, count(*) FILTER (doc_id % 9 > 3) AS n_media FROM documents GROUP BY 1")
 def sc15(s, d):
     from parchment.sources.docx import inventory
@@ -339,11 +321,6 @@ def se2(s, d):
     return keys.where(~F.col("key").isin("known"))
 
 
-@query("se3_distinct_refs", "SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL")
-def se3(s, d):
-    return table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-
-
 @query("se4_issue_union", "SELECT doc_id, 'quality' AS issue FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1")
 def se4(s, d):
     t = table(s, d, "labels")

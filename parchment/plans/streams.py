@@ -50,15 +50,6 @@ def ts4(s, d):
         s.conf.set(key, before)
 
 
-@query("ts2_one_job_at_a_time", "WITH e AS (SELECT event_id, user_id, event_id % 6 AS k, lag(event_id % 6) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT event_id, k = 0 AND p = 0 AS busy FROM e")
-def ts2(s, d):
-    from pyspark.sql import Window
-
-    e = table(s, d, "events", "event_id", "user_id").withColumn("k", F.col("event_id") % 6)
-    before = F.lag("k").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return e.select("event_id", ((F.col("k") == 0) & (before == 0)).alias("busy"))
-
-
 @query("ts3_stale_epoch", "SELECT event_id, event_id % 7 < max(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) AS stale FROM events")
 def ts3(s, d):
     e = table(s, d, "events", "event_id", "user_id").withColumn("epoch", F.col("event_id") % 7)
@@ -81,6 +72,3 @@ def ts6(s, d):
     return J.accepted_writes(writes, "conv_id", "turn", "seen", "text").select("conv_id", "turn", "accepted")
 
 
-@query("ts7_open_once", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
-def ts7(s, d):
-    return table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))

@@ -85,11 +85,6 @@ def ag7(s, d):
     return R.capability(_nodes(s, d)).where("status = 'preserved'").select("doc_id", F.col("n").alias("preserved"))
 
 
-@query("jn2_link_hosts", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS url FROM pages")
-def jn2(s, d):
-    return table(s, d, "pages", "page_id", "html").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("url"))
-
-
 @query("jn3_payloads", "SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<nav>.*?</nav>', 0, 's')) AS payload FROM pages")
 def jn3(s, d):
     docs = _parsed(s, d)
@@ -230,12 +225,6 @@ def w4(s, d):
     return S.auto_labels(c, ["conv_id"], "turn", "label").select("conv_id", "turn", "shown")
 
 
-@query("w5_list_markers", "SELECT conv_id, turn, CAST(5 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS VARCHAR) || '. ' AS marker FROM conversations")
-def w5(s, d):
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(s, d, "conversations", "conv_id", "turn").select("conv_id", "turn", F.concat((n + 4).cast("string"), F.lit(". ")).alias("marker"))
-
-
 @query("w8_resolve_ids", "SELECT event_id, event_type <> 'view' AND row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS keeps FROM events")
 def w8(s, d):
     e = table(s, d, "events", "event_id", "user_id", "event_type")

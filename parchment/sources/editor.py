@@ -173,3 +173,14 @@ def stable(nodes: list[dict]) -> list[dict]:
                 n[slot] = stable(merged(n[slot]) if slot in ("content", "caption") else n[slot])
         out.append({k: v for k, v in n.items() if v != []})
     return out
+
+
+def schema_spec() -> dict:
+    """The editor's schema as its nodes and marks, made from the same tables that the mapping uses."""
+    from parchment.schemas import SPAN_TYPES
+
+    inner = {"section": "block+", "quote": "block+", "callout": "block+", "footnote": "block+", "list": "list_item+", "list_item": "block+", "table": "table_row+", "table_row": "table_cell*", "table_cell": "block*"}
+    nodes = {NAMES.get(t, t): {"group": "block", "content": inner.get(NAMES.get(t, t), "inline*" if t in ("paragraph", "heading") else "text*" if t == "code_block" else "")} for t in (*NODE_TYPES, "row", "cell")}
+    atoms = {t: {"group": "inline", "content": "", "atom": True} for t in SPAN_TYPES if t not in RANK and t not in ("text", "unknown")}
+    marks = {name: {"rank": rank, "attrs": ["url", "title"] if name == "link" else []} for name, rank in RANK.items()}
+    return {"nodes": nodes | atoms | {"text": {"group": "inline", "content": ""}}, "marks": marks, "attrs": ["id", *FIELDS]}
