@@ -156,12 +156,6 @@ def fn37(s, d):
     return _mapped(t, "page_id long, html string, removed boolean", sanitize_fragment).select("page_id", "removed", F.regexp_count("html", F.lit("<script")).cast("long").alias("scripts"))
 
 
-@query("fn38_sanitize_paste")
-def fn38(s, d):
-    out = "page_id long, html string, dropped int, unwrapped int, attributes int"
-    return _mapped(table(s, d, "pages", "page_id", "html"), out, lambda t: tuple(sanitize_paste(t, "match").values()))
-
-
 # table edits over nations as a grid
 
 

@@ -481,3 +481,30 @@ def mp40(s, d):
 def mp41(s, d):
     src = r"concat('# ', p_name, '\n\n', p_type, '\n\n', p_size + 1, '. ', p_name, '\n\n```\n', p_brand, '\n```\n\n> ', p_type, '\n\n| a |\n| - |\n| ', p_size, ' |')"
     return _converted(s, d, "markdown", "text", src)
+
+
+# plain text, counts and pasted content
+
+
+@query("ag3_count_nodes", "SELECT p_partkey AS doc_id, p_size + 2 AS blocks, p_size + 3 AS spans FROM part")
+def ag3(s, d):
+    nodes = I.nodes_of(_read(s, d, "markdown", r"concat(repeat('- a\n', p_size), '\n*', p_name, '* ', p_type)"))
+    return nodes.groupBy("doc_id").agg(F.count_if(F.col("kind") == "block").alias("blocks"), F.count_if(F.col("kind") == "span").alias("spans"))
+
+
+@query("fn1_plain_spans", "SELECT p_partkey AS doc_id, p_name || ' ' || p_type || chr(10) || p_brand || ' x_' || p_size || ' alt' AS text FROM part")
+def fn1(s, d):
+    src = r"concat('**', p_name, '** [', p_type, '](/x)\\\n`', p_brand, '` $x_', p_size, '$ ![alt](https://example.com/i.png)')"
+    return S.plain_spans(I.nodes_of(_read(s, d, "markdown", src))).select("doc_id", "text")
+
+
+@query("fn2_plain_blocks", "SELECT p_partkey AS doc_id, unnest([p_name, p_name || chr(10) || p_type, 'a' || chr(9) || 'b' || chr(10) || p_type || chr(9) || p_size, p_brand]) AS text FROM part")
+def fn2(s, d):
+    src = r"concat('# ', p_name, '\n\n- ', p_name, '\n- *', p_type, '*\n\n| a | b |\n| - | - |\n| ', p_type, ' | ', p_size, ' |\n\n```\n', p_brand, '\n```')"
+    return I.plain_blocks(_read(s, d, "markdown", src)).where("depth = 0 and type <> 'section'").select("doc_id", "text")
+
+
+@query("fn38_sanitize_paste", """SELECT p_partkey AS doc_id, '<p>' || p_name || ' ' || p_type || ' <a href="/x">' || p_brand || '</a></p>' AS html, 1 AS dropped, 2 AS unwrapped, 3 AS attributes FROM part""")
+def fn38(s, d):
+    src = """concat('<p class="c" onclick="x()"><b>', p_name, '</b> <font>', p_type, '</font> <a href="/x" target="_blank">', p_brand, '</a><script>1</script></p>')"""
+    return I.pasted(table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(src).alias("html")), "match")

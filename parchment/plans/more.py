@@ -170,19 +170,6 @@ def fn23(s, d):
     return table(s, d, "events", "event_id", "props").select("event_id", last.alias("blocks")).where("blocks <> '{}'")
 
 
-@query("fn2_plain_blocks")
-def fn2(s, d):
-    from parchment.tree import blocks, plain_block
-    from parchment.sources.html import read_html
-
-    def run(batches):
-        for b in batches:
-            rows = [(i, n["node_id"], plain_block(n)) for i, h in zip(b["page_id"], b["html"], strict=True) for n in blocks(read_html(h)[0])]
-            yield pd.DataFrame(rows, columns=["page_id", "node_id", "text"])
-
-    return table(s, d, "pages", "page_id", "html").mapInPandas(run, "page_id long, node_id string, text string")
-
-
 @query("sc3_header_crc", "SELECT doc_id, doc_id % 2 = 0 AS crc_ok FROM documents")
 def sc3(s, d):
     from parchment.plans.documents import _packed

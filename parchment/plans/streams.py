@@ -27,16 +27,38 @@ def _finished(s, stream, name: str):
 
 
 EVENTS = ("start", "run", "commit", "succeed", "cancel", "fail")
-
-
-@query("ts1_job_phases")
+NUMBERED = f"e AS (SELECT user_id AS job, event_id, {list(EVENTS)}[event_id % 6 + 1] AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)"
+# the phase before any event is null; an event that is refused before the first start leaves it queued
+PHASE = """CASE WHEN p.phase IS NULL OR p.phase IN ('succeeded', 'failed', 'cancelled') THEN CASE WHEN e.event = 'start' THEN 'queued' ELSE coalesce(p.phase, 'queued') END
+  WHEN e.event = 'start' THEN p.phase WHEN e.event = 'cancel' THEN CASE WHEN p.phase IN ('queued', 'running') THEN 'cancelling' ELSE p.phase END WHEN p.phase = 'cancelling' THEN 'cancelled'
+  WHEN e.event = 'run' THEN CASE WHEN p.phase = 'queued' THEN 'running' ELSE p.phase END WHEN e.event = 'commit' THEN CASE WHEN p.phase = 'running' THEN 'committing' ELSE p.phase END
+  WHEN e.event = 'succeed' THEN CASE WHEN p.phase = 'committing' THEN 'succeeded' ELSE p.phase END WHEN e.event = 'fail' THEN 'failed' ELSE p.phase END"""
+TAKEN = """CASE WHEN p.phase IS NULL OR p.phase IN ('succeeded', 'failed', 'cancelled') THEN e.event = 'start' WHEN e.event = 'start' THEN false WHEN e.event = 'cancel' THEN p.phase IN ('queued', 'running')
+  WHEN p.phase = 'cancelling' THEN true WHEN e.event = 'run' THEN p.phase = 'queued' WHEN e.event = 'commit' THEN p.phase = 'running' WHEN e.event = 'succeed' THEN p.phase = 'committing' ELSE e.event = 'fail' END"""
+
+
+@query(
+    "ts1_job_phases",
+    f"""WITH RECURSIVE {NUMBERED}, r AS (
+          SELECT job, event_id, event, n, {PHASE.replace("p.phase", "CAST(NULL AS VARCHAR)")} AS phase, {TAKEN.replace("p.phase", "CAST(NULL AS VARCHAR)")} AS taken FROM e WHERE n = 1
+          UNION ALL SELECT e.job, e.event_id, e.event, e.n, {PHASE}, {TAKEN} FROM r p JOIN e ON e.job = p.job AND e.n = p.n + 1)
+        SELECT job, event_id, event, phase, taken FROM r""",
+)
 def ts1(s, d):
     kind = F.element_at(F.array(*[F.lit(e) for e in EVENTS]), (F.col("event_id") % 6 + 1).cast("int"))
     events = _stream(s, d, lambda t: t.select(F.col("user_id").cast("long").alias("job"), F.col("event_id").cast("long").alias("event_id"), kind.alias("event")))
     return _finished(s, J.job_phases(events), "ts1_job_phases")
 
 
-@query("ts4_save_coalescing")
+@query(
+    "ts4_save_coalescing",
+    """WITH RECURSIVE e AS (SELECT user_id AS session, event_id, event_id % 3 = 0 AS done, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (
+         SELECT session, event_id, n, NOT done AS running, false AS waiting, CASE WHEN done THEN 'idle' ELSE 'begin' END AS action FROM e WHERE n = 1
+         UNION ALL SELECT e.session, e.event_id, e.n, CASE WHEN e.done THEN p.waiting ELSE true END, CASE WHEN e.done THEN false WHEN p.running THEN true ELSE p.waiting END,
+                CASE WHEN e.done THEN CASE WHEN p.waiting THEN 'begin' ELSE 'idle' END WHEN NOT p.running THEN 'begin' WHEN p.waiting THEN 'fold' ELSE 'wait' END
+         FROM r p JOIN e ON e.session = p.session AND e.n = p.n + 1)
+       SELECT session, event_id, action FROM r""",
+)
 def ts4(s, d):
     kind = F.when(F.col("event_id") % 3 == 0, "done").otherwise("save")
     events = _stream(s, d, lambda t: t.select(F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("event_id"), kind.alias("event")))

@@ -69,11 +69,6 @@ def pj12(s, d):
     return _pages(s, d).select("doc_id", "title")
 
 
-@query("ag3_count_nodes")
-def ag3(s, d):
-    return _nodes(s, d).groupBy("doc_id").agg(F.count_if(F.col("kind") == "block").alias("blocks"), F.count_if(F.col("kind") == "span").alias("spans"))
-
-
 @query("ag3_count_headings", f"SELECT page_id AS doc_id, {N('<h[1-6]>')} AS headings, {N('<article>')} AS sections, {N('<nav>')} + {N('<footer>')} + {N('<!--')} AS unknowns FROM pages")
 def ag3b(s, d):
     n = lambda t: F.count_if(F.col("type") == t)
@@ -92,53 +87,63 @@ def jn3(s, d):
     return joined.select("doc_id", F.col("payload").cast("string").alias("payload"))
 
 
-@query("sc10_html_import")
-def sc10(s, d):
-    return _nodes(s, d)
-
-
 @query("sc9_markdown_import", "SELECT doc_id, 1 AS paragraphs FROM documents WHERE trim(text) <> ''")
 def sc9(s, d):
     docs = I.imported(table(s, d, "documents", "doc_id", "text"), "markdown")
     return I.nodes_of(docs).where("kind = 'block'").groupBy("doc_id").agg(F.count_if(F.col("type") == "paragraph").cast("int").alias("paragraphs"))
 
 
-@query("fn1_plain_spans")
-def fn1(s, d):
-    return S.plain_spans(_nodes(s, d))
+@query("fl1_check_content", "SELECT page_id AS doc_id, 0 AS errors FROM pages")
+def fl1(s, d):
+    docs = _parsed(s, d)
+    issues = V.check_content(materialise(I.nodes_of(docs)), I.preserved_of(docs))
+    errors = V.totals(issues).select("doc_id", "errors")
+    return docs.select("doc_id").join(errors, "doc_id", "left").select("doc_id", F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
+UNKNOWN = f"{N('<nav>')} + {N('<footer>')} + {N('<!--')}"
+
+
+@query("sc10_html_import", f"SELECT page_id AS doc_id, unnest(['section', 'heading', 'unknown']) AS type, unnest([{N('<article>')}, {N('<h1>')}, {UNKNOWN}]) AS n FROM pages")
+def sc10(s, d):
+    kinds = F.array(*[F.lit(x) for x in ("section", "heading", "unknown")])
+    docs = _pages(s, d).select("doc_id", F.col("nodes.type").alias("types"))
+    return docs.select("doc_id", "types", F.explode(kinds).alias("type")).select("doc_id", "type", F.size(F.filter("types", lambda t: t == F.col("type"))).alias("n"))
+
+
+def _counted(out, **patterns):
+    """Exports by what they hold: how often each pattern stands in the output."""
+    return out.select("doc_id", "format", "n_lost", *[F.regexp_count("output", F.lit(p)).alias(k) for k, p in patterns.items()])
 
 
-@query("sk6_export_txt")
+LOSSES = f"{N('<style')} + {N('<script')} + {UNKNOWN}"
+
+
+@query("sk6_export_txt", f"SELECT page_id AS doc_id, 'text' AS format, {LOSSES} + {UNKNOWN} AS n_lost, {N('<h1>')} AS headings, {UNKNOWN} AS unshown FROM pages")
 def sk6(s, d):
-    return I.convert(table(s, d, "pages", "page_id", "html"), "html", "text", "page_id", "html")
+    out = I.convert(table(s, d, "pages", "page_id", "html"), "html", "text", "page_id", "html")
+    return _counted(out, headings="(?m)^=+$", unshown=r"(?m)^\[未能显示的内容: ")
 
 
-@query("sk7_export_markdown")
+@query("sk7_export_markdown", f"SELECT page_id AS doc_id, 'markdown' AS format, {LOSSES} + {UNKNOWN} AS n_lost, {N('<h1>')} AS headings, {UNKNOWN} AS comments FROM pages")
 def sk7(s, d):
-    return I.convert(table(s, d, "pages", "page_id", "html"), "html", "markdown", "page_id", "html")
+    out = I.convert(table(s, d, "pages", "page_id", "html"), "html", "markdown", "page_id", "html")
+    return _counted(out, headings="(?m)^# ", comments="<!-- unsupported ")
 
 
-@query("sk8_export_html")
+@query("sk8_export_html", f"SELECT page_id AS doc_id, 'html' AS format, 0 AS n_lost, {N('<h1>')} AS headings, {UNKNOWN} AS kept, 1 AS pages FROM pages")
 def sk8(s, d):
-    return I.exported(_pages(s, d), "html")
+    return _counted(I.exported(_pages(s, d), "html"), headings='<h1 id="blk_[^"]*">', kept="<div data-unknown=", pages="(?s)^<!doctype html>.*</html>\n$")
 
 
-@query("sk9_export_html_marked")
+@query("sk9_export_html_marked", f"SELECT page_id AS doc_id, 'html' AS format, 0 AS n_lost, {N('<h1>')} AS headings, {UNKNOWN} AS kept FROM pages")
 def sk9(s, d):
-    return I.exported(_pages(s, d), "html", marked=True)
+    return _counted(I.exported(_pages(s, d), "html", marked=True), headings='<h1 [^>]*data-block-id="blk_', kept='<div data-unknown="[^"]*" data-block-id="blk_')
 
 
-@query("sk6_render_nodes")
+@query("sk6_render_nodes", f"SELECT page_id AS doc_id, 'text' AS format, {UNKNOWN} AS n_lost, {N('<h1>')} AS headings, {UNKNOWN} AS unshown FROM pages")
 def sk6b(s, d):
-    return I.render_nodes(_nodes(s, d), "text")
-
-
-@query("fl1_check_content", "SELECT page_id AS doc_id, 0 AS errors FROM pages")
-def fl1(s, d):
-    docs = _parsed(s, d)
-    issues = V.check_content(materialise(I.nodes_of(docs)), I.preserved_of(docs))
-    errors = V.totals(issues).select("doc_id", "errors")
-    return docs.select("doc_id").join(errors, "doc_id", "left").select("doc_id", F.coalesce("errors", F.lit(0)).alias("errors"))
+    return _counted(I.render_nodes(_nodes(s, d), "text"), headings="(?m)^=+$", unshown=r"(?m)^\[未能显示的内容: ")
 
 
 @query(

@@ -20,7 +20,8 @@ from parchment.sources import editor
 from parchment.sources.html import read_html
 from parchment.sources.markdown import read_markdown
 from parchment.sources.pandoc import read_pandoc, write_pandoc
-from parchment.tree import Job, flatten, unflatten
+from parchment.sources.sanitize import sanitize_paste
+from parchment.tree import STRUCTS, Job, flatten, plain_block, unflatten
 
 READERS: dict[str, Callable[[str], tuple[list[dict], Job]]] = {
     "html": read_html,
@@ -88,6 +89,38 @@ def _document(nodes, assets=(), preserved=(), title=None, language=None) -> Docu
     return Document(unflatten(rows), [dict(a) for a in assets], kept, title, language)
 
 
+def plain_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, node_id, type, depth and text of all blocks of imported documents: cells by tabs, items and blocks by line ends."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r.doc_id, n.get("node_id"), n["type"], depth, plain_block(n)) for r in batch.itertuples() for depth, n in _blocks(_document(r.nodes).nodes, 0)]
+            yield pd.DataFrame(rows, columns=["doc_id", "node_id", "type", "depth", "text"])
+
+    return docs.select("doc_id", "nodes").mapInPandas(run, "doc_id long, node_id string, type string, depth int, text string")
+
+
+def _blocks(nodes: list[dict], depth: int) -> Iterator[tuple[int, dict]]:
+    for n in nodes:
+        if n["type"] not in STRUCTS:
+            yield depth, n
+        for slot in ("children", "items", "rows", "cells"):
+            # headings stand in sections of their own making, which add no depth
+            yield from _blocks(n.get(slot) or [], depth if n["type"] == "section" else depth + 1)
+
+
+def pasted(table: DataFrame, mode: str = "keep", doc_id: str = "doc_id", html: str = "html") -> DataFrame:
+    """doc_id, html and counts of what went (dropped, unwrapped, attributes) of pasted content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [sanitize_paste(t or "", mode) for t in batch["html"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], **{c: [m[c] for m in made] for c in ("html", "dropped", "unwrapped", "attributes")}})
+
+    given = table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(html).alias("html"))
+    return given.mapInPandas(run, "doc_id long, html string, dropped int, unwrapped int, attributes int")
+
+
 EXPORTED = "doc_id long, format string, output string, n_lost int"
 
 
