@@ -6,13 +6,13 @@ radius). A vector that falls into enough windows is verified on the original vec
 in a projection with a fixed probability, so the threshold is set to lose one with probability MISS at most; the search
 of a block ends when the k-th verified distance lies within the radius, and takes everything where windows cover the block.
 
-Blocks of rows and chunks of queries are packed into one row each and joined on the block number: every chunk meets every
-block once. Neither side is broadcast or collected, and a task holds one block and one chunk at a time.
+Every chunk of queries meets every block of rows once, as a group of its own: a task holds one block and one chunk, a block's
+arrays are sorted once for all queries of the chunk, and neither side is broadcast or collected. While blocks are few, the
+queries are cut into more chunks, so that there are enough groups for all executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import erf, sqrt
 from statistics import NormalDist
 
@@ -32,7 +32,8 @@ WIDTH = 1.0
 MISS = 0.1
 #: Factor between search radii, and the first one as a share of the block's typical distance.
 GROWTH, FIRST = 1.3, 0.05
-BLOCK_ROWS, CHUNK_ROWS = 8192, 256
+#: Rows of a block and queries of a chunk at most; groups to aim at, and the queries that are worth sorting a block for.
+BLOCK_ROWS, CHUNK_ROWS, GROUPS, LEAST_ROWS = 8192, 4096, 24, 64
 
 
 def threshold(m: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS) -> int:
@@ -49,27 +50,31 @@ class Index:
         self.axes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], m))
         on = vectors @ self.axes
         order = np.argsort(on, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T).astype(np.int32)
-        self.values = np.ascontiguousarray(np.take_along_axis(on, order, axis=0).T)
+        # all arrays in one, each shifted beyond the one before, so that one search serves all projections
+        self.most = float(np.abs(on).max(initial=0.0)) + 1.0
+        self.shift = np.arange(m) * (2 * self.most + 1)
+        self.order = np.ascontiguousarray(order.T).astype(np.int32).ravel()
+        self.values = (np.take_along_axis(on, order, axis=0).T + self.shift[:, None]).ravel()
         self.scale = sqrt(2 * max(float(vectors.var(axis=0).sum()), 1e-300))
 
     def nearest(self, query: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, the query's own id left out; ties go to the smaller id."""
         n, need = len(self.ids), threshold(self.m)
         at = vector @ self.axes
-        left = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at, strict=True)])
+        first, last = np.arange(self.m) * n, (np.arange(self.m) + 1) * n
+        left = np.searchsorted(self.values, np.clip(at, -self.most, self.most) + self.shift)
         right, count, done = left.copy(), np.zeros(n, np.int64), self.ids == query
         found, distance = np.zeros(0, np.int64), np.zeros(0)
         radius = self.scale * FIRST
         while True:
-            low = np.array([np.searchsorted(v, x, "left") for v, x in zip(self.values, at - WIDTH * radius, strict=True)])
-            high = np.array([np.searchsorted(v, x, "right") for v, x in zip(self.values, at + WIDTH * radius, strict=True)])
+            low = np.searchsorted(self.values, np.clip(at - WIDTH * radius, -self.most, self.most) + self.shift, "left")
+            high = np.searchsorted(self.values, np.clip(at + WIDTH * radius, -self.most, self.most) + self.shift, "right")
             low, high = np.minimum(low, left), np.maximum(high, right)
-            fresh = [o[a:b] for o, a, b in zip(self.order, low, left, strict=True) if a < b] + [o[a:b] for o, a, b in zip(self.order, right, high, strict=True) if a < b]
+            fresh = [self.order[a:b] for a, b in zip(low, left, strict=True) if a < b] + [self.order[a:b] for a, b in zip(right, high, strict=True) if a < b]
             if fresh:
                 count += np.bincount(np.concatenate(fresh), minlength=n)
             left, right = low, high
-            full = bool((left == 0).all() and (right == n).all())
+            full = bool((left == first).all() and (right == last).all())
             new = np.flatnonzero(~done if full else (count >= need) & ~done)
             if len(new):
                 done[new] = True
@@ -82,28 +87,20 @@ class Index:
             radius *= GROWTH
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    rows = table.sort_by("id")
-    return pa.table({"dim": rows["dim"][:1], "part": rows["part"][:1], "ids": [rows["id"].to_numpy().astype(np.int64).tobytes()], "vectors": [matrix(rows["vector"]).tobytes()]})
-
-
 def _probe(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, query = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query"], np.int64)
-                if last != (row["dim"], row["part"]):
-                    last, index = (row["dim"], row["part"]), Index(ids, np.frombuffer(row["vectors"]).reshape(len(ids), -1))
-                hits = [(q, *index.nearest(q, v, k)) for q, v in zip(query, np.frombuffer(row["query_vectors"]).reshape(len(query), -1), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in hits])),
-                        pa.array(np.concatenate([i for _, i, _ in hits])),
-                        pa.array(np.concatenate([d for _, _, d in hits])),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
+    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        hits = []
+        if block.num_rows and chunk.num_rows:
+            index = Index(block["id"].to_numpy().astype(np.int64), matrix(block["vector"]))
+            hits = [(q, *index.nearest(q, v, k)) for q, v in zip(chunk["id"].to_pylist(), matrix(chunk["vector"]), strict=True)]
+        none = np.zeros(0)
+        return pa.table(
+            {
+                "query_id": pa.array(np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in hits] or [none]), pa.int64()),
+                "vec_id": pa.array(np.concatenate([i for _, i, _ in hits] or [none]), pa.int64()),
+                "score": pa.array(np.concatenate([d for _, _, d in hits] or [none])),
+            }
+        )
 
     return run
 
@@ -113,28 +110,27 @@ def nearest(table: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id
 
     queries is a condition on table's columns. Vectors that are null, zero or hold null or non-finite components, and rows
     of null id, take no part; vectors of another dimension than the query's are no candidates. Ties go to the smaller id;
-    a query with fewer than k candidates has them all. Rows that repeat an id are searched once. No usable rows, or no
-    queries, give no rows.
+    a query with fewer than k candidates has them all. Rows that repeat an id are searched once, with the largest of its vectors.
+    No usable rows, or no queries, give no rows; other columns play no part.
     """
-    spark = table.sparkSession
     base = table.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
     base = base.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    base = materialise(base.groupBy("id").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks")).withColumn("dim", F.size("vector")))
-    # the number of blocks of each dimension: a row for each dimension
-    dims = base.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"), F.ceil(F.count_if("asks") / F.lit(CHUNK_ROWS)).cast("int").alias("chunks")).where("chunks > 0")
-    spread = base.join(F.broadcast(dims), "dim")  # at most one row for each vector length that occurs
-    pack = "dim int, part int, ids binary, vectors binary"
-    blocks = spread.select("dim", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"), "id", "vector").groupBy("dim", "part").applyInArrow(_pack, pack)
-    chunks = spread.where("asks").select("dim", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("part"), "id", "vector").groupBy("dim", "part").applyInArrow(_pack, pack)
-    asked = chunks.join(F.broadcast(dims), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("ids").alias("query"), F.col("vectors").alias("query_vectors"))
-    # few rows to a batch, as each holds a block; the setting holds for this table only
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(key)
-    spark.conf.set(key, "8")
-    try:
-        found = materialise(blocks.join(asked, ["dim", "part"]).mapInArrow(_probe(k), "query_id long, vec_id long, score double"))
-    finally:
-        spark.conf.set(key, usual)
+    base = materialise(base.groupBy("id").agg(F.max("vector").alias("vector"), F.max("asks").alias("asks")).withColumn("dim", F.size("vector")))
+    # blocks and chunks of each dimension: a row for each dimension that occurs
+    rows, asked = F.count("*"), F.count_if("asks")
+    blocks = F.ceil(rows / F.lit(BLOCK_ROWS))
+    chunks = F.greatest(F.ceil(asked / F.lit(CHUNK_ROWS)), F.least(F.ceil(F.lit(GROUPS) / blocks), F.ceil(asked / F.lit(LEAST_ROWS))))
+    dims = base.groupBy("dim").agg(blocks.cast("int").alias("blocks"), chunks.cast("int").alias("chunks")).where("chunks > 0")
+    spread = base.join(F.broadcast(dims), "dim")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["dim", "block", "chunk"]
+    own = spread.select("dim", dealt("blocks").alias("block"), every("chunks").alias("chunk"), "id", "vector")
+    # named anew, as both sides of the cogroup come from one table
+    asking = spread.where("asks").select(*[F.col(c).alias(c) for c in spread.columns])
+    asking = asking.select("dim", every("blocks").alias("block"), dealt("chunks").alias("chunk"), "id", "vector")
+    probed = own.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_probe(k), "query_id long, vec_id long, score double")
+    found = materialise(probed)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
