@@ -284,3 +284,39 @@ def file_fingerprint(path: Column, length: Column, seconds: Column) -> Column:
 def preview_hash(content: Column, theme: Column, css_version: str, engine: str) -> Column:
     """Hash of all that a page preview depends on."""
     return F.sha2(F.concat(content, F.coalesce(theme, F.lit("")), F.lit(css_version), F.lit(engine)), 256)
+
+
+# JSON members
+
+
+def json_pointer(value: Column, pointer: str) -> Column:
+    """The member that a JSON pointer names, as text; null where there is none."""
+    parts = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
+    return F.get_json_object(value, "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts))
+
+
+def unknown_members(value: Column, known: tuple[str, ...]) -> Column:
+    """Members of a JSON object that are not among the known ones, as an object; null if there is none."""
+    rest = F.map_filter(F.from_json(value, "map<string,variant>"), lambda k, _: ~k.isin(*known))
+    return F.when(F.size(rest) > 0, F.to_json(rest))
+
+
+def spread_members(value: Column, extra: Column) -> Column:
+    """A JSON object with the members of another put back; its own go before them."""
+    own, more = (F.coalesce(F.from_json(x, "map<string,variant>"), F.create_map().cast("map<string,variant>")) for x in (value, extra))
+    return F.to_json(F.map_concat(F.map_filter(more, lambda k, _: ~F.map_contains_key(own, k)), own))
+
+
+def replace_all(text: Column, query: str, by: str) -> Column:
+    """All matches of a literal replaced in one step; an empty query replaces nothing."""
+    return F.replace(text, F.lit(query), F.lit(by)) if query else text
+
+
+def layout_hash(fingerprint: Column, content_hash: Column, css_version: str, mode: str) -> Column:
+    """Hash of what the layout of a publication depends on; a theme is part of the content's own hash or of none."""
+    return F.sha2(F.concat(fingerprint, content_hash, F.lit(css_version), F.lit(mode)), 256)
+
+
+def converter_name(fmt: Column) -> Column:
+    """Name of the reader of a format; null for a format that is not read."""
+    return F.when(fmt.isin("markdown", "html", "docx"), F.concat(F.lit("parchment-"), fmt))

@@ -88,3 +88,14 @@ def quoted(texts: DataFrame, passages: DataFrame, doc_id: str = "doc_id", item_i
         brief = given.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("text"), x["passage"]))).alias("x")).select("doc_id", "x.item_id")
         hits = hits.unionByName(brief)
     return hits.distinct()
+
+
+def targets_missing(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Annotations (doc_id, target_block, ...) whose block (doc_id, node_id) is not in the document."""
+    return annotations.join(blocks.select("doc_id", F.col("node_id").alias("target_block")), ["doc_id", "target_block"], "left_anti")
+
+
+def listed(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """annotations with state and detached, as a list of them shows where they stand now."""
+    now = relocate(annotations, blocks).select("doc_id", "annotation_id", "state")
+    return annotations.join(now, ["doc_id", "annotation_id"]).withColumn("detached", F.col("state") == "detached")

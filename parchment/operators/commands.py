@@ -154,3 +154,10 @@ def rewrite_blocks(nodes: DataFrame, rewrites: DataFrame) -> DataFrame:
     text = F.coalesce("_new", "text").alias("text")
     kind = F.when(F.col("_new").isNotNull(), "text").otherwise(F.col("type")).alias("type")
     return kept.select(*[text if c == "text" else kind if c == "type" else plain.get(c, F.col(c)) for c in nodes.columns])
+
+
+def longest_block(listed: DataFrame) -> DataFrame:
+    """doc_id, target_block and shown of the longest paragraph of at least LEAST characters; of equally long ones the last."""
+    long = listed.where((F.col("type") == "paragraph") & (F.length("shown") >= LEAST))
+    best = long.groupBy("doc_id").agg(F.max_by(F.struct("target_block", "shown"), F.struct(F.length("shown"), "seq")).alias("b"))
+    return best.select("doc_id", "b.target_block", "b.shown")

@@ -106,3 +106,11 @@ def prefer(staged: DataFrame, registered: DataFrame, key: str, value: str) -> Da
 def first_refs(nodes: DataFrame, column: str) -> DataFrame:
     """doc_id, ref and first: the distinct references of a column, with the place of the first use, by which they are ordered."""
     return nodes.where(F.col(column).isNotNull()).groupBy("doc_id", F.col(column).alias("ref")).agg(F.min("seq").alias("first"))
+
+
+def mark_ranks(spans: DataFrame) -> DataFrame:
+    """spans with rank: the place of a mark among those around a text; null for what is no mark. The table of marks is fixed."""
+    from parchment.sources.editor import RANK
+
+    table = spans.sparkSession.createDataFrame(sorted(RANK.items()), "type string, rank int")
+    return spans.join(F.broadcast(table), "type", "left")

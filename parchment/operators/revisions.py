@@ -142,3 +142,19 @@ def published(publications: DataFrame, content: DataFrame, renderer: str, css_ve
     layout = F.sha2(F.concat(F.lit(renderer), h, F.coalesce("theme", F.lit("")), F.lit(css_version), F.lit(mode)), 256)
     made = content.select("doc_id", F.col("revision").alias("source_revision"), F.lit(renderer).alias("renderer"), h.alias("content_hash"), layout.alias("layout_hash"), F.sha2("artifact", 256).alias("sha256"))
     return publications.unionByName(made, allowMissingColumns=True)
+
+
+def heads_in_chain(manifest: DataFrame, revisions: DataFrame) -> DataFrame:
+    """manifest rows (doc_id, current_revision, ...) whose revision is one of the document's."""
+    return manifest.join(revisions.select("doc_id", F.col("rev").alias("current_revision")), ["doc_id", "current_revision"], "left_semi")
+
+
+def only_in(items: DataFrame, of: Column, against: Column) -> DataFrame:
+    """doc_id and item: the distinct items (doc_id, rev, item) of one revision that another lacks."""
+    return items.where(of).select("doc_id", "item").subtract(items.where(against).select("doc_id", "item"))
+
+
+def latest_report(paths: DataFrame, prefix: str) -> DataFrame:
+    """doc_id, path and n: the entry with the largest number after a prefix."""
+    n = F.regexp_extract("path", f"^{prefix}(\\d+)", 1).try_cast("int")
+    return paths.withColumn("n", n).where("n is not null").groupBy("doc_id").agg(F.max_by("path", "n").alias("path"), F.max("n").alias("n"))

@@ -137,3 +137,17 @@ def count_chars(nodes: DataFrame) -> DataFrame:
 def text_index(nodes: DataFrame) -> DataFrame:
     """doc_id and index, a map from the path of each block with spans to its plain text."""
     return plain_spans(nodes).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("index"))
+
+
+def page_index(nodes: DataFrame) -> DataFrame:
+    """doc_id, path, node_id and page of each block at the top of a document: page breaks before it, and one."""
+    top = nodes.where("kind = 'block' and depth = 0")
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    paged = top.withColumn("page", F.coalesce(F.sum(F.when(F.col("type") == "page_break", 1).otherwise(0)).over(before), F.lit(0)) + 1)
+    return paged.where("type <> 'page_break'").select("doc_id", "path", "node_id", "page")
+
+
+def first_rows(table: DataFrame, partition: list[str], order: list, most: int) -> DataFrame:
+    """The first rows of each partition in an order; the sort keeps no more of them than that."""
+    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+    return table.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")

@@ -180,3 +180,16 @@ def totals(issues: DataFrame) -> DataFrame:
     count = lambda level: F.count_if(F.col("level") == level)
     found = issues.groupBy("doc_id").agg(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"))
     return found.withColumn("exit_code", F.when(F.col("errors") > 0, 1).otherwise(0))
+
+
+def known_types(nodes: DataFrame) -> DataFrame:
+    """doc_id, type and known: whether each type of a block or span that a document uses is in the closed lists."""
+    used = nodes.where("kind <> 'struct'").select("doc_id", "kind", "type").distinct()
+    known = F.when(F.col("kind") == "span", _is(*SPAN_TYPES)).otherwise(_is(*NODE_TYPES))
+    return used.select("doc_id", "kind", "type", known.alias("known"))
+
+
+def head_issues(issues: DataFrame, most: int = 10) -> DataFrame:
+    """The first issues of each document in order of place and code, as a summary shows them."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "code"))
+    return issues.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")

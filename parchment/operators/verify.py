@@ -59,3 +59,13 @@ def verify(
 def verdicts(issues: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, errors, warnings, infos, exit_code for every document."""
     return docs.select("doc_id").join(totals(issues), "doc_id", "left").na.fill(0)
+
+
+def version_matches(files: DataFrame) -> DataFrame:
+    """doc_id and matches: whether a container's manifest names the version that its header has."""
+    from parchment.sources.container import entries, header_fields
+
+    f = header_fields(F.col("content"))
+    own = files.select("doc_id", F.concat_ws(".", f["major"].cast("string"), f["minor"].cast("string")).alias("_own"))
+    said = entries(files).where("name = 'manifest.json'").select("doc_id", F.get_json_object(F.col("bytes").cast("string"), "$.parchm.format_version").alias("_said"))
+    return own.join(said, "doc_id", "left").select("doc_id", F.coalesce(F.col("_own") == F.col("_said"), F.lit(False)).alias("matches"))

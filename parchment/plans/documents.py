@@ -201,11 +201,6 @@ def cm21(s, d):
 # model pipeline with the deterministic provider
 
 
-@query("st4_longest", "SELECT source, arg_max(doc_id, struct_pack(n := length(text), d := doc_id)) AS doc_id FROM documents GROUP BY source")
-def st4(s, d):
-    return table(s, d, "documents", "doc_id", "text", "source").groupBy("source").agg(F.max_by("doc_id", F.struct(F.length("text"), "doc_id")).alias("doc_id"))
-
-
 @query("st1_sorted_hits", "SELECT doc_id, item_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def st1(s, d):
     return A.quoted(table(s, d, "documents", "doc_id", "text"), table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))).select(
@@ -213,22 +208,6 @@ def st1(s, d):
     )
 
 
-@query("st2_head_issues", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 10")
-def st2(s, d):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(s, d, "events", "user_id", "event_id").withColumn("n", n).where("n <= 10").drop("n")
-
-
-@query("st3_recent", "SELECT user_id, max(ts) AS latest FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 20")
-def st3(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("latest")).orderBy(F.col("latest").desc(), "user_id").limit(20)
-
-
-@query("st5_latest_report", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY 1")
-def st5(s, d):
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
-
-
 @query("ag16_footnote_index", "SELECT user_id AS doc_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'click') GROUP BY 1")
 def ag16(s, d):
     e = table(s, d, "events", "event_id", "user_id", "event_type")
@@ -237,12 +216,6 @@ def ag16(s, d):
     return R.footnote_numbers(refs.unionByName(defs)).where("not defined").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("ag20_inventory_json", "SELECT source, '{\"docs\":' || count(*) || ',\"langs\":' || count(DISTINCT lang) || '}' AS summary FROM documents GROUP BY 1")
-def ag20(s, d):
-    g = table(s, d, "documents", "source", "lang").groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("lang").alias("langs"))
-    return g.select("source", F.to_json(F.struct("docs", "langs")).alias("summary"))
-
-
 @query("ag14_loss_summary", "SELECT page_id AS doc_id, len(regexp_extract_all(html, '<nav>')) + len(regexp_extract_all(html, '<footer>')) + len(regexp_extract_all(html, '<!--')) AS unknown FROM pages")
 def ag14(s, d):
     docs = I.imported(table(s, d, "pages", "page_id", "html"), "html", "page_id", "html")

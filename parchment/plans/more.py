@@ -97,11 +97,6 @@ def w8b(s, d):
     return C.repeated_ids(_nodes(s, d, type=F.lit("paragraph"), node_id=F.col("event_type"))).select("doc_id", "path")
 
 
-@query("se5_known_types", "SELECT event_id, event_type IN ('click', 'view') AS known FROM events")
-def se5(s, d):
-    return table(s, d, "events", "event_id", "event_type").select("event_id", F.col("event_type").isin("click", "view").alias("known"))
-
-
 @query("jn10_footnote_labels", "WITH r AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f) AS number FROM r) SELECT event_id, number FROM events JOIN n USING (user_id, event_type)")
 def jn10(s, d):
     e = table(s, d, "events", "event_id", "user_id", "event_type")
@@ -146,12 +141,6 @@ def w6(s, d):
     return islands(c, ["conv_id"], "turn", F.col("role") == F.col("_before")).groupBy("conv_id", F.col("island").alias("list")).agg(F.count("*").alias("items"))
 
 
-@query("fn33_converter_name", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'parchment-markdown' WHEN 1 THEN 'parchment-html' ELSE 'parchment-docx' END AS converter FROM events")
-def fn33(s, d):
-    fmt = F.element_at(F.array(F.lit("markdown"), F.lit("html"), F.lit("docx")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(s, d, "events", "event_id").select("event_id", F.concat(F.lit("parchment-"), fmt).alias("converter"))
-
-
 @query("fn27_resolve_part", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'word/media/x.png' WHEN 1 THEN 'media/x.png' ELSE 'docProps/core.xml' END AS part FROM events")
 def fn27(s, d):
     from parchment.sources.docx import resolve

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchment.plans import commands, documents, mapping, more, packages, relations, scalars, streams, structure  # noqa: F401  they register themselves
+from parchment.plans import commands, documents, lookups, mapping, more, packages, relations, scalars, streams, structure  # noqa: F401  they register themselves
 from parchment.plans.catalog import ORACLES, QUERIES, Query
 
 

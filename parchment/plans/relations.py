@@ -49,12 +49,6 @@ def jn8(s, d):
     return A.annotation_issues(_quotes(s, d), _blocks(s, d))
 
 
-@query("jn7_targets_missing", "SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
-def jn7(s, d):
-    blocks = table(s, d, "documents", "doc_id", "lang").where("lang = 'en'")
-    return table(s, d, "labels", "doc_id").join(blocks, "doc_id", "left_anti")
-
-
 @query("cm12_annotate", "SELECT doc_id, quality FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'de')")
 def cm12(s, d):
     proposed = table(s, d, "labels").select("doc_id", F.lit("b").alias("target_block"), F.to_json(F.struct("quality")).alias("value"), "quality")
@@ -62,11 +56,6 @@ def cm12(s, d):
     return A.annotate(proposed.limit(0), proposed, blocks).select("doc_id", "quality")
 
 
-@query("cm13_annotations", "SELECT doc_id, quality, toxic, doc_id % 7 = 0 AS detached FROM labels")
-def cm13(s, d):
-    return table(s, d, "labels").select("doc_id", "quality", "toxic", (F.col("doc_id") % 7 == 0).alias("detached"))
-
-
 @query("fl23_model_guards", "SELECT l.doc_id FROM labels l JOIN documents d USING (doc_id) WHERE contains(d.text, 'the') AND d.lang <> 'fr' AND quality * 1.5 BETWEEN 0 AND 1")
 def fl23(s, d):
     results = table(s, d, "labels").select("doc_id", F.lit("b").alias("target_block"), F.lit("the").alias("exact"), (F.col("quality") * 1.5).alias("confidence"))
@@ -133,17 +122,6 @@ def jn21(s, d):
     return R.by_position(asks, says, "conv_id", "turn", "reply")
 
 
-@query("jn22_layout_index", "SELECT user_id, min(event_id) AS page FROM events GROUP BY user_id")
-def jn22(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.min("event_id").alias("page"))
-
-
-@query("jn23_mark_defs", "SELECT event_id, CASE event_type WHEN 'click' THEN 'strong' WHEN 'view' THEN 'em' END AS def FROM events")
-def jn23(s, d):
-    defs = s.createDataFrame([("click", "strong"), ("view", "em")], "event_type string, def string")
-    return table(s, d, "events", "event_id", "event_type").join(F.broadcast(defs), "event_type", "left").select("event_id", "def")
-
-
 # conversations as revision chains
 
 
@@ -170,12 +148,6 @@ def jn18b(s, d):
     return V.ancestors(_revisions(s, d))
 
 
-@query("jn19_head_in_chain", "SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE turn = conv_id % 5")
-def jn19(s, d):
-    manifest = table(s, d, "conversations", "conv_id").distinct().select(F.col("conv_id").alias("doc_id"), (F.col("conv_id") % 5).alias("rev"))
-    return manifest.join(_revisions(s, d), ["doc_id", "rev"], "left_semi").select("doc_id")
-
-
 WORDS = "w AS (SELECT DISTINCT conv_id AS doc_id, turn AS rev, unnest(string_split(text, ' ')) AS item FROM conversations), r AS (SELECT conv_id AS doc_id, turn AS rev, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations)"
 
 
@@ -185,12 +157,6 @@ def ag10(s, d):
     return V.differences(r.select("doc_id", "rev", F.explode(F.split("content", " ")).alias("item")), r)
 
 
-@query("se1_revision_diff", f"WITH {WORDS} SELECT doc_id, item FROM (SELECT doc_id, item FROM w WHERE rev = 0 EXCEPT SELECT doc_id, item FROM w WHERE rev = 1)")
-def se1(s, d):
-    items = _revisions(s, d).select("doc_id", "rev", F.explode(F.split("content", " ")).alias("item"))
-    return items.where("rev = 0").select("doc_id", "item").exceptAll(items.where("rev < 0").select("doc_id", "item")).subtract(items.where("rev = 1").select("doc_id", "item"))
-
-
 @query("fl11_cache_fresh", "SELECT conv_id, turn, (nullif(turn % 3, 2) IS NOT DISTINCT FROM nullif(conv_id % 3, 2)) AND (turn % 2 = 0 OR sha256(text) = sha256('x')) AS fresh FROM conversations")
 def fl11(s, d):
     c = table(s, d, "conversations")
@@ -315,23 +281,6 @@ def ag19(s, d):
     return totals(table(s, d, "events").select(F.col("user_id").alias("doc_id"), level.alias("level")))
 
 
-@query("se2_unknown_keys", "SELECT event_id, k AS key FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events) WHERE k <> 'known'")
-def se2(s, d):
-    keys = table(s, d, "events", "event_id", "props").select("event_id", F.explode(F.json_object_keys("props")).alias("key"))
-    return keys.where(~F.col("key").isin("known"))
-
-
-@query("se4_issue_union", "SELECT doc_id, 'quality' AS issue FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1")
-def se4(s, d):
-    t = table(s, d, "labels")
-    return t.where("quality = 0").select("doc_id", F.lit("quality").alias("issue")).unionByName(t.where("toxic = 1").select("doc_id", F.lit("toxic").alias("issue")))
-
-
-@query("fl17_version_match", "SELECT doc_id, doc_id % 2 = doc_id % 3 AS matches FROM documents")
-def fl17(s, d):
-    return table(s, d, "documents", "doc_id").select("doc_id", (F.concat((F.col("doc_id") % 2).cast("string"), F.lit(".0")) == F.concat((F.col("doc_id") % 3).cast("string"), F.lit(".0"))).alias("matches"))
-
-
 @query("fl18_layer_issues", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'layer_missing' ELSE 'layer_changed' END AS code FROM documents WHERE doc_id % 3 < 2")
 def fl18(s, d):
     from parchment.operators.verify import layer_issues

@@ -76,11 +76,6 @@ def fn14(s, d):
     return _docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("fn15_layout_hash", "SELECT doc_id, sha256('fp' || sha256(text) || lang || 'css1' || 'paged') AS layout_hash FROM documents")
-def fn15(s, d):
-    return _docs(s, d).select("doc_id", F.sha2(F.concat(F.lit("fp"), F.sha2("text", 256), "lang", F.lit("css1"), F.lit("paged")), 256).alias("layout_hash"))
-
-
 @query("fn18_rfc3339", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def fn18(s, d):
     return table(s, d, "events", "event_id", "ts").select("event_id", X.rfc3339(F.col("ts")).alias("at"))
@@ -167,21 +162,11 @@ def fn35(s, d):
     return table(s, d, "part").select("p_partkey", X.character_css(size % 2 == 0, size % 3 == 0, size, F.concat(F.lit("#00"), F.lpad(size.cast("string"), 4, "0"))).alias("css"))
 
 
-@query("fn36_json_pointer", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def fn36(s, d):
-    return table(s, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
 @query("fn39_find_all", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits FROM documents")
 def fn39(s, d):
     return _docs(s, d).select("doc_id", X.find_all(F.col("text"), "the").cast("long").alias("hits"))
 
 
-@query("fn40_replace_all", "SELECT doc_id, replace(text, 'the', 'a') AS text FROM documents")
-def fn40(s, d):
-    return _docs(s, d).select("doc_id", F.replace("text", F.lit("the"), F.lit("a")).alias("text"))
-
-
 @query("fn41_recovery_key", "SELECT doc_id, left(sha256(source || '/' || doc_id), 24) || '.draft.json' AS name FROM documents")
 def fn41(s, d):
     return _docs(s, d).select("doc_id", X.recovery_name(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).alias("name"))
@@ -234,11 +219,6 @@ def fl13(s, d):
     return table(s, d, "pages", "page_id", "html").select("page_id", F.size(F.filter(tags, X.is_active)).cast("long").alias("active"))
 
 
-@query("fl14_handler_attributes", "SELECT page_id, len(regexp_extract_all(html, '(?i) on[a-z]+=\"')) AS handlers FROM pages")
-def fl14(s, d):
-    return table(s, d, "pages", "page_id", "html").select("page_id", F.regexp_count("html", F.lit('(?i) on[a-z]+="')).cast("long").alias("handlers"))
-
-
 @query("fl15_safe_url", "SELECT page_id, page_id % 4 IN (0, 3) AS safe_link, page_id % 4 IN (0, 2) AS safe_image FROM pages")
 def fl15(s, d):
     url = F.element_at(F.array(F.col("url"), F.lit("javascript:alert(1)"), F.lit("data:image/png;base64,AA"), F.lit("mailto:a@example.com")), (F.col("page_id") % 4 + 1).cast("int"))
@@ -256,12 +236,6 @@ def fl20(s, d):
     return _docs(s, d).select("doc_id", X.has_class(F.concat(F.lit(" wide  "), "source", F.lit(" x")), "src0").alias("found"))
 
 
-@query("fl21_run_flags", "SELECT event_id, event_type NOT IN ('click', 'view') AS on_flag FROM events")
-def fl21(s, d):
-    value = F.when(F.col("event_type") == "click", "false").when(F.col("event_type") == "view", "0").otherwise(F.col("event_type"))
-    return table(s, d, "events", "event_id", "event_type").select("event_id", (~F.lower(value).isin("false", "0", "none")).alias("on_flag"))
-
-
 @query("pj4_inject_block_id", "SELECT page_id, left(h, instr(h, '>') - 1) || ' data-block-id=\"blk_' || page_id || '\"' || substr(h, instr(h, '>')) AS marked FROM (SELECT page_id, regexp_extract(html, '<article>.*', 0, 's') AS h FROM pages WHERE html LIKE '%<article>%')")
 def pj4(s, d):
     t = table(s, d, "pages", "page_id", "html").where(F.col("html").contains("<article>"))
@@ -283,17 +257,6 @@ def pj8(s, d):
     return table(s, d, "benchmark").select("item_id", X.css_string(F.concat("text", F.lit('"\\\n'))).alias("css"))
 
 
-@query("pj15_defaults", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS style, nullif(event_id % 3, 1) AS span FROM events")
-def pj15(s, d):
-    return table(s, d, "events", "event_id", "props").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("style"), F.nullif(F.col("event_id") % 3, F.lit(1)).alias("span"))
-
-
-@query("pj16_extra_members", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS known, len(list_filter(json_keys(props), lambda k: k <> 'k')) AS n_extra FROM events")
-def pj16(s, d):
-    m = F.from_json("props", "map<string,string>")
-    return table(s, d, "events", "event_id", "props").select("event_id", m["k"].alias("known"), F.size(F.map_filter(m, lambda k, _: k != "k")).cast("long").alias("n_extra"))
-
-
 @query("sc25_front_matter", "SELECT doc_id, source AS title, lang AS language, CAST(NULL AS VARCHAR) AS missing FROM documents")
 def sc25(s, d):
     text = F.concat(F.lit("---\ntitle: \""), "source", F.lit('"\nlang: '), "lang", F.lit("\n---\n"), "text")

@@ -559,3 +559,8 @@ def inventory_losses(found: DataFrame) -> DataFrame:
     of = lambda flag, feature: F.when(F.col(flag), F.lit(feature))
     features = F.array_compact(F.array(of("has_headers", "docx_headers"), of("has_footers", "docx_footers"), of("has_comments", "docx_comments")))
     return found.select("doc_id", F.explode(features).alias("feature")).withColumn("loss_class", F.when(F.col("feature") == "docx_comments", "partial").otherwise("preserved_raw"))
+
+
+def inventory_json(found: DataFrame) -> DataFrame:
+    """doc_id and summary: the flags of inventory() as a JSON object."""
+    return found.select("doc_id", F.to_json(F.struct("has_headers", "has_footers", "has_comments", "n_media")).alias("summary"))

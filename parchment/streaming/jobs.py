@@ -139,3 +139,8 @@ def publish_conflicts(jobs: DataFrame, writes: DataFrame, session: str) -> DataF
     known = every.withColumn("seen", seen).where("kind <> ''")
     pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("seen")))
     return known.groupBy(session, "job").agg((~pick("s").eqNullSafe(pick("c"))).alias("conflict"))
+
+
+def recent(opens: DataFrame, path: str, at: str, most: int = 20) -> DataFrame:
+    """path and latest: the files that were opened last, each once, the latest first."""
+    return opens.groupBy(path).agg(F.max(at).alias("latest")).orderBy(F.col("latest").desc(), path).limit(most)
