@@ -184,3 +184,93 @@ def fn15(s, d):
 def fn33(s, d):
     name = F.when(F.col("url").contains("7"), "a.HTML").when(F.col("url").contains("8"), "b.md").otherwise("c.txt")
     return table(s, d, "pages", "page_id", "url").select("page_id", X.converter_name(X.detect_format(name)).alias("converter"))
+
+
+# recovery, relocation and verification as commands
+
+
+@query("cm4_recover", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'central' ELSE 'scan' END AS mode, 2 AS saved, sha256(text) AS sha256 FROM documents")
+def cm4(s, d):
+    cut = F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise(F.expr("substring(content, 1, length(content) - 90)"))
+    found = K.recovered(_containers(s, d, deflate=False).withColumn("content", cut)).where("ok")
+    text = F.max(F.when(F.col("name") == "content/content.json", F.sha2("bytes", 256)))
+    return found.groupBy("doc_id").agg(F.min("mode").alias("mode"), F.count("*").alias("saved"), text.alias("sha256"))
+
+
+def _containers(s, d, deflate=True):
+    from parchment.plans.documents import _packed
+
+    return _packed(s, d, deflate)
+
+
+@query("sc8_scan_damaged", "SELECT doc_id, unnest(['manifest.json', 'content/content.json']) AS name, unnest([true, doc_id % 2 = 0]) AS ok FROM documents WHERE length(text) > 0")
+def sc8(s, d):
+    # the directory is cut off, and of every other file the content's last byte is another
+    at = F.expr("instr(decode(content, 'ISO-8859-1'), concat('PK', char(1), char(2)))")
+    files = _containers(s, d, deflate=False).join(table(s, d, "documents", "doc_id").where(F.length("text") > 0).select("doc_id"), "doc_id").withColumn("at", at)
+    good = F.expr("substring(content, 1, at - 1)")
+    bad = F.concat(F.expr("substring(content, 1, at - 2)"), F.lit(b"\x01"))
+    return K.recovered(files.withColumn("content", F.when(F.col("doc_id") % 2 == 0, good).otherwise(bad))).select("doc_id", "name", "ok")
+
+
+def _moved(s, d):
+    """Documents whose quote stands in its block, in one other block, in two others, or nowhere."""
+    nodes = I.nodes_of(_read(s, d, "markdown", r"""concat(CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'one' END, '\n\n', CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name ELSE 'two' END, '\n\n', CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE 'three' END)"""))
+    blocks = M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "seq", "text")
+    first = blocks.groupBy("doc_id").agg(F.min_by("node_id", "seq").alias("target_block"))
+    names = table(s, d, "part", F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("exact"))
+    return first.join(names, "doc_id").select("doc_id", F.lit("ann").alias("annotation_id"), "target_block", "exact", F.lit("").alias("prefix"), F.lit("").alias("suffix")), blocks
+
+
+@query("jn9_moved_quotes", "SELECT p_partkey AS doc_id, p_name AS text FROM part WHERE p_partkey % 4 = 1")
+def jn9(s, d):
+    given, blocks = _moved(s, d)
+    found = A.relocate(given, blocks).where("state = 'moved'").select("doc_id", F.col("block").alias("node_id"))
+    return found.join(blocks, ["doc_id", "node_id"]).select("doc_id", "text")
+
+
+@query("cm17_relocated_layer", "SELECT p_partkey AS doc_id, ['unchanged', 'moved', 'detached', 'detached'][p_partkey % 4 + 1] AS state FROM part")
+def cm17(s, d):
+    return A.relocate(*_moved(s, d)).select("doc_id", "state")
+
+
+def _verified(s, d):
+    """Documents with every kind of input that verification takes, and a fault of each kind in some of them."""
+    from parchment.operators import loss as L
+    from parchment.store import materialise
+
+    i, n = F.col("doc_id"), lambda k: F.col("doc_id") % k == 0
+    docs = materialise(_read(s, d, "markdown", r"concat('![alt](https://example.com/', p_partkey, '.png)\n\n', p_name)"))
+    nodes, base = materialise(I.nodes_of(docs)), docs.select("doc_id")
+    text = F.concat(F.lit("content "), i.cast("string"))
+    layers = base.select("doc_id", F.lit("content").alias("layer"), F.lit("content/content.json").alias("path"), F.sha2(text, 256).alias("sha256"))
+    held = base.select("doc_id", F.lit("content/content.json").alias("name"), F.when(n(3), "changed").otherwise(text).cast("binary").alias("bytes"))
+    strange = base.where(n(9)).select("doc_id", F.lit("strange.bin").alias("name"), F.lit(b"x").alias("bytes"))
+    artifact = base.where(~n(10)).select("doc_id", F.lit("publications/p.pdf").alias("name"), F.lit(b"pdf").alias("bytes"))
+    assets = I.assets_of(docs).where(~n(5)).select("doc_id", "asset_id").unionByName(base.where(n(4)).select("doc_id", F.lit("as_X").alias("asset_id")))
+    blocks = M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "text")
+    quotes = blocks.select("doc_id", F.lit("ann").alias("annotation_id"), F.col("node_id").alias("target_block"), F.when(n(7), "absent").otherwise(F.col("text")).alias("exact"))
+    chain = base.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rev")).select("doc_id", "rev", F.when(F.col("rev") == 2, 1).alias("parent"), F.lit("human").alias("author_type"), F.sha2(F.col("rev").cast("string"), 256).alias("sha256"))
+    snapshots = chain.select("doc_id", "rev", F.when(n(6) & (F.col("rev") == 2), "tampered").otherwise(F.col("rev").cast("string")).alias("content"))
+    publications = base.select("doc_id", F.lit("publications/p.pdf").alias("path"), F.sha2(F.lit("pdf"), 256).alias("sha256"))
+    reports = L.reports(I.loss_of(docs), "markdown", "container")
+    reports = reports.withColumn("report", F.when(n(8), F.regexp_replace("report", '"partial":0', '"partial":3')).otherwise(F.col("report")))
+    issues = Y.verify(held.unionByName(strange).unionByName(artifact), layers, nodes, assets, quotes, blocks, chain, base.withColumn("current_revision", F.lit(2)), snapshots, publications, reports)
+    return issues, base
+
+
+VERDICT = "SELECT p_partkey AS doc_id, (p_partkey % 3 = 0)::INT + (p_partkey % 5 = 0)::INT + (p_partkey % 6 = 0)::INT + (p_partkey % 10 = 0)::INT AS errors, (p_partkey % 7 = 0)::INT + (p_partkey % 8 = 0)::INT AS warnings, (p_partkey % 4 = 0)::INT + (p_partkey % 9 = 0)::INT AS infos FROM part"
+
+
+@query("cm18_verify_all", f"WITH v AS ({VERDICT}) SELECT *, CASE WHEN errors > 0 THEN 1 ELSE 0 END AS exit_code FROM v")
+def cm18(s, d):
+    issues, docs = _verified(s, d)
+    return Y.verdicts(issues, docs).select("doc_id", "errors", "warnings", "infos", "exit_code")
+
+
+@query("se4_issue_union", f"WITH v AS ({VERDICT}) SELECT doc_id, unnest(['error', 'warning', 'info']) AS level, unnest([errors, warnings, infos]) AS n FROM v")
+def se4(s, d):
+    issues, docs = _verified(s, d)
+    levels = docs.select("doc_id", F.explode(F.array(F.lit("error"), F.lit("warning"), F.lit("info"))).alias("level"))
+    counted = issues.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
+    return levels.join(counted, ["doc_id", "level"], "left").na.fill(0)
