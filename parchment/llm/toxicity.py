@@ -2,10 +2,11 @@
 
 Text is lower-cased, its blanks are folded, and each byte position becomes a four-byte code of the five bytes that begin
 there. In codes a match means at least five equal bytes, so zstandard sees word stems and not chance letters. A document
-is cut into overlapping windows of codes, and each window is compressed twice: with a dictionary trained on ordinary text,
-and with one that holds the same and, nearest to the window, passages of toxic text. The difference in length is what the
-toxic dictionary saves. The threshold is calibrated by logistic regression on features that each labelled text gets from
-dictionaries trained without it.
+is cut into overlapping windows of codes, and each window is compressed twice. Both dictionaries are trained by zstandard,
+each on text of its own: one on windows of ordinary documents, one on passages of toxic documents, which are the stretches
+that are far more frequent there. The toxic compressor holds the ordinary dictionary too, before its own, so that common
+words cost both the same, and the difference in length is what the toxic dictionary saves. The threshold is calibrated by
+logistic regression on features that each labelled text gets from dictionaries trained without it.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ GRAM = 5
 #: Codes of a window, and from the start of one to the next.
 WINDOW, STEP = 128, 112
 #: Bytes of the two dictionaries.
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 32768
-#: Windows of ordinary text that its dictionary is trained on.
-ORDINARY_WINDOWS = 20_000
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
+#: Windows that the ordinary dictionary is trained on at most, spread evenly over all ordinary documents of the sample.
+ORDINARY_WINDOWS = 40_000
 #: A code is toxic if so many toxic documents hold it, and if it is so many times as frequent in toxic text as in ordinary text.
 SEEN, RATIO = 3, 8.0
 #: Bytes saved in a window from which the saving counts as high.
@@ -118,7 +119,15 @@ def _counted(texts: list[str], toxic: np.ndarray, at_a_time: int = 256) -> tuple
     return values, counts[:2], counts[2]
 
 
-def dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | None:
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """A zstandard dictionary; where there are too few samples to train on, their end."""
+    try:
+        return zs.train_dictionary(size, samples).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(texts: list[str], toxic: np.ndarray, windows: int = ORDINARY_WINDOWS) -> tuple[bytes, bytes] | None:
     """The ordinary and the toxic dictionary; none if no toxic passage comes up more than once."""
     if toxic.sum() < SEEN or (~toxic).sum() < SEEN:
         return None
@@ -135,29 +144,26 @@ def dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes] | N
     kept = sorted((p for p, n in passages.items() if n > 1), key=lambda p: (passages[p], p))
     if not kept:
         return None
-    plain: list[bytes] = []
+    total, plain, nth = sum(-(-len(texts[i]) // WINDOW) for i in np.flatnonzero(~toxic)), [], 0
     for i in np.flatnonzero(~toxic):
         coded = codes(texts[i])
-        plain.extend(coded[a : a + WINDOW].tobytes() for a in range(0, len(coded), WINDOW))
-        if len(plain) >= ORDINARY_WINDOWS:
-            break
-    try:
-        ordinary = zs.train_dictionary(ORDINARY_BYTES, plain).as_bytes()
-    except zs.ZstdError:  # too few samples to train on
-        ordinary = b"".join(plain)[-ORDINARY_BYTES:]
-    return ordinary, b"".join(kept)[-TOXIC_BYTES:]
+        for a in range(0, len(coded), WINDOW):
+            if total <= windows or nth * windows // total != (nth + 1) * windows // total:
+                plain.append(coded[a : a + WINDOW].tobytes())
+            nth += 1
+    return _trained(ORDINARY_BYTES, plain), _trained(TOXIC_BYTES, [p for p in kept for _ in range(passages[p])])
 
 
-def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+def train(texts: list[str], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0), windows: int = ORDINARY_WINDOWS) -> Model:
     """Dictionaries from all texts, and a threshold from features that each text gets from dictionaries without it.
 
     The texts are dealt into FOLDS parts by position. weight: how many rows an ordinary and a toxic example stand for.
     """
     toxic = np.asarray(toxic, bool)
-    whole = dictionaries(texts, toxic)
+    whole = dictionaries(texts, toxic, windows)
     fold, x, y = np.arange(len(texts)) % FOLDS, [], []
     for f in range(FOLDS if whole else 0):
-        own = dictionaries([t for t, k in zip(texts, fold, strict=True) if k != f], toxic[fold != f])
+        own = dictionaries([t for t, k in zip(texts, fold, strict=True) if k != f], toxic[fold != f], windows)
         if own:
             part = Model(*own)
             x.extend(part.features(texts[i]) for i in np.flatnonzero(fold == f))
@@ -172,10 +178,12 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int = ORDINARY_WINDOWS) -> Model:
     """Fit on at most sample documents of each class, in a random order that depends on doc_id only.
 
-    labels: doc_id, toxic; rows of null label or id are left out, and of repeated ids the largest label counts.
+    labels: doc_id, toxic; rows of null label or id are left out, and of repeated ids the largest label and the largest text
+    count. Only texts of up to SAMPLE_CHARS are learnt from. Without toxic or without ordinary examples, as in an empty table,
+    the model scores everything 0. Other columns of either table play no part.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
@@ -185,11 +193,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = chosen.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(order, "doc_id").toArrow()
     toxic = np.array(rows["toxic"].to_pylist(), bool)
     weight = tuple(size.get(k, 0) / max(1, int((toxic == k).sum())) for k in (False, True))
-    return train(rows["text"].to_pylist(), toxic, weight)
+    return train(rows["text"].to_pylist(), toxic, weight, windows)
 
 
 def score(docs: DataFrame, model: Model, schema: str = "doc_id long", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score and predicted for each row of docs; a null text is scored as an empty one."""
+    """doc_id, score and predicted for each row of docs, over the whole text.
+
+    A null text is scored as an empty one. Equal texts have equal scores, so repeated rows and ties do; a very long text is
+    scored in all its windows, a part of it at a time. An empty table gives an empty result; other columns play no part.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +213,7 @@ def score(docs: DataFrame, model: Model, schema: str = "doc_id long", doc_id: st
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns; texts do not move."""
+    """The rows of docs that are not rejected, with all their columns; texts do not move. Cases are those of score()."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
