@@ -1,45 +1,12 @@
-"""What the operators share: tables in the cluster's shared folder, batch sizes and hashes."""
+"""What the operators share: tables in the cluster's shared folder, batch sizes and tables read."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from parchment.store import discard, materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only a local session may go without: it gets a temporary folder. A cluster without the setting is an error,
-    as its executors would not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="parchment-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there, and any executor can go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parchment-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.parchment_path = path
-    return table
-
-
-def discard(table: DataFrame | None) -> None:
-    """Delete a table of materialise() that nothing reads any more."""
-    path = getattr(table, "parchment_path", None)
-    if path:
-        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+__all__ = ["discard", "materialise", "read", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -124,7 +124,11 @@ def discriminant(count: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> Mo
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and stats (array of doubles) for each row of docs."""
+    """doc_id and stats (array of doubles) for each row of docs, over the whole text.
+
+    A null text counts as an empty one, whose statistics are all 0. Very long texts are hashed whole, one at a time. Repeated
+    rows and rows of null id each have their statistics; an empty table gives an empty result; other columns play no part.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def learn(stats: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted for each row of stats."""
+    """doc_id, score and predicted for each row of stats: equal statistics have equal scores. An empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
