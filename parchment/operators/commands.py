@@ -16,6 +16,7 @@ from parchment.operators.render import Document, render
 from parchment.schemas import LOSS_CLASSES
 from parchment.sources.container import entries, pack
 from parchment.sources.importers import READERS
+from parchment.store import spread
 from parchment.tree import Job
 
 CONTENT, REVISIONS, REPORT, CACHE = "content/content.json", "revisions/revisions.json", "reports/import-0001.json", "compat/document.txt"
@@ -62,7 +63,7 @@ def import_documents(table: DataFrame, fmt: str, doc_id: str = "doc_id", text: s
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [container_of(i, t, fmt) for i, t in zip(batch["doc_id"], batch["text"], strict=True)]})
 
-    return table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, content binary")
+    return spread(table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, "doc_id long, content binary")
 
 
 LAYER = "struct<path:string,sha256:string>"

@@ -20,6 +20,7 @@ from parchment.sources import importers as I
 from parchment.sources.html import read_html
 from parchment.sources.markdown import read_markdown
 from parchment.sources.pandoc import read_pandoc, write_pandoc
+from parchment.store import spread
 from parchment.sources.sanitize import sanitize_fragment, sanitize_paste
 
 
@@ -97,7 +98,7 @@ def _mapped(df, out: str, f):
         for b in batches:
             yield pd.DataFrame([(i, *f(t)) for i, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True)], columns=[c.split()[0] for c in out.split(", ")])
 
-    return df.mapInPandas(run, out)
+    return spread(df).mapInPandas(run, out)
 
 
 def _round_trip(html: str) -> tuple[bool, int]:

@@ -21,6 +21,7 @@ from parchment.sources.html import read_html
 from parchment.sources.markdown import read_markdown
 from parchment.sources.pandoc import read_pandoc, write_pandoc
 from parchment.sources.sanitize import sanitize_paste
+from parchment.store import spread
 from parchment.tree import STRUCTS, Job, flatten, plain_block, unflatten
 
 READERS: dict[str, Callable[[str], tuple[list[dict], Job]]] = {
@@ -59,7 +60,7 @@ def imported(table: DataFrame, fmt: str, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             yield pd.DataFrame([gathered(i, *reader(t)) for i, t in zip(batch["doc_id"], batch["text"], strict=True)], columns=COLUMNS)
 
-    return table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return spread(table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, SCHEMA)
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def convert(table: DataFrame, source: str, target: str, doc_id: str = "doc_id",
                 rows.append((i, target, output, sum(e["loss_class"] != "none" for e in job.loss + lost.loss)))
             yield pd.DataFrame(rows, columns=["doc_id", "format", "output", "n_lost"])
 
-    return table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, EXPORTED)
+    return spread(table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, EXPORTED)
 
 
 def render_nodes(nodes: DataFrame, fmt: str) -> DataFrame:

@@ -46,6 +46,23 @@ def discard(table: DataFrame | None) -> None:
         fs.delete(at, True)
 
 
+#: Tables of fewer bytes are not worth dealing out; files are split at about as many bytes as the second figure.
+LEAST_BYTES, SPLIT_BYTES = 1 << 20, 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if it is a small table in fewer files than there are cores; any other table as it is.
+
+    Parsing takes a core many times longer than reading, and a file may hold one group of rows only, which a scan gives to
+    one task. Large tables come in more splits than there are cores, and nothing of them is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not LEAST_BYTES <= size < cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def replace(df: DataFrame, path: str) -> DataFrame:
     """Write df in place of the table at path, so that a reader sees the old rows or the new ones and never a part.
 
