@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.store import discard, materialise, shared_dir
+from parchment.store import discard, materialise, shared_dir, spread
 
-__all__ = ["discard", "materialise", "read", "shared_dir", "small_batches"]
+__all__ = ["discard", "materialise", "read", "shared_dir", "small_batches", "spread"]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

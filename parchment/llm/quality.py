@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import materialise, read, small_batches
+from parchment.llm.common import materialise, read, small_batches, spread
 from parchment.llm.hashing import slices, word_hashes
 from parchment.llm.logistic import Logistic
 from parchment.llm.toxicity import held_out
@@ -140,7 +140,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(done, len(part)), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "stats"])
                 done += len(part)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, stats array<double>")
 
 
 def learn(stats: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -> Model:
@@ -188,7 +188,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             parts = [model.score(statistics(part)) for part in slices(batch["text"])]
             yield batch.filter(pa.array(np.concatenate(parts) >= GOOD)) if parts else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

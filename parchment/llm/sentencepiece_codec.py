@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import materialise, read, small_batches
+from parchment.llm.common import materialise, read, small_batches, spread
 from parchment.llm.hashing import slices
 from parchment.llm.unigram import BLANK, MODEL, NEVER, Vocabulary, vocabulary
 
@@ -251,8 +251,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, doc_id: str
                 else:
                     yield pa.RecordBatch.from_arrays([ids, coded], ["doc_id", "ids"])
 
-    short = base.where(~giant).mapInArrow(whole, f"doc_id long, ids array<int>{extra}")
-    giants = base.where(giant).withColumn("uid", F.monotonically_increasing_id())
+    short = spread(base.where(~giant)).mapInArrow(whole, f"doc_id long, ids array<int>{extra}")
+    giants = spread(base.where(giant)).withColumn("uid", F.monotonically_increasing_id())
     return short.unionByName(_scan(giants.select("uid", "doc_id", "text"), vocab, chunk, check))
 
 

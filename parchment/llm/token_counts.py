@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import read, small_batches
+from parchment.llm.common import read, small_batches, spread
 from parchment.llm.hashing import slices
 from parchment.llm.unigram import MODEL, vocabulary
 
@@ -29,7 +29,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", te
             counts = [own.count_all(part) for part in slices(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(counts) if counts else [], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import read, small_batches
+from parchment.llm.common import read, small_batches, spread
 from parchment.llm.logistic import Logistic
 
 #: Labelled rows of each class that are learnt from at most, and the longest text among them.
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model, schema: str = "doc_id long", doc_id: st
             s = model.score(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -220,7 +220,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch["text"].to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
