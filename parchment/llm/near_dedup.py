@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import discard, materialise, read, small_batches
+from parchment.llm.common import discard, materialise, read, small_batches, spread
 from parchment.llm.components import components
 from parchment.llm.hashing import GOLD, U, items, mix, multisets, slices
 
@@ -100,7 +100,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = 0
         for texts in slices(batch["text"]):
-            yield pa.RecordBatch.from_arrays([batch["node"].slice(done, len(texts)), pa.array(items(texts, SHINGLE), pa.binary())], ["node", "items"])
+            own = [batch[c].slice(done, len(texts)) for c in ("node", "doc_id", "bands")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(items(texts, SHINGLE), pa.binary())], ["node", "least", "bands", "items"])
             done += len(texts)
 
 
@@ -139,7 +140,7 @@ def _compare(similarity: float):
     """Of two blocks: verify each candidate pair whose components are not yet one; a pair for each two that it joins."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, left = (table[c].to_numpy() for c in ("node", "comp", "left"))
+        doc, comp, left = (table[c].to_numpy() for c in ("least", "comp", "left"))
         sets = [np.frombuffer(x, U) for x in table["items"].to_pylist()]
         bands = np.array(table["bands"].to_pylist(), dtype=np.int64)
         size = np.array([len(s) for s in sets])
@@ -147,7 +148,7 @@ def _compare(similarity: float):
         start = np.concatenate([[0], np.cumsum(size)])
         groups, a, b = _Union(), [], []
         same = bool(left.all())
-        others = np.arange(len(node)) if same else np.flatnonzero(~left)
+        others = np.arange(len(doc)) if same else np.flatnonzero(~left)
         flags = np.zeros(code.max() + 1, dtype=np.int64)
         where = np.concatenate([np.arange(start[i], start[i + 1]) for i in others])
         cuts = np.concatenate([[0], np.cumsum(size[others])[:-1]])
@@ -164,21 +165,24 @@ def _compare(similarity: float):
             for j in others[near]:
                 if groups.find(int(comp[i])) != groups.find(int(comp[j])):
                     groups.join(int(comp[i]), int(comp[j]))
-                    a.append(int(node[i]))
-                    b.append(int(node[j]))
+                    a.append(int(doc[i]))
+                    b.append(int(doc[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _rest(star: DataFrame, links: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links between what shares buckets but not a component: straggler blocks against all blocks of their group."""
+    """Links between what shares buckets but not a component: straggler blocks against all blocks of their group.
+
+    star joins classes; links and the result join documents, as the smallest ids of classes.
+    """
     group, comp = components(star), components(links)
     member = (
         group.select(F.col("id").alias("node"), F.col("component").alias("group"))
-        .join(comp.select(F.col("id").alias("node"), F.col("component").alias("comp")), "node", "left")
-        .withColumn("comp", F.coalesce("comp", "node"))
         .join(known, "node")
+        .join(comp.select(F.col("id").alias("least"), F.col("component").alias("comp")), "least", "left")
+        .withColumn("comp", F.coalesce("comp", "least"))
         .withColumn("bytes", F.length("items"))
     )
     member = materialise(member)
@@ -198,45 +202,63 @@ def _rest(star: DataFrame, links: DataFrame, known: DataFrame, similarity: float
     mine = F.transform(F.sequence(F.col("block"), F.col("n_few") + F.col("n_big") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("left")))
     theirs = F.transform(F.filter(every, lambda i: i < F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
     big = F.transform(every, lambda i: F.struct(i.alias("i"), (F.col("n_few") + F.col("block")).alias("j"), F.lit(False).alias("left")))
-    dealt = placed.withColumn("at", F.explode(F.when(F.col("few"), F.concat(mine, theirs)).otherwise(big))).select("group", "at.*", "node", "comp", "bands", "items")
+    dealt = placed.withColumn("at", F.explode(F.when(F.col("few"), F.concat(mine, theirs)).otherwise(big))).select("group", "at.*", "least", "comp", "bands", "items")
     # dealt out anew: the join left a whole group in one partition, which would do for the grouping, but not for a large group
     return dealt.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
 
 
+def _pairs(star: DataFrame, side: DataFrame) -> DataFrame:
+    """a and b, the smallest ids of the two classes, with the items of both."""
+    edges = star.toDF("u", "v")
+    return edges.join(side.toDF("u", "a", "x"), "u").join(side.toDF("v", "b", "y"), "v").select("a", "b", "x", "y")
+
+
+def _same_id(taking: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of ids that have several texts: each to the smallest id of each of its classes. There are few, if any."""
+    several = taking.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("doc_id")
+    held = taking.select("doc_id", "class").join(several, "doc_id").distinct()
+    return held.join(classes.select("class", "least"), "class").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, group_id (the smallest doc_id reachable by links) and kept (doc_id = group_id).
 
     Words are runs of anything but ASCII white space, in lower case; two documents link if the weighted Jaccard similarity of
     their multisets of five-word shingles is at least similarity. A text of one to four words has one shingle of them all. A
     null text and one without words link with nothing, not even with each other. A doc_id names a document: rows that repeat
-    it are the same document and have the same group. A row of null doc_id is its own group, null, and kept. An empty table
-    gives an empty result. Extra columns play no part.
+    it are the same document, which links through any of its texts, and have the same group. A row of null doc_id is its own
+    group, null, and kept. Texts of any length are compared whole. An empty table gives an empty result. Extra columns play
+    no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialise(
-        base.withColumn("class", F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.unhex(F.md5("text"))))
+        spread(base).withColumn("class", F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.unhex(F.md5("text"))))
         .select("doc_id", "class", "text")
         .mapInArrow(_sketch, "doc_id long, class binary, size long, bands array<long>")
     )
-    classes = materialise(sketch.where("size > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    # a class is a text, and a node has its number; links are between the smallest ids of classes
+    taking = sketch.where("size > 0 and doc_id is not null")
+    classes = taking.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))  # all of a class are equal
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("last > pivot").drop("last")
     star = materialise(banded.join(buckets, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    # the nodes grow with the corpus, so this join is a merge at every size
-    texts = base.withColumnRenamed("doc_id", "node").join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
-    known = materialise(texts.mapInArrow(_items, "node long, items binary").join(classes.groupBy("node").agg(F.first("bands").alias("bands")), "node"))
-    side = known.select("node", "items")
-    pairs = star.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = materialise(pairs.mapInArrow(_verify(similarity), "a long, b long"))
+    # one row for each class, that of its smallest id; the rows grow with the corpus, so this join is a merge at every size
+    wanted = classes.join(nodes, "node").select("class", F.col("least").alias("doc_id"), "node", "bands")
+    texts = base.where("doc_id is not null").withColumn("class", F.unhex(F.md5("text"))).join(wanted.hint("merge"), ["doc_id", "class"])
+    texts = texts.dropDuplicates(["doc_id", "class"]).select("node", "doc_id", "bands", "text")
+    known = materialise(texts.mapInArrow(_items, "node long, least long, bands array<long>, items binary"))
+    side = known.select("node", "least", "items")
+    links = materialise(_pairs(star, side).mapInArrow(_verify(similarity), "a long, b long").unionByName(_same_id(taking, classes)))
     more = materialise(_rest(star, links, known, similarity))
     group = components(links.unionByName(more))
-    discard(star)
-    discard(known)
-    of = classes.select("class", "node").join(group.select(F.col("id").alias("node"), F.col("component").alias("found")), "node", "left")
-    of = of.select("class", F.coalesce("found", "node").alias("found"))
+    for done in (star, known, links, more):
+        discard(done)
+    of = classes.select("class", "least").join(group.select(F.col("id").alias("least"), F.col("component").alias("found")), "least", "left")
+    of = of.select("class", F.coalesce("found", "least").alias("found"))
     own = sketch.select("doc_id", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
     return own.join(of, "class", "left").select(
         "doc_id", F.coalesce("found", "doc_id").alias("group_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("found", "doc_id"))).alias("kept")
