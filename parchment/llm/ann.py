@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import materialise, read
+from parchment.llm.common import discard, materialise, read
 from parchment.llm.vectors import matrix, usable
 
 K = 10
@@ -131,6 +131,7 @@ def nearest(table: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id
     asking = asking.select("dim", every("blocks").alias("block"), dealt("chunks").alias("chunk"), "id", "vector")
     probed = own.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_probe(k), "query_id long, vec_id long, score double")
     found = materialise(probed)
+    discard(base)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

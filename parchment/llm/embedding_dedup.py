@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.common import materialise, read
+from parchment.llm.common import discard, materialise, read
 from parchment.llm.components import components
 from parchment.llm.vectors import matrix, usable
 
@@ -184,6 +184,7 @@ def near_vectors(
     dealt = placed.withColumn("to", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(small)))
     dealt = dealt.select("to.*", named, "dim", "nth", F.slice("keys", F.lit(1), F.col("nth")).alias("keys"), "node", "least", "copies", "vector")
     found = materialise(dealt.groupBy("of", "i", "j", "dim", "nth").applyInArrow(_compare(cosine), "node long, n long, other long"))
+    discard(hashed)
     # an id with several vectors or labels is one document: its classes have one component
     several = ids.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
     shared = ids.select("vec_id", "class").join(several, "vec_id").join(classes.select("class", "least"), "class").select(F.col("vec_id").alias("a"), F.col("least").alias("b"))
