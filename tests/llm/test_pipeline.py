@@ -37,6 +37,21 @@ def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "ids"]
 
 
+def test_extra_columns_with_clashing_names(spark):
+    text = "some words that make a sentence of their own here " * 6
+    rows = [(i, f"{text} {i}" if i else None, "en", f"s{i % 2}", 0, 1, "a", "b", 2, "c", 3.0, 4) for i in range(6)] + [(1, text, "en", "s1", 0, 1, "z", "b", 2, "c", 3.0, 4)] * 2
+    names = "doc_id long, text string, lang string, source string, n_chars long, size int, class string, node string, _h int, found string, score double, __mixed_copy int"
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns, name
+        assert after.count() <= (2 if name == "mixing" else 1) * len(rows)
+    # of rows that repeat an id the one with the largest text stays
+    one = {r.doc_id: r["class"] for r in corpus_pipeline.one_of_each_group(spark, docs, SMALL).where("doc_id = 1").collect()}
+    assert one in ({}, {1: "a"})
+    assert corpus_pipeline.encoded(spark, docs, SMALL).count() == len(rows)
+
+
 def test_cases(spark):
     text = "some words that make a sentence of their own here " * 6
     rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, text), (None, text), (5, "x" * 200_000)]

@@ -128,6 +128,13 @@ def test_near_duplicates_on_corpus(spark):
     assert {r.doc_id: r.group_id for r in near_dedup.near_duplicates(table).collect()} == brute_groups(rows)
 
 
+def test_one_id_with_several_texts(spark):
+    a, b, c = sentence(61, 150), sentence(62, 150), sentence(63, 150)
+    rows = [(1, a), (1, b), (2, changed(a, 140)), (3, changed(b, 140)), (5, c), (6, c), (6, sentence(64, 90)), (7, changed(sentence(64, 90), 80)), (8, sentence(65, 90)), (8, None), (8, "")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group_id) for r in found) == sorted((i, {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 8}[i]) for i, _ in rows)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1080)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7), (None, 3)]
@@ -241,6 +248,67 @@ def test_toxicity_learns_from_passages(spark, docs, empty):
     assert toxicity.train(["a"], np.array([True])).score(["a"])[0] == 0
 
 
+def test_toxicity_features_by_brute_force():
+    import zstandard as zs
+
+    # two dictionaries, every window compressed with either, by a plain reading of the rules
+    texts = [sentence(i, 60) + (" vileword nastyterm vileword" if i % 2 else "") for i in range(120)]
+    ordinary, toxic = toxicity.dictionaries(texts, np.arange(120) % 2 == 1)
+    model, text = toxicity.Model(ordinary, toxic), sentence(999, 300) + "\n  Vileword NASTYTERM end"
+    data = f" {' '.join(text.lower().split())} ".encode()
+    grams = [data[i : i + 5] for i in range(len(data) - 4)]
+    code = dict(zip(grams, toxicity.codes(text).tolist(), strict=True))
+    assert [code[g] for g in grams] == toxicity.codes(text).tolist()
+    saved = []
+    for i in range(0, len(grams) - (toxicity.WINDOW - toxicity.STEP), toxicity.STEP):
+        window = b"".join(code[g].to_bytes(4, "little") for g in grams[i : i + toxicity.WINDOW])
+        sizes = []
+        for content in (ordinary, ordinary + toxic):
+            held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=toxicity._parameters())
+            sizes.append(len(zs.ZstdCompressor(compression_params=toxicity._parameters(), dict_data=held).compress(window)))
+        saved.append(sizes[0] - sizes[1])
+    top = sorted(saved)[-3:]
+    expected = [top[-1], sum(top) / 3, sum(saved) / len(saved), sum(x >= toxicity.HIGH for x in saved) / len(saved), np.log(len(saved))]
+    assert model.features(text) == pytest.approx(expected) and top[-1] >= toxicity.HIGH
+    assert model.features(text) == model.features(text + "  ") and len(model.features("")) == 5
+
+
+def test_toxicity_learns_from_tables_with_cases(spark, docs, empty):
+    rows = [(i, sentence(i, 60) + (" vileword nastyterm vileword" if i % 2 else ""), "x") for i in range(80)] + [(1, None, "x"), (None, "vileword", "x"), (90, "y" * 60_000, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(80)] + [(2, 0, 1), (None, 1, 1), (3, None, 1), (90, 1, 1)], "doc_id long, toxic int, text int")
+    model = toxicity.learn(table.drop("toxic"), labels.drop("text"))
+    assert model.threshold is not None and model.score(["vileword nastyterm vileword"])[0] > model.score(["alpha beta"])[0]
+    assert toxicity.learn(empty, labels.drop("text")).score(["vileword"])[0] == 0
+    assert toxicity.learn(table.drop("toxic"), labels.drop("text").limit(0)).score(["vileword"])[0] == 0
+
+
+def test_quality_statistics_by_brute_force():
+    texts = ["Some Words, and 12 MORE words!", "a a a a\nb b", "x|y|z #tag " * 30, "ünïcödé 漢字 word word"]
+    found = quality.statistics(pa.array(texts))
+    for text, row in zip(texts, found, strict=True):
+        w = [x for x in re.split(r"[ \t\n\r\x0b\x0c]+", text.lower()) if x]
+        size, most = len(text.encode()), max(Counter(w).values())
+        share = lambda chars: np.log(sum(c in chars for c in text) / size + 1e-3) - np.log(1e-3)
+        assert row[0] == pytest.approx(np.log1p(len(w))) and row[1] == pytest.approx(np.log1p(size / len(w)))
+        assert row[2] == pytest.approx(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) and row[3] == pytest.approx(share("0123456789"))
+        assert row[4] == pytest.approx(share(".,;:?'\"-()")) and row[6] == pytest.approx(share("|")) and row[7] == pytest.approx(share("!"))
+        assert row[8] == pytest.approx(np.log(len(w)) - np.log(len(set(w)))) and row[9] == pytest.approx(np.sqrt(sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w)))
+        assert row[10] == pytest.approx(np.log1p(len(w) / (text.count("\n") + 1))) and row[11] == pytest.approx(np.sqrt(most / len(w)))
+
+
+def test_covariances_are_shrunk():
+    r = np.random.default_rng(1)
+    x = [r.normal(0, 1, (60, 2)), r.normal(0, 3, (40, 2))]
+    m = quality.discriminant(np.array([60.0, 40.0]), np.stack([a.sum(0) for a in x]), np.stack([a.T @ a for a in x]))
+    own = [np.cov(a.T, bias=True) for a in x]
+    pooled = 0.6 * own[0] + 0.4 * own[1]
+    for k in (0, 1):
+        cov = (1 - quality.POOLED - quality.IDENTITY) * own[k] + quality.POOLED * pooled + quality.IDENTITY * np.trace(pooled) / 2 * np.eye(2)
+        assert np.linalg.inv(m.factors[k].T @ m.factors[k]) == pytest.approx(cov, rel=1e-5)
+
+
 def test_toxicity_sees_the_end_of_a_long_text(spark):
     texts = [sentence(i, 60) + (" vileword nastyterm vileword" if i % 2 else "") for i in range(120)]
     model = toxicity.train(texts, np.arange(120) % 2 == 1)
@@ -395,6 +463,30 @@ def test_wrapped_licences(spark):
     assert found[11].n_units == 0 and (found[12].licences, found[12].best) == (["Proprietary"], 1.0)
 
 
+def test_whole_licence_texts(spark):
+    def best_window(text, body):
+        w, own = licenses._words_of(text), licenses._words_of(body)
+        grams = lambda x: Counter(zip(x, x[1:], strict=False))
+        parts = [grams(w[i : i + len(own)]) for i in range(max(1, len(w) - len(own) + 1))]
+        return max(2 * sum((p & grams(own)).values()) / (sum(p.values()) + len(own) - 1) for p in parts)
+
+    r, rows, truth = random.Random(3), [], {}
+    for name, body in licenses.WHOLE.items():
+        for part in (0, 20, 12, 3):  # one word in so many is another
+            w = body.split()
+            if part:
+                for k in range(r.randrange(part), len(w), part):
+                    w[k] = "other"
+            text = sentence(r.randrange(99), 40) + "\n" + "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) + "\n" + sentence(r.randrange(99), 400)
+            truth[len(rows)] = (name, best_window(text, body))
+            rows.append((len(rows), text))
+    found = {x.doc_id: x for x in licenses.scan(spark.createDataFrame([*rows, (99, "software " * 500), (98, None)], "doc_id long, text string")).collect()}
+    for i, (name, dice) in truth.items():
+        assert (name in found[i].licences) == (dice >= licenses.DICE), (i, name, dice)
+    assert {d >= licenses.DICE for _, d in truth.values()} == {True, False}
+    assert found[99].n_units == found[98].n_units == 0
+
+
 def test_licences(spark, docs, empty):
     table = spark.createDataFrame([(i, line) for i, line in enumerate(LINES)] + [(90, "\n".join(LINES)), (91, None), (93, "Some words. Released under the MIT License. And more."), (None, LINES[0]), (92, "word " * 100_000 + "\nAll rights reserved")], "doc_id long, text string")
     found = {r.doc_id: r for r in licenses.scan(table).collect()}
