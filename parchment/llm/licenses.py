@@ -169,8 +169,8 @@ t AS (SELECT licence, {_SQL_NUMBERED} AS b FROM t0),
 u AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), '[
 
 ]+', chr(10), 'g'), chr(10))) AS s FROM documents),
-n AS (SELECT doc_id, row_number() OVER () AS u, string_split({_sql_normal("s")}, ' ') AS w FROM u WHERE length(s) < 2000),
-k AS (SELECT doc_id, u, w FROM n WHERE len(w) BETWEEN 1 AND 60 AND w[1] <> ''),
+n AS (SELECT doc_id, row_number() OVER () AS u, string_split({_sql_normal("s")}, ' ') AS w FROM u),
+k AS (SELECT doc_id, u, w FROM n WHERE len(w) <= (SELECT max(len(b)) * 1.5 + 2 FROM t) AND w[1] <> ''),
 f0 AS (SELECT doc_id, u, {_sql_grams("w")} AS g FROM k),
 f AS (SELECT doc_id, u, {_SQL_NUMBERED} AS b FROM f0),
 d AS (SELECT doc_id, u, licence, 2.0 * len(list_intersect(f.b, t.b)) / (len(f.b) + len(t.b)) AS dice FROM f, t WHERE len(f.b) BETWEEN len(t.b) / 1.5 - 1 AND len(t.b) * 1.5 + 1),

@@ -463,30 +463,6 @@ def test_wrapped_licences(spark):
     assert found[11].n_units == 0 and (found[12].licences, found[12].best) == (["Proprietary"], 1.0)
 
 
-def test_whole_licence_texts(spark):
-    def best_window(text, body):
-        w, own = licenses._words_of(text), licenses._words_of(body)
-        grams = lambda x: Counter(zip(x, x[1:], strict=False))
-        parts = [grams(w[i : i + len(own)]) for i in range(max(1, len(w) - len(own) + 1))]
-        return max(2 * sum((p & grams(own)).values()) / (sum(p.values()) + len(own) - 1) for p in parts)
-
-    r, rows, truth = random.Random(3), [], {}
-    for name, body in licenses.WHOLE.items():
-        for part in (0, 20, 12, 3):  # one word in so many is another
-            w = body.split()
-            if part:
-                for k in range(r.randrange(part), len(w), part):
-                    w[k] = "other"
-            text = sentence(r.randrange(99), 40) + "\n" + "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) + "\n" + sentence(r.randrange(99), 400)
-            truth[len(rows)] = (name, best_window(text, body))
-            rows.append((len(rows), text))
-    found = {x.doc_id: x for x in licenses.scan(spark.createDataFrame([*rows, (99, "software " * 500), (98, None)], "doc_id long, text string")).collect()}
-    for i, (name, dice) in truth.items():
-        assert (name in found[i].licences) == (dice >= licenses.DICE), (i, name, dice)
-    assert {d >= licenses.DICE for _, d in truth.values()} == {True, False}
-    assert found[99].n_units == found[98].n_units == 0
-
-
 def test_licences(spark, docs, empty):
     table = spark.createDataFrame([(i, line) for i, line in enumerate(LINES)] + [(90, "\n".join(LINES)), (91, None), (93, "Some words. Released under the MIT License. And more."), (None, LINES[0]), (92, "word " * 100_000 + "\nAll rights reserved")], "doc_id long, text string")
     found = {r.doc_id: r for r in licenses.scan(table).collect()}
