@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions.text import context_of
+from parchment.store import growing
 
 #: Passages of one or two words that quoted() takes at most.
 SHORT_PASSAGES = 1000
@@ -20,16 +21,16 @@ def relocate(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     that need it only; its hits are counted, not gathered.
     """
     own = blocks.select("doc_id", F.col("node_id").alias("target_block"), F.col("text").alias("own"))
-    a = annotations.join(own, ["doc_id", "target_block"], "left")
+    a = annotations.join(growing(own), ["doc_id", "target_block"], "left")
     whole = F.concat(F.coalesce("prefix", F.lit("")), F.col("exact"), F.coalesce("suffix", F.lit("")))
     empty = F.coalesce(F.col("exact"), F.lit("")) == ""
     here = F.when(empty, "detached").when(F.coalesce(F.contains("own", whole), F.lit(False)), "unchanged").when(F.coalesce(F.contains("own", "exact"), F.lit(False)), "reanchored")
     a = a.withColumn("_here", here)
     away = a.where("_here is null").select("doc_id", "annotation_id", "target_block", "exact")
     other = blocks.select("doc_id", "node_id", "text")
-    hits = away.join(other, "doc_id").where(F.contains("text", "exact") & ~F.col("node_id").eqNullSafe(F.col("target_block")))
+    hits = away.join(growing(other), "doc_id").where(F.contains("text", "exact") & ~F.col("node_id").eqNullSafe(F.col("target_block")))
     found = hits.groupBy("doc_id", "annotation_id").agg(F.count("*").alias("_n"), F.min("node_id").alias("_to"), F.min("text").alias("_text")).where("_n = 1")
-    out = a.join(found, ["doc_id", "annotation_id"], "left")
+    out = a.join(growing(found), ["doc_id", "annotation_id"], "left")
     state = F.coalesce("_here", F.when(F.col("_to").isNotNull(), "moved").otherwise("detached"))
     text = F.when(state == "moved", F.col("_text")).when(state == "reanchored", F.col("own"))
     before, after = context_of(text, F.col("exact"))
@@ -46,21 +47,21 @@ def relocation_counts(decided: DataFrame) -> DataFrame:
 def annotation_issues(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Targets that do not exist and quotes that do not stand in their block."""
     own = blocks.select("doc_id", F.col("node_id").alias("target_block"), F.col("text").alias("own"))
-    a = annotations.join(own, ["doc_id", "target_block"], "left")
+    a = annotations.join(growing(own), ["doc_id", "target_block"], "left")
     code = F.when(F.col("own").isNull(), "target_missing").when(F.col("exact").isNotNull() & ~F.contains("own", "exact"), "quote_missing")
     return a.select("doc_id", "annotation_id", code.alias("code")).where("code is not null")
 
 
 def annotate(annotations: DataFrame, proposed: DataFrame, blocks: DataFrame) -> DataFrame:
     """annotations and those proposed whose block exists and whose value is a JSON object."""
-    real = proposed.join(blocks.select("doc_id", F.col("node_id").alias("target_block")).distinct(), ["doc_id", "target_block"], "left_semi")
+    real = proposed.join(growing(blocks.select("doc_id", F.col("node_id").alias("target_block")).distinct()), ["doc_id", "target_block"], "left_semi")
     return annotations.unionByName(real.where(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")), allowMissingColumns=True)
 
 
 def guarded(results: DataFrame, blocks: DataFrame) -> DataFrame:
     """Model results that may be used: their block exists and is a paragraph, the quote stands in it, confidence is in 0..1."""
     own = blocks.select("doc_id", F.col("node_id").alias("target_block"), "text", "type")
-    return results.join(own, ["doc_id", "target_block"]).where(F.contains("text", "exact") & F.col("confidence").between(0, 1) & (F.col("type") == "paragraph")).drop("text", "type")
+    return results.join(growing(own), ["doc_id", "target_block"]).where(F.contains("text", "exact") & F.col("confidence").between(0, 1) & (F.col("type") == "paragraph")).drop("text", "type")
 
 
 def quoted(texts: DataFrame, passages: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -92,10 +93,10 @@ def quoted(texts: DataFrame, passages: DataFrame, doc_id: str = "doc_id", item_i
 
 def targets_missing(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """Annotations (doc_id, target_block, ...) whose block (doc_id, node_id) is not in the document."""
-    return annotations.join(blocks.select("doc_id", F.col("node_id").alias("target_block")), ["doc_id", "target_block"], "left_anti")
+    return annotations.join(growing(blocks.select("doc_id", F.col("node_id").alias("target_block"))), ["doc_id", "target_block"], "left_anti")
 
 
 def listed(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     """annotations with state and detached, as a list of them shows where they stand now."""
     now = relocate(annotations, blocks).select("doc_id", "annotation_id", "state")
-    return annotations.join(now, ["doc_id", "annotation_id"]).withColumn("detached", F.col("state") == "detached")
+    return annotations.join(growing(now), ["doc_id", "annotation_id"]).withColumn("detached", F.col("state") == "detached")

@@ -16,7 +16,7 @@ from parchment.operators.render import Document, render
 from parchment.schemas import LOSS_CLASSES
 from parchment.sources.container import entries, pack
 from parchment.sources.importers import READERS
-from parchment.store import spread
+from parchment.store import growing, spread
 from parchment.tree import Job
 
 CONTENT, REVISIONS, REPORT, CACHE = "content/content.json", "revisions/revisions.json", "reports/import-0001.json", "compat/document.txt"
@@ -106,7 +106,7 @@ SHOWN, MOST_ANNOTATIONS, MOST_REWRITES, LEAST = 240, 8, 2, 20
 def listing(nodes: DataFrame) -> DataFrame:
     """doc_id, seq, target_block, type, text and shown: the paragraphs and headings of a node table as a model is shown them."""
     blocks = nodes.where("type in ('paragraph', 'heading')").select("doc_id", "seq", "path", F.col("node_id").alias("target_block"), "type")
-    found = blocks.join(S.plain_spans(nodes), ["doc_id", "path"])
+    found = blocks.join(growing(S.plain_spans(nodes)), ["doc_id", "path"])
     return found.select("doc_id", "seq", "target_block", "type", "text", F.substring("text", 1, SHOWN).alias("shown"))
 
 

@@ -22,6 +22,7 @@ from parchment.sources import container as K
 from parchment.sources import importers as I
 from parchment.sources import ooxml as O
 from parchment.sources.docx import imported_docx, inventory, inventory_json
+from parchment.store import growing, materialise
 from parchment.streaming import jobs as J
 
 # annotations
@@ -215,11 +216,11 @@ def sc8(s, d):
 
 def _moved(s, d):
     """Documents whose quote stands in its block, in one other block, in two others, or nowhere."""
-    nodes = I.nodes_of(_read(s, d, "markdown", r"""concat(CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'one' END, '\n\n', CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name ELSE 'two' END, '\n\n', CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE 'three' END)"""))
+    nodes = materialise(I.nodes_of(_read(s, d, "markdown", r"""concat(CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'one' END, '\n\n', CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name ELSE 'two' END, '\n\n', CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE 'three' END)""")))
     blocks = M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "seq", "text")
     first = blocks.groupBy("doc_id").agg(F.min_by("node_id", "seq").alias("target_block"))
     names = table(s, d, "part", F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("exact"))
-    return first.join(names, "doc_id").select("doc_id", F.lit("ann").alias("annotation_id"), "target_block", "exact", F.lit("").alias("prefix"), F.lit("").alias("suffix")), blocks
+    return first.join(growing(names), "doc_id").select("doc_id", F.lit("ann").alias("annotation_id"), "target_block", "exact", F.lit("").alias("prefix"), F.lit("").alias("suffix")), blocks
 
 
 @query("jn9_moved_quotes", "SELECT p_partkey AS doc_id, p_name AS text FROM part WHERE p_partkey % 4 = 1")
@@ -237,8 +238,6 @@ def cm17(s, d):
 def _verified(s, d):
     """Documents with every kind of input that verification takes, and a fault of each kind in some of them."""
     from parchment.operators import loss as L
-    from parchment.store import materialise
-
     i, n = F.col("doc_id"), lambda k: F.col("doc_id") % k == 0
     docs = materialise(_read(s, d, "markdown", r"concat('![alt](https://example.com/', p_partkey, '.png)\n\n', p_name)"))
     nodes, base = materialise(I.nodes_of(docs)), docs.select("doc_id")
