@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.schemas import LOSS_CLASSES
+from parchment.store import growing
 
 
 def loss_by_class(events: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """doc_id, a count for each of the five classes, total and status; with docs also for documents without events."""
     counted = events.groupBy("doc_id").agg(*[F.count_if(F.col("loss_class") == c).alias(c) for c in LOSS_CLASSES])
     if docs is not None:
-        counted = docs.select("doc_id").join(counted, "doc_id", "left").na.fill(0, list(LOSS_CLASSES))
+        counted = docs.select("doc_id").join(growing(counted), "doc_id", "left").na.fill(0, list(LOSS_CLASSES))
     lost = sum((F.col(c) for c in LOSS_CLASSES[2:]), F.col(LOSS_CLASSES[1]))
     return counted.withColumn("total", lost + F.col("none")).withColumn("status", F.when(lost > 0, "partial").otherwise("complete"))
 
@@ -32,7 +33,7 @@ def reports(events: DataFrame, source: str, target: str, engine: str = "parchmen
     counts = loss_by_class(events, docs)
     issue = F.struct(F.format_string("iss_%04d", F.col("seq")).alias("id"), "feature", "loss_class", "action", "location", "detail")
     issues = events.where("loss_class <> 'none'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", issue.alias("issue")))).alias("_issues"))
-    joined = counts.join(issues, "doc_id", "left")
+    joined = counts.join(growing(issues), "doc_id", "left")
     body = F.struct(
         F.lit("1.0").alias("report_version"), F.lit("import").alias("direction"), F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(engine).alias("engine"), "status",
         F.struct(F.struct(*LOSS_CLASSES).alias("loss")).alias("summary"), F.coalesce(F.transform("_issues", lambda x: x["issue"]), F.array()).alias("issues"),

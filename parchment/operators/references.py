@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.assets import asset_id, data_uri
+from parchment.store import growing
 
 #: How well an exporter carries a type.
 SUPPORTED = (
@@ -19,25 +20,25 @@ PRESERVED = ["unknown"]
 def asset_urls(nodes: DataFrame, assets: DataFrame) -> DataFrame:
     """nodes with asset_url, asset_filename and asset_mime: external URL, data URI of embedded bytes, or the reference itself."""
     own = assets.select("doc_id", "asset_id", F.col("url").alias("_url"), F.col("filename").alias("asset_filename"), F.col("mime").alias("asset_mime"), F.col("bytes").alias("_bytes"))
-    joined = nodes.withColumn("asset_id", asset_id(F.col("asset"))).join(own, ["doc_id", "asset_id"], "left")
+    joined = nodes.withColumn("asset_id", asset_id(F.col("asset"))).join(growing(own), ["doc_id", "asset_id"], "left")
     return joined.withColumn("asset_url", F.coalesce("_url", data_uri(F.col("asset_mime"), F.col("_bytes")), "asset")).drop("_url", "_bytes", "asset_id")
 
 
 def dangling_assets(nodes: DataFrame, assets: DataFrame) -> DataFrame:
     """References to assets that are not registered."""
     refs = nodes.where("asset is not null").select("doc_id", "path", "asset", asset_id(F.col("asset")).alias("asset_id"))
-    return refs.join(assets.select("doc_id", "asset_id"), ["doc_id", "asset_id"], "left_anti")
+    return refs.join(growing(assets.select("doc_id", "asset_id")), ["doc_id", "asset_id"], "left_anti")
 
 
 def orphan_assets(nodes: DataFrame, assets: DataFrame) -> DataFrame:
     """Assets that no node refers to: allowed, but reported."""
     refs = nodes.where("asset is not null").select("doc_id", asset_id(F.col("asset")).alias("asset_id"))
-    return assets.join(refs, ["doc_id", "asset_id"], "left_anti")
+    return assets.join(growing(refs), ["doc_id", "asset_id"], "left_anti")
 
 
 def payloads(nodes: DataFrame, preserved: DataFrame) -> DataFrame:
     """nodes with payload: only those that are referred to are joined."""
-    return nodes.join(preserved.select("doc_id", F.col("path").alias("payload_ref"), F.col("bytes").alias("payload")), ["doc_id", "payload_ref"], "left")
+    return nodes.join(growing(preserved.select("doc_id", F.col("path").alias("payload_ref"), F.col("bytes").alias("payload"))), ["doc_id", "payload_ref"], "left")
 
 
 def footnote_numbers(nodes: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def footnote_numbers(nodes: DataFrame) -> DataFrame:
     refs = nodes.where("type = 'footnote_ref'").groupBy("doc_id", "target_ref").agg(F.min("seq").alias("first"), F.count("*").alias("n_refs"))
     numbered = refs.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
     defined = nodes.where("type = 'footnote'").select("doc_id", F.col("node_id").alias("target_ref"), F.lit(True).alias("defined")).distinct()
-    return numbered.join(defined, ["doc_id", "target_ref"], "left").select("doc_id", "target_ref", "number", "n_refs", F.coalesce("defined", F.lit(False)).alias("defined"))
+    return numbered.join(growing(defined), ["doc_id", "target_ref"], "left").select("doc_id", "target_ref", "number", "n_refs", F.coalesce("defined", F.lit(False)).alias("defined"))
 
 
 def capability(nodes: DataFrame) -> DataFrame:
@@ -94,13 +95,13 @@ def by_position(left: DataFrame, right: DataFrame, partition: str, left_order: s
     """The i-th row of one side with the i-th of the other, within a partition."""
     a = left.withColumn("_i", F.row_number().over(Window.partitionBy(partition).orderBy(left_order)))
     b = right.withColumn("_i", F.row_number().over(Window.partitionBy(partition).orderBy(right_order)))
-    return a.join(b, [partition, "_i"]).drop("_i")
+    return a.join(growing(b), [partition, "_i"]).drop("_i")
 
 
 def prefer(staged: DataFrame, registered: DataFrame, key: str, value: str) -> DataFrame:
     """A staged value goes before a registered one."""
     a, b = staged.select(key, F.col(value).alias("_a")), registered.select(key, F.col(value).alias("_b"))
-    return a.join(b, key, "full").select(key, F.coalesce("_a", "_b").alias(value), F.when(F.col("_a").isNotNull(), "staged").otherwise("registered").alias("origin"))
+    return a.join(growing(b), key, "full").select(key, F.coalesce("_a", "_b").alias(value), F.when(F.col("_a").isNotNull(), "staged").otherwise("registered").alias("origin"))
 
 
 def first_refs(nodes: DataFrame, column: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from parchment.store import growing
+
 
 def history(revisions: DataFrame) -> DataFrame:
     """revisions(doc_id, rev, parent, author_type, sha256) with position from the newest, is_head and is_root.
@@ -17,7 +19,7 @@ def history(revisions: DataFrame) -> DataFrame:
     """
     newest = Window.partitionBy("doc_id").orderBy(F.col("rev").desc())
     known = revisions.select("doc_id", F.col("rev").alias("parent"), F.lit(True).alias("_known"))
-    out = revisions.withColumn("position", F.row_number().over(newest)).join(known, ["doc_id", "parent"], "left")
+    out = revisions.withColumn("position", F.row_number().over(newest)).join(growing(known), ["doc_id", "parent"], "left")
     return out.withColumns({"is_head": F.col("position") == 1, "is_root": F.col("parent").isNull(), "broken": F.col("parent").isNotNull() & F.col("_known").isNull()}).drop("_known")
 
 
@@ -74,16 +76,16 @@ def differences(items: DataFrame, revisions: DataFrame) -> DataFrame:
     """
     own = items.select("doc_id", "rev", "item").distinct()
     kept = revisions.select("doc_id", "rev", "parent")
-    was = kept.join(own.withColumnRenamed("rev", "parent"), ["doc_id", "parent"]).select("doc_id", "rev", "item", F.lit(1).alias("_was"))
-    both = own.withColumn("_is", F.lit(1)).join(was, ["doc_id", "rev", "item"], "full")
+    was = kept.join(growing(own.withColumnRenamed("rev", "parent")), ["doc_id", "parent"]).select("doc_id", "rev", "item", F.lit(1).alias("_was"))
+    both = own.withColumn("_is", F.lit(1)).join(growing(was), ["doc_id", "rev", "item"], "full")
     counted = both.groupBy("doc_id", "rev").agg(F.count_if(F.col("_was").isNull()).alias("n_added"), F.count_if(F.col("_is").isNull()).alias("n_removed"))
-    return kept.select("doc_id", "rev").join(counted, ["doc_id", "rev"], "left").na.fill(0, ["n_added", "n_removed"])
+    return kept.select("doc_id", "rev").join(growing(counted), ["doc_id", "rev"], "left").na.fill(0, ["n_added", "n_removed"])
 
 
 def commit(revisions: DataFrame, snapshots: DataFrame, author_type: str, message: str) -> DataFrame:
     """revisions and one more for each document of snapshots(doc_id, content) whose content differs from the head's."""
     head = revisions.groupBy("doc_id").agg(F.max_by(F.struct("rev", "sha256"), "rev").alias("_head"))
-    new = snapshots.withColumn("sha256", F.sha2("content", 256)).join(head, "doc_id", "left").where(~F.col("sha256").eqNullSafe(F.col("_head.sha256")))
+    new = snapshots.withColumn("sha256", F.sha2("content", 256)).join(growing(head), "doc_id", "left").where(~F.col("sha256").eqNullSafe(F.col("_head.sha256")))
     made = new.select("doc_id", (F.coalesce(F.col("_head.rev"), F.lit(-1)) + 1).alias("rev"), F.col("_head.rev").alias("parent"), F.lit(author_type).alias("author_type"), F.lit(message).alias("message"), "sha256")
     return revisions.unionByName(made, allowMissingColumns=True)
 
@@ -91,7 +93,7 @@ def commit(revisions: DataFrame, snapshots: DataFrame, author_type: str, message
 def checkout(manifest: DataFrame, revisions: DataFrame, rev: Column) -> DataFrame:
     """manifest(doc_id, current_revision, ...) with the revision and its content hash restored; documents without it stay."""
     wanted = revisions.withColumn("_to", rev).where("rev = _to").select("doc_id", F.col("rev").alias("_rev"), F.col("sha256").alias("_sha"))
-    out = manifest.join(wanted, "doc_id", "left")
+    out = manifest.join(growing(wanted), "doc_id", "left")
     return out.withColumns({"current_revision": F.coalesce("_rev", "current_revision"), "content_sha256": F.coalesce("_sha", "content_sha256")}).drop("_rev", "_sha")
 
 
@@ -102,14 +104,14 @@ def fresh(revision: Column, current: Column, sha: Column, content: Column) -> Co
 
 def stale_caches(caches: DataFrame, manifest: DataFrame, formats: tuple[str, ...] = ("markdown", "text", "html")) -> DataFrame:
     """doc_id, format, known: caches to be built again, and those of formats that cannot be."""
-    joined = caches.join(manifest.select("doc_id", "current_revision", F.col("content_sha256").alias("_content")), "doc_id")
+    joined = caches.join(growing(manifest.select("doc_id", "current_revision", F.col("content_sha256").alias("_content"))), "doc_id")
     old = joined.where(~F.coalesce(fresh(F.col("revision"), F.col("current_revision"), F.col("content_sha256"), F.col("_content")), F.lit(False)))
     return old.select("doc_id", "format", F.col("format").isin(*formats).alias("known"))
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new replaces rows of its keys."""
-    return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    return table.join(growing(new.select(*keys)), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def next_sequence(paths: DataFrame, prefix: str) -> DataFrame:
@@ -123,15 +125,15 @@ def chain_issues(revisions: DataFrame, manifest: DataFrame, snapshots: DataFrame
     h = history(revisions)
     broken = h.where("broken").select("doc_id", F.lit("parent_missing").alias("code"))
     roots = h.where("is_root").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit("several_roots").alias("code"))
-    outside = manifest.where("current_revision is not null").join(revisions.select("doc_id", F.col("rev").alias("current_revision")), ["doc_id", "current_revision"], "left_anti").select("doc_id", F.lit("current_missing").alias("code"))
-    changed = revisions.join(snapshots.select("doc_id", "rev", "content"), ["doc_id", "rev"]).where(F.sha2("content", 256) != F.col("sha256")).select("doc_id", F.lit("snapshot_changed").alias("code"))
+    outside = manifest.where("current_revision is not null").join(growing(revisions.select("doc_id", F.col("rev").alias("current_revision"))), ["doc_id", "current_revision"], "left_anti").select("doc_id", F.lit("current_missing").alias("code"))
+    changed = revisions.join(growing(snapshots.select("doc_id", "rev", "content")), ["doc_id", "rev"]).where(F.sha2("content", 256) != F.col("sha256")).select("doc_id", F.lit("snapshot_changed").alias("code"))
     return broken.unionByName(roots).unionByName(outside).unionByName(changed).distinct()
 
 
 def publication_issues(publications: DataFrame, entries: DataFrame) -> DataFrame:
     """Artifacts that are missing or changed since they were frozen."""
     held = entries.select("doc_id", F.col("name").alias("path"), F.sha2("bytes", 256).alias("_sha"))
-    joined = publications.join(held, ["doc_id", "path"], "left")
+    joined = publications.join(growing(held), ["doc_id", "path"], "left")
     code = F.when(F.col("_sha").isNull(), "artifact_missing").when(F.col("_sha") != F.col("sha256"), "artifact_changed")
     return joined.select("doc_id", "path", code.alias("code")).where("code is not null")
 
@@ -146,7 +148,7 @@ def published(publications: DataFrame, content: DataFrame, renderer: str, css_ve
 
 def heads_in_chain(manifest: DataFrame, revisions: DataFrame) -> DataFrame:
     """manifest rows (doc_id, current_revision, ...) whose revision is one of the document's."""
-    return manifest.join(revisions.select("doc_id", F.col("rev").alias("current_revision")), ["doc_id", "current_revision"], "left_semi")
+    return manifest.join(growing(revisions.select("doc_id", F.col("rev").alias("current_revision"))), ["doc_id", "current_revision"], "left_semi")
 
 
 def only_in(items: DataFrame, of: Column, against: Column) -> DataFrame:

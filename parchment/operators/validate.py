@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.text import valid_id
 from parchment.schemas import NODE_TYPES, SPAN_TYPES
+from parchment.store import growing
 
 LIST_STYLES, VARIANTS, LOSS_KINDS = ("bullet", "ordered"), ("note", "tip", "important", "warning"), ("none", "partial", "degraded", "unsupported", "preserved_raw")
 ISSUES = ("doc_id", "level", "code", "path")
@@ -110,11 +111,11 @@ def row_rules() -> list[Rule]:
 def table_rules(nodes: DataFrame) -> list[DataFrame]:
     """Tables without columns or rows, and cells that leave the grid or overlap."""
     parts = nodes.where(_is("column", "row")).groupBy("doc_id", F.col("parent_seq").alias("seq")).agg(F.count_if(_is("column")).alias("n_cols"), F.count_if(_is("row")).alias("n_rows"))
-    tables = nodes.where(_is("table")).join(parts, ["doc_id", "seq"], "left").na.fill(0, ["n_cols", "n_rows"])
+    tables = nodes.where(_is("table")).join(growing(parts), ["doc_id", "seq"], "left").na.fill(0, ["n_cols", "n_rows"])
     row = nodes.where(_is("row")).select("doc_id", F.col("seq").alias("row_seq"), F.col("parent_seq").alias("table_seq"), F.col("ord").alias("row"))
     cell = nodes.where(_is("cell")).select("doc_id", F.col("parent_seq").alias("row_seq"), "seq", "path", "col", "col_span", "row_span")
     sized = tables.select("doc_id", F.col("seq").alias("table_seq"), "n_cols", "n_rows")
-    cells = cell.join(row, ["doc_id", "row_seq"]).join(sized, ["doc_id", "table_seq"])
+    cells = cell.join(growing(row), ["doc_id", "row_seq"]).join(growing(sized), ["doc_id", "table_seq"])
     grid = grid_issues(cells.withColumnRenamed("table_seq", "table"), ("doc_id", "table"))
     return [
         _issue(tables, F.col("n_cols") == 0, "error", "table_columns"),
@@ -145,14 +146,14 @@ def grid_issues(cells: DataFrame, table: tuple[str, ...]) -> DataFrame:
 def missing_payloads(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """Payloads of unknown content that entries (doc_id, path) do not hold."""
     held = entries.select("doc_id", F.col("path").alias("payload_ref"))
-    lost = nodes.where(_is("unknown") & F.col("payload_ref").isNotNull()).join(held, ["doc_id", "payload_ref"], "left_anti")
+    lost = nodes.where(_is("unknown") & F.col("payload_ref").isNotNull()).join(growing(held), ["doc_id", "payload_ref"], "left_anti")
     return _issue(lost, F.lit(True), "error", "unknown_payload_missing")
 
 
 def dangling_footnotes(nodes: DataFrame) -> DataFrame:
     """Footnote references without a definition in the document."""
     defined = nodes.where(_is("footnote")).select("doc_id", F.col("node_id").alias("target_ref"))
-    lost = nodes.where(_is("footnote_ref") & F.col("target_ref").isNotNull()).join(defined, ["doc_id", "target_ref"], "left_anti")
+    lost = nodes.where(_is("footnote_ref") & F.col("target_ref").isNotNull()).join(growing(defined), ["doc_id", "target_ref"], "left_anti")
     return _issue(lost, F.lit(True), "warning", "footnote_dangling")
 
 

@@ -12,6 +12,7 @@ from parchment.operators import references as R
 from parchment.operators import revisions as V
 from parchment.operators.loss import consistent
 from parchment.operators.validate import check_content, totals
+from parchment.store import growing
 
 #: Where a container's own files lie; entries elsewhere are reported and kept.
 KNOWN = ("manifest.json", "content/", "presentation/", "semantics/", "assets/", "revisions/", "compatibility/", "reports/", "preserved/", "publications/")
@@ -21,7 +22,7 @@ def layer_issues(layers: DataFrame, entries: DataFrame) -> DataFrame:
     """layers(doc_id, layer, path, sha256) against entries(doc_id, name, bytes): paths taken twice, missing, or of another hash."""
     held = entries.select("doc_id", F.col("name").alias("path"), F.sha2("bytes", 256).alias("_sha"))
     n = F.count("*").over(Window.partitionBy("doc_id", "path"))
-    joined = layers.withColumn("_n", n).join(held, ["doc_id", "path"], "left")
+    joined = layers.withColumn("_n", n).join(growing(held), ["doc_id", "path"], "left")
     code = F.when(F.col("_n") > 1, "layer_path_repeated").when(F.col("_sha").isNull(), "layer_missing").when(F.col("_sha") != F.col("sha256"), "layer_changed")
     return joined.select("doc_id", "path", code.alias("code")).where("code is not null")
 
@@ -58,7 +59,7 @@ def verify(
 
 def verdicts(issues: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, errors, warnings, infos, exit_code for every document."""
-    return docs.select("doc_id").join(totals(issues), "doc_id", "left").na.fill(0)
+    return docs.select("doc_id").join(growing(totals(issues)), "doc_id", "left").na.fill(0)
 
 
 def version_matches(files: DataFrame) -> DataFrame:
@@ -68,4 +69,4 @@ def version_matches(files: DataFrame) -> DataFrame:
     f = header_fields(F.col("content"))
     own = files.select("doc_id", F.concat_ws(".", f["major"].cast("string"), f["minor"].cast("string")).alias("_own"))
     said = entries(files).where("name = 'manifest.json'").select("doc_id", F.get_json_object(F.col("bytes").cast("string"), "$.parchm.format_version").alias("_said"))
-    return own.join(said, "doc_id", "left").select("doc_id", F.coalesce(F.col("_own") == F.col("_said"), F.lit(False)).alias("matches"))
+    return own.join(growing(said), "doc_id", "left").select("doc_id", F.coalesce(F.col("_own") == F.col("_said"), F.lit(False)).alias("matches"))

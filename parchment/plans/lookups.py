@@ -227,7 +227,7 @@ def _moved(s, d):
 def jn9(s, d):
     given, blocks = _moved(s, d)
     found = A.relocate(given, blocks).where("state = 'moved'").select("doc_id", F.col("block").alias("node_id"))
-    return found.join(blocks, ["doc_id", "node_id"]).select("doc_id", "text")
+    return found.join(growing(blocks), ["doc_id", "node_id"]).select("doc_id", "text")
 
 
 @query("cm17_relocated_layer", "SELECT p_partkey AS doc_id, ['unchanged', 'moved', 'detached', 'detached'][p_partkey % 4 + 1] AS state FROM part")
@@ -272,4 +272,4 @@ def se4(s, d):
     issues, docs = _verified(s, d)
     levels = docs.select("doc_id", F.explode(F.array(F.lit("error"), F.lit("warning"), F.lit("info"))).alias("level"))
     counted = issues.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
-    return levels.join(counted, ["doc_id", "level"], "left").na.fill(0)
+    return levels.join(growing(counted), ["doc_id", "level"], "left").na.fill(0)

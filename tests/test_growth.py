@@ -7,7 +7,7 @@ from parchment.plans import registry
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["cm17_relocated_layer"])
+@pytest.mark.parametrize("name", ["cm17_relocated_layer", "cm18_verify_all"])
 def test_growing_sides_are_merged(spark, name):
     """No side of a join that grows with the documents is sent to the driver, however small Spark takes it to be."""
     plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
