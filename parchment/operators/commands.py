@@ -88,7 +88,7 @@ def info(files: DataFrame) -> DataFrame:
     fresh = F.filter("m.caches", lambda c: (c["revision"] == F.col("m.current_revision")) & (c["content_sha256"] == F.col("_content")))
     known = F.array(*[F.lit(k) for k in KNOWN])
     return (
-        manifests.join(checked, "doc_id", "left").join(reports, "doc_id", "left")
+        manifests.join(growing(checked), "doc_id", "left").join(growing(reports), "doc_id", "left")
         .select(
             "doc_id", F.col("m.parchm.format_version").alias("format_version"), F.col("m.current_revision").alias("current_revision"), F.coalesce("n_layers", F.lit(0)).alias("n_layers"),
             F.coalesce("layers_ok", F.lit(0)).alias("layers_ok"), F.coalesce(F.size("m.caches"), F.lit(0)).alias("n_caches"), F.coalesce(F.size(fresh), F.lit(0)).alias("fresh_caches"),
@@ -137,7 +137,7 @@ def model_pipeline(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     annotations, rewrites = proposed(listed)
     blocks = listed.select("doc_id", F.col("target_block").alias("node_id"), "text", "type")
     kept = guarded(annotations, blocks).select("doc_id", "target_block", "exact")
-    changed = rewrites.join(listed.select("doc_id", "target_block", F.col("text").alias("_old")), ["doc_id", "target_block"]).where("text <> _old")
+    changed = rewrites.join(growing(listed.select("doc_id", "target_block", F.col("text").alias("_old"))), ["doc_id", "target_block"]).where("text <> _old")
     rev = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) + 1
     return kept, changed.withColumn("rev", rev).select("doc_id", "rev", (F.col("rev") - 1).alias("parent"), "target_block", "text")
 
@@ -145,9 +145,9 @@ def model_pipeline(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rewrite_blocks(nodes: DataFrame, rewrites: DataFrame) -> DataFrame:
     """nodes with the content of rewritten paragraphs (doc_id, target_block, text) replaced by one text span each; other rows stay."""
     given = rewrites.select("doc_id", F.col("target_block").alias("node_id"), F.col("text").alias("_new"))
-    hit = nodes.where("type = 'paragraph'").join(given, ["doc_id", "node_id"]).select("doc_id", F.col("path").alias("_block"), F.col("seq").alias("_seq"), "_new")
+    hit = nodes.where("type = 'paragraph'").join(growing(given), ["doc_id", "node_id"]).select("doc_id", F.col("path").alias("_block"), F.col("seq").alias("_seq"), "_new")
     inside = nodes.withColumn("_block", F.when(F.col("kind") == "span", F.regexp_extract("path", r"^(.*?)\.content\[\d+\](?:\.content\[\d+\])*$", 1)))
-    joined = inside.join(hit.select("doc_id", "_block", "_new"), ["doc_id", "_block"], "left")
+    joined = inside.join(growing(hit.select("doc_id", "_block", "_new")), ["doc_id", "_block"], "left")
     first = F.col("path") == F.concat("_block", F.lit(".content[0]"))
     # the first span becomes the text, the others go; numbers of rows after them keep their order
     kept = joined.where(F.col("_new").isNull() | first)
