@@ -8,9 +8,10 @@ task and nothing is exchanged.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +53,30 @@ def gathered(doc_id, nodes: list[dict], job: Job) -> dict:
     }
 
 
+#: Nodes that a task gives back at a time, a thousand bytes of payloads counting as one, and documents that it takes as objects at a time.
+NODES_AT_ONCE, DOCUMENTS_AT_ONCE = 5_000, 16
+
+
+def framed(rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
+    """Rows of gathered() as frames of bounded size: as objects, the nodes of a whole Arrow batch of documents would take gigabytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 1 + len(r["nodes"]) + sum(len(x["bytes"] or b"") for k in ("preserved", "assets") for x in r[k]) // 1000
+        if size >= NODES_AT_ONCE:
+            yield pd.DataFrame(held, columns=COLUMNS)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=COLUMNS)
+
+
 def imported(table: DataFrame, fmt: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of table; null text is an empty document."""
     reader = READERS[fmt]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([gathered(i, *reader(t)) for i, t in zip(batch["doc_id"], batch["text"], strict=True)], columns=COLUMNS)
+            yield from framed(gathered(i, *reader(t)) for i, t in zip(batch["doc_id"], batch["text"], strict=True))
 
     return spread(table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, SCHEMA)
 
@@ -84,21 +102,38 @@ def annotations_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline("annotations"))
 
 
-def _document(nodes, assets=(), preserved=(), title=None, language=None) -> Document:
-    rows = [n.asDict() if hasattr(n, "asDict") else dict(n) for n in nodes]
-    kept = {p["path"]: bytes(p["bytes"]) for p in preserved}
-    return Document(unflatten(rows), [dict(a) for a in assets], kept, title, language)
+def _document(r: dict) -> Document:
+    kept = {p["path"]: p["bytes"] for p in r.get("preserved") or []}
+    return Document(unflatten(r["nodes"] or []), r.get("assets") or [], kept, r.get("title"), r.get("language"))
+
+
+def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of Arrow batches as objects, few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+            yield batch.slice(at, DOCUMENTS_AT_ONCE).to_pylist()
+
+
+def _over(docs: DataFrame, made: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """The rows that made() gives for each imported document, of which portions() holds few at a time."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in portions(batches):
+            rows = [dict(zip(fields.names, row, strict=True)) for r in few for row in made(r)]
+            yield pa.RecordBatch.from_pylist(rows, schema=fields)
+
+    return docs.mapInArrow(run, schema)
 
 
 def plain_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, node_id, type, depth and text of all blocks of imported documents: cells by tabs, items and blocks by line ends."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(r.doc_id, n.get("node_id"), n["type"], depth, plain_block(n)) for r in batch.itertuples() for depth, n in _blocks(_document(r.nodes).nodes, 0)]
-            yield pd.DataFrame(rows, columns=["doc_id", "node_id", "type", "depth", "text"])
+    def made(r: dict) -> list[tuple]:
+        return [(r["doc_id"], n.get("node_id"), n["type"], depth, plain_block(n)) for depth, n in _blocks(_document(r).nodes, 0)]
 
-    return docs.select("doc_id", "nodes").mapInPandas(run, "doc_id long, node_id string, type string, depth int, text string")
+    return _over(docs.select("doc_id", "nodes"), made, "doc_id long, node_id string, type string, depth int, text string")
 
 
 def _blocks(nodes: list[dict], depth: int) -> Iterator[tuple[int, dict]]:
@@ -128,15 +163,11 @@ EXPORTED = "doc_id long, format string, output string, n_lost int"
 def exported(docs: DataFrame, fmt: str, **options) -> DataFrame:
     """doc_id, format, output and n_lost (losses that are not none) of imported documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                output, job = render(_document(r.nodes, r.assets, r.preserved, r.title, r.language), fmt, **options)
-                rows.append((r.doc_id, fmt, output, sum(e["loss_class"] != "none" for e in job.loss)))
-            yield pd.DataFrame(rows, columns=["doc_id", "format", "output", "n_lost"])
+    def made(r: dict) -> list[tuple]:
+        output, job = render(_document(r), fmt, **options)
+        return [(r["doc_id"], fmt, output, sum(e["loss_class"] != "none" for e in job.loss))]
 
-    return docs.mapInPandas(run, EXPORTED)
+    return _over(docs.select("doc_id", "title", "language", "nodes", "preserved", "assets"), made, EXPORTED)
 
 
 WRITTEN = "doc_id long, output string"
@@ -146,12 +177,7 @@ def written(docs: DataFrame, fmt: str) -> DataFrame:
     """doc_id and output of imported documents as JSON for another program: an editor document or a pandoc tree."""
     write = {"editor": lambda nodes, title: json.dumps(editor.to_editor(nodes), ensure_ascii=False), "pandoc": write_pandoc}[fmt]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [write(_document(r.nodes).nodes, r.title) for r in batch.itertuples()]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "output": made})
-
-    return docs.select("doc_id", "title", "nodes").mapInPandas(run, WRITTEN)
+    return _over(docs.select("doc_id", "title", "nodes"), lambda r: [(r["doc_id"], write(_document(r).nodes, r["title"]))], WRITTEN)
 
 
 def convert(table: DataFrame, source: str, target: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """What keeps the queries within their memory on tables much larger than the given ones."""
 
+import pyarrow as pa
 import pytest
 
 from parchment.plans import registry
+from parchment.sources import importers as I
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -12,3 +14,11 @@ def test_growing_sides_are_merged(spark, name):
     """No side of a join that grows with the documents is sent to the driver, however small Spark takes it to be."""
     plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_exports_hold_few_documents_as_objects():
+    """However many documents an Arrow batch holds, few of them are objects at a time, none is left out and their order stays."""
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i} for i in range(3 * I.DOCUMENTS_AT_ONCE + 1)])
+    found = list(I.portions([batch, batch.slice(0, 0), batch.slice(0, 2)]))
+    assert [len(x) for x in found] == [I.DOCUMENTS_AT_ONCE] * 3 + [1, 2]
+    assert [r["doc_id"] for x in found for r in x] == [*range(batch.num_rows), 0, 1]
