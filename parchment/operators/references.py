@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.assets import asset_id, data_uri
-from parchment.store import growing
+from parchment.store import discard, growing, materialise
 
 #: How well an exporter carries a type.
 SUPPORTED = (
@@ -58,20 +60,22 @@ def capability(nodes: DataFrame) -> DataFrame:
 def style_chain(styles: DataFrame, hops: int = 16) -> DataFrame:
     """styles(style, based_on, bold, font, size) -> effective values along based_on: a flag set anywhere, the nearest font and size.
 
-    A recursive query of at most hops steps; cycles end with it.
+    A join for each of at most hops steps, over the chains that go on; cycles end with it. Each step is written, so that it is read
+    and not run again; a recursive query would end in an error beyond a million rows.
     """
-    # the table is passed to the query, so no name is taken in the session
-    return styles.sparkSession.sql(
-        f"""
-        WITH RECURSIVE chain(style, at, based_on, depth, bold, font, size) MAX RECURSION LEVEL {hops + 2} AS (
-          SELECT style, style, based_on, 0, bold, font, size FROM {{styles}}
-          UNION ALL
-          SELECT c.style, s.style, s.based_on, c.depth + 1, s.bold, s.font, s.size FROM chain c JOIN {{styles}} s ON c.based_on = s.style WHERE c.depth < {hops - 1})
-        SELECT style, bool_or(bold) AS bold, min_by(font, CASE WHEN font IS NOT NULL THEN depth END) AS font,
-               min_by(size, CASE WHEN size IS NOT NULL THEN depth END) AS size, max(depth) + 1 AS hops
-        FROM chain GROUP BY style""",
-        styles=styles,
-    )
+    own = materialise(styles.select("style", "based_on", "bold", "font", "size"))
+    base = growing(own.withColumnRenamed("style", "_at").select("_at", *[F.col(c).alias(f"_{c}") for c in ("based_on", "bold", "font", "size")]))
+    steps = [own.withColumn("depth", F.lit(0))]
+    for depth in range(1, hops):
+        up = steps[-1].where("based_on is not null").join(base, F.col("based_on") == F.col("_at"))
+        step = materialise(up.select("style", *[F.col(f"_{c}").alias(c) for c in ("based_on", "bold", "font", "size")], F.lit(depth).alias("depth")))
+        if step.isEmpty():
+            discard(step)
+            break
+        steps.append(step)
+    near = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
+    chain = reduce(DataFrame.unionByName, steps)
+    return chain.groupBy("style").agg(F.bool_or("bold").alias("bold"), near("font"), near("size"), (F.max("depth") + 1).alias("hops"))
 
 
 def pair_ranges(events: DataFrame, doc: str = "doc_id", key: str = "key", at: str = "at", kind: str = "kind") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from parchment.plans import registry
 from parchment.sources import importers as I
+from parchment.tree import Job
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,3 +23,32 @@ def test_exports_hold_few_documents_as_objects():
     found = list(I.portions([batch, batch.slice(0, 0), batch.slice(0, 2)]))
     assert [len(x) for x in found] == [I.DOCUMENTS_AT_ONCE] * 3 + [1, 2]
     assert [r["doc_id"] for x in found for r in x] == [*range(batch.num_rows), 0, 1]
+
+
+def test_imports_give_back_frames_of_bounded_size():
+    """The nodes and payloads of few documents are one frame, and none is left out."""
+    nodes = [{"type": "paragraph", "content": [{"type": "text", "text": "a"}]}] * (I.NODES_AT_ONCE // 4)
+    heavy = Job(preserved=[{"path": "p", "origin": "o", "seq": 0, "bytes": bytes(2000 * I.NODES_AT_ONCE)}])
+    rows = [I.gathered(i, nodes, Job()) for i in range(5)] + [I.gathered(i, [], heavy) for i in range(5, 8)]
+    frames = list(I.framed(iter(rows)))
+    assert [len(f) for f in frames] == [2, 2, 2, 1, 1]
+    assert [i for f in frames for i in f["doc_id"]] == list(range(8))
+
+
+def test_style_chains_have_no_row_limit(spark):
+    """Spark ends recursive queries in an error beyond a number of rows; chains and cycles are followed for sixteen steps all the same."""
+    from parchment.operators.references import style_chain
+
+    rows = [(i, i - 1 if i % 20 else None, i % 20 == 1, "f" if i % 20 == 3 else None, i) for i in range(60)] + [(100, 101, False, None, None), (101, 100, True, "g", None)]
+    key = "spark.sql.cteRecursionRowLimit"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        found = {r.style: r for r in style_chain(spark.createDataFrame(rows, "style int, based_on int, bold boolean, font string, size int")).collect()}
+    finally:
+        spark.conf.set(key, was)
+    assert len(found) == 62
+    assert (found[20].hops, found[20].bold, found[20].font, found[20].size) == (1, False, None, 20)
+    assert (found[25].hops, found[25].bold, found[25].font, found[25].size) == (6, True, "f", 25)
+    assert (found[59].hops, found[59].bold, found[59].font) == (16, False, None)
+    assert (found[100].hops, found[100].bold, found[100].font, found[100].size) == (16, True, "g", None)
