@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.sources.docx import Package, Styles, attr, child, local, resolve
+from parchment.store import growing, spread
 
 #: The namespaces of word-processing packages.
 NAMESPACES = {
@@ -51,7 +52,7 @@ def zipped(table: DataFrame, parts: dict[str, Column], doc_id: str = "doc_id") -
                 made.append(held.getvalue())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "content": made})
 
-    return given.mapInPandas(run, "doc_id long, content binary")
+    return spread(given).mapInPandas(run, "doc_id long, content binary")
 
 
 PARTS = (
@@ -129,7 +130,7 @@ def parts_of(files: DataFrame, doc_id: str = "doc_id", content: str = "content")
                     rows.append({"doc_id": i, "error": str(e)[:200] or type(e).__name__})
             yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
 
-    return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, PARTS)
+    return spread(files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content"))).mapInPandas(run, PARTS)
 
 
 def rows(packages: DataFrame, column: str) -> DataFrame:
@@ -142,24 +143,24 @@ def content_types(packages: DataFrame) -> DataFrame:
     names = packages.select("doc_id", F.explode("names").alias("part")).withColumn("extension", F.lower(F.regexp_extract("part", r"\.([^./]*)$", 1)))
     own = rows(packages, "overrides").withColumnRenamed("content_type", "_own")
     default = rows(packages, "defaults").withColumnRenamed("content_type", "_default")
-    return names.join(own, ["doc_id", "part"], "left").join(default, ["doc_id", "extension"], "left").select("doc_id", "part", F.coalesce("_own", "_default").alias("content_type"))
+    return names.join(growing(own), ["doc_id", "part"], "left").join(growing(default), ["doc_id", "extension"], "left").select("doc_id", "part", F.coalesce("_own", "_default").alias("content_type"))
 
 
 def numbering(packages: DataFrame) -> DataFrame:
     """doc_id, num_id, abstract_id, ilvl, fmt, start: the levels of every number, through its abstract definition."""
-    return rows(packages, "numbers").join(rows(packages, "levels"), ["doc_id", "abstract_id"])
+    return rows(packages, "numbers").join(growing(rows(packages, "levels")), ["doc_id", "abstract_id"])
 
 
 def numbered_paragraphs(packages: DataFrame) -> DataFrame:
     """doc_id, ord, num_id, ilvl, fmt, start of paragraphs with a number; a level that is not defined leaves fmt and start null."""
     given = rows(packages, "paragraphs").where("num_id is not null").select("doc_id", "ord", "num_id", "ilvl")
-    return given.join(numbering(packages).drop("abstract_id"), ["doc_id", "num_id", "ilvl"], "left")
+    return given.join(growing(numbering(packages).drop("abstract_id")), ["doc_id", "num_id", "ilvl"], "left")
 
 
 def commented_paragraphs(packages: DataFrame) -> DataFrame:
     """doc_id, ord, comment, author, text of paragraphs in which a comment begins; one that is not defined leaves author and text null."""
     given = rows(packages, "paragraphs").where("comment is not null").select("doc_id", "ord", "comment")
-    return given.join(rows(packages, "comments").withColumnRenamed("id", "comment"), ["doc_id", "comment"], "left")
+    return given.join(growing(rows(packages, "comments").withColumnRenamed("id", "comment")), ["doc_id", "comment"], "left")
 
 
 def targets(packages: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def targets(packages: DataFrame) -> DataFrame:
     resolved = F.udf(lambda base, target: resolve(base, target) if target else None, "string")  # few rows, one for each relationship
     rels = rows(packages, "rels").withColumn("part", F.when(~F.col("external"), resolved("part", "target")))
     names = packages.select("doc_id", F.explode("names").alias("part"), F.lit(True).alias("_held"))
-    return rels.join(names, ["doc_id", "part"], "left").select("doc_id", "id", "type", "target", "external", F.when(F.col("_held"), F.col("part")).alias("part"))
+    return rels.join(growing(names), ["doc_id", "part"], "left").select("doc_id", "id", "type", "target", "external", F.when(F.col("_held"), F.col("part")).alias("part"))
 
 
 def theme(packages: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def theme(packages: DataFrame) -> DataFrame:
     """
     styles = rows(packages, "styles")
     used = rows(packages, "paragraphs").where("style is not null").groupBy("doc_id", "style").agg(F.count("*").alias("uses"))
-    at = used.join(styles.select("doc_id", "style", "name"), ["doc_id", "style"]).select("doc_id", "style", "uses", "name", F.col("style").alias("_at"))
+    at = used.join(growing(styles.select("doc_id", "style", "name")), ["doc_id", "style"]).select("doc_id", "style", "uses", "name", F.col("style").alias("_at"))
     table = packages.select("doc_id", F.map_from_entries(F.transform("styles", lambda x: F.struct(x["style"], x))).alias("_styles"))
     # a package's styles ride along as one map, so the chain is followed within the row
     chain = F.aggregate(
@@ -188,7 +189,7 @@ def theme(packages: DataFrame) -> DataFrame:
             F.coalesce(c["font"], F.try_element_at("_styles", c["at"])["font"]).alias("font"), F.coalesce(c["size"], F.try_element_at("_styles", c["at"])["size"]).alias("size"),
         ),
     )
-    return at.join(table, "doc_id").select("doc_id", "style", "uses", "name", chain.alias("c")).select("doc_id", "style", "uses", "name", "c.bold", "c.font", "c.size")
+    return at.join(growing(table), "doc_id").select("doc_id", "style", "uses", "name", chain.alias("c")).select("doc_id", "style", "uses", "name", "c.bold", "c.font", "c.size")
 
 
 def theme_json(found: DataFrame) -> DataFrame:

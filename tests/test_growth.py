@@ -52,3 +52,19 @@ def test_style_chains_have_no_row_limit(spark):
     assert (found[25].hops, found[25].bold, found[25].font, found[25].size) == (6, True, "f", 25)
     assert (found[59].hops, found[59].bold, found[59].font) == (16, False, None)
     assert (found[100].hops, found[100].bold, found[100].font, found[100].size) == (16, True, "g", None)
+
+
+def test_packages_are_dealt_over_all_cores(spark, tmp_path):
+    """Packing, reading parts and importing take a core much longer than reading, so a table in one file is dealt out, and once."""
+    from pyspark.sql import functions as F
+
+    from parchment.sources import ooxml as O
+    from parchment.sources.docx import imported_docx
+
+    rows = spark.range(0, 60_000, 1, 1).select("id", F.concat_ws(" ", *[F.sha2(F.concat(F.col("id"), F.lit(i)), 256) for i in range(2)]).alias("text"))
+    rows.write.parquet(str(tmp_path / "t"))
+    made = O.zipped(spark.read.parquet(str(tmp_path / "t")), {"word/document.xml": O.document(F.col("text"))}, "id")
+    for found in (made, O.parts_of(made), imported_docx(made)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition ") == 1
+    made.limit(50).coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert imported_docx(spark.read.parquet(str(tmp_path / "p"))).count() == 50
