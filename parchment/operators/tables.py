@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.store import growing
+
 KEY = ("doc_id", "table")
 
 
@@ -23,7 +25,7 @@ def cells(nodes: DataFrame) -> DataFrame:
     inside = nodes.where("kind = 'span' and text is not null").withColumn("cell", F.regexp_extract("path", r"^(.*\.cells\[\d+\])", 1)).where("cell <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")
     texts = inside.groupBy("doc_id", "cell").agg(joined.alias("text"))
-    return own.join(texts, ["doc_id", "cell"], "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("cell")
+    return own.join(growing(texts), ["doc_id", "cell"], "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("cell")
 
 
 def widths(cells: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def insert(cells: DataFrame, axis: str, at: int) -> DataFrame:
     moved = cells.withColumn(span, F.when(across, F.col(span) + 1).otherwise(F.col(span))).withColumns(_shift(axis, at, 1))
     covered = cells.where(across).select(*KEY, F.explode(F.sequence(F.col(other), F.col(other) + F.col(f"{other}_span") - 1)).alias(other)).distinct()
     every = cells.select(*KEY, F.explode(F.sequence(F.col(other), F.col(other) + F.col(f"{other}_span") - 1)).alias(other)).distinct()
-    new = every.join(covered, [*KEY, other], "left_anti").select(
+    new = every.join(growing(covered), [*KEY, other], "left_anti").select(
         *KEY, *[{axis: F.lit(at).alias(axis), other: F.col(other), "row_span": F.lit(1).alias("row_span"), "col_span": F.lit(1).alias("col_span")}[c] for c in ("row", "col", "row_span", "col_span")],
         F.lit("data").alias("role"), F.lit("").alias("text"),
     )
