@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.store import growing
+
 LEVELS = range(1, 7)
 
 
@@ -70,10 +72,10 @@ def outline(nodes: DataFrame) -> DataFrame:
     heads = nodes.where("type = 'heading'").select("doc_id", F.col("seq").alias("top"), "level")
     below = nodes.where("kind = 'span' and type in ('text', 'code')").select("doc_id", "seq", "path", "text")
     paths = nodes.where("type = 'heading'").select("doc_id", F.col("seq").alias("top"), F.col("path").alias("head"))
-    joined = below.withColumn("head", F.regexp_extract("path", r"^(.*?)\.content\[\d+\](?:\.content\[\d+\])*$", 1)).join(paths, ["doc_id", "head"])
+    joined = below.withColumn("head", F.regexp_extract("path", r"^(.*?)\.content\[\d+\](?:\.content\[\d+\])*$", 1)).join(growing(paths), ["doc_id", "head"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")
     texts = joined.groupBy("doc_id", "top").agg(text.alias("text"))
-    return heads.join(texts, ["doc_id", "top"], "left").select("doc_id", F.col("top").alias("seq"), "level", F.coalesce("text", F.lit("")).alias("text"))
+    return heads.join(growing(texts), ["doc_id", "top"], "left").select("doc_id", F.col("top").alias("seq"), "level", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def plain_spans(nodes: DataFrame) -> DataFrame:
@@ -92,14 +94,14 @@ def list_items(nodes: DataFrame) -> DataFrame:
     items = nodes.where("type = 'item'").select("doc_id", F.regexp_replace("path", r"\.items\[\d+\]$", "").alias("list"), "ord", "checked")
     lists = nodes.where("type = 'list'").select("doc_id", F.col("path").alias("list"), "style", "start")
     number = F.concat((F.coalesce("start", F.lit(1)) + F.col("ord")).cast("string"), F.lit(". "))
-    return items.join(lists, ["doc_id", "list"]).withColumn("marker", F.when(F.col("style") == "ordered", number).otherwise("- "))
+    return items.join(growing(lists), ["doc_id", "list"]).withColumn("marker", F.when(F.col("style") == "ordered", number).otherwise("- "))
 
 
 def lone(nodes: DataFrame, kind: str) -> DataFrame:
     """doc_id, path and lone: whether a paragraph, blank text aside, holds one span of that kind and nothing else."""
     span = nodes.where("kind = 'span'").select("doc_id", F.col("parent_seq").alias("seq"), "type", F.coalesce(F.trim("text"), F.lit("")).alias("text"))
     solid = span.groupBy("doc_id", "seq").agg(F.count_if(F.col("type") == kind).alias("n"), F.count_if((F.col("type") != "text") | (F.col("text") != "")).alias("all"))
-    found = nodes.where("type = 'paragraph'").select("doc_id", "seq", "path").join(solid, ["doc_id", "seq"], "left")
+    found = nodes.where("type = 'paragraph'").select("doc_id", "seq", "path").join(growing(solid), ["doc_id", "seq"], "left")
     return found.select("doc_id", "path", F.coalesce((F.col("n") == 1) & (F.col("all") == 1), F.lit(False)).alias("lone"))
 
 
