@@ -11,6 +11,7 @@ from parchment.plans.catalog import query, table
 from parchment.sources import importers as I
 from parchment.sources import ooxml as O
 from parchment.sources.docx import imported_docx
+from parchment.store import materialise
 
 
 def _p(text: str, properties: str = "", run: str = "") -> str:
@@ -156,7 +157,7 @@ STYLED = ", ".join([_p("p_name", '<w:pStyle w:val="Note"/>'), _p("p_type", '<w:p
     """SELECT p_partkey AS doc_id, unnest(['Note', 'Loud']) AS style, unnest([2, 1]) AS uses, unnest([p_name, 'Loud']) AS name, unnest([true, true]) AS bold, unnest([p_type, p_type]) AS font, unnest([15.0, CAST(p_size AS DOUBLE)]) AS size FROM part""",
 )
 def sk20(s, d):
-    made = O.theme_json(O.theme(O.parts_of(_packages(s, d, STYLED, styles=STYLES))))
+    made = O.theme_json(O.theme(materialise(O.parts_of(_packages(s, d, STYLED, styles=STYLES)))))
     one = "array<struct<style:string,uses:bigint,name:string,bold:boolean,font:string,size:double>>"
     return made.select("doc_id", F.inline(F.from_json(F.get_json_object("theme", "$.styles"), one)))
 
@@ -225,7 +226,7 @@ def mp15(s, d):
 
 @query("mp15_docx_lists", "SELECT p_partkey AS doc_id, unnest(['content[0]', 'content[0]', 'content[0].items[0].children[1]', 'content[2]']) AS list, unnest([0, 1, 0, 0]) AS ord, unnest(['ordered', 'ordered', 'bullet', 'ordered']) AS style, unnest([nullif(p_size, 1), nullif(p_size, 1), NULL, NULL]) AS start FROM part")
 def mp15b(s, d):
-    return S.list_items(I.nodes_of(_read(s, d, LISTED, numbering=NUMBERING))).select("doc_id", "list", "ord", "style", "start")
+    return S.list_items(materialise(I.nodes_of(_read(s, d, LISTED, numbering=NUMBERING)))).select("doc_id", "list", "ord", "style", "start")
 
 
 @query("mp16_page_setup", "SELECT p_partkey AS doc_id, 10.0 * p_size AS width, 72.0 AS height, 36.0 AS left_margin, 72.0 AS top_margin FROM part")
@@ -336,7 +337,7 @@ DOCX_TABLE = f"""'<w:tbl><w:tblGrid><w:gridCol w:w="1000"/><w:gridCol w:w="3000"
        unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS text FROM part""",
 )
 def mp25(s, d):
-    return T.cells(I.nodes_of(_read(s, d, DOCX_TABLE))).drop("table")
+    return T.cells(materialise(I.nodes_of(_read(s, d, DOCX_TABLE)))).drop("table")
 
 
 @query("mp25_column_widths", "SELECT p_partkey AS doc_id, unnest([0, 1]) AS ord, unnest([p_name, NULL]) AS title, unnest([0.25, 0.75]) AS width FROM part")

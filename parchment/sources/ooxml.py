@@ -7,10 +7,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.sources.docx import Package, Styles, attr, child, local, resolve
+from parchment.sources.importers import NODES_AT_ONCE, portions
 from parchment.store import growing, spread
 
 #: The namespaces of word-processing packages.
@@ -41,18 +43,19 @@ def zipped(table: DataFrame, parts: dict[str, Column], doc_id: str = "doc_id") -
     entries = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("binary").alias("bytes")) for n, c in parts.items()])
     given = table.select(F.col(doc_id).cast("long").alias("doc_id"), F.filter(entries, lambda e: e["bytes"].isNotNull()).alias("entries"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(entries: list[dict]) -> bytes:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for e in entries:
+                z.writestr(zipfile.ZipInfo(e["name"]), e["bytes"])
+        return held.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for entries in batch["entries"]:
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    for e in entries:
-                        z.writestr(zipfile.ZipInfo(e["name"]), bytes(e["bytes"]))
-                made.append(held.getvalue())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": made})
+            made = [pack(r["entries"]) for few in portions([batch]) for r in few]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made, pa.binary())], ["doc_id", "content"])
 
-    return spread(given).mapInPandas(run, "doc_id long, content binary")
+    return spread(given).mapInArrow(run, "doc_id long, content binary")
 
 
 PARTS = (
@@ -118,17 +121,25 @@ def read_parts(data: bytes) -> dict:
 def parts_of(files: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
     """One row for each package with its lookups as arrays; a package that cannot be read has an error and nothing else."""
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from parchment.sources.docx import UNREADABLE
 
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for i, data in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
                     rows.append({"doc_id": i, **read_parts(bytes(data or b""))})
                 except UNREADABLE as e:
                     rows.append({"doc_id": i, "error": str(e)[:200] or type(e).__name__})
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
+                size += 1 + sum(len(x) for x in rows[-1].values() if isinstance(x, list))
+                if size >= NODES_AT_ONCE:
+                    yield frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield frame(rows)
 
     return spread(files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("content"))).mapInPandas(run, PARTS)
 

@@ -10,7 +10,7 @@ from parchment.tree import Job
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["cm17_relocated_layer", "cm18_verify_all", "cm15_annotations", "se4_issue_union", "jn9_moved_quotes", "cm15_commits", "mp25_docx_tables", "mp15_docx_lists"])
+@pytest.mark.parametrize("name", ["cm17_relocated_layer", "cm18_verify_all", "cm15_annotations", "se4_issue_union", "jn9_moved_quotes", "cm15_commits", "mp25_docx_tables", "mp15_docx_lists", "sk20_theme"])
 def test_growing_sides_are_merged(spark, name):
     """No side of a join that grows with the documents is sent to the driver, however small Spark takes it to be."""
     plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
