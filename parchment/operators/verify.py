@@ -12,7 +12,7 @@ from parchment.operators import references as R
 from parchment.operators import revisions as V
 from parchment.operators.loss import consistent
 from parchment.operators.validate import check_content, totals
-from parchment.store import growing
+from parchment.store import growing, materialise
 
 #: Where a container's own files lie; entries elsewhere are reported and kept.
 KNOWN = ("manifest.json", "content/", "presentation/", "semantics/", "assets/", "revisions/", "compatibility/", "reports/", "preserved/", "publications/")
@@ -37,7 +37,11 @@ def verify(
     entries: DataFrame, layers: DataFrame, nodes: DataFrame, assets: DataFrame, annotations: DataFrame, blocks: DataFrame, revisions: DataFrame, manifest: DataFrame,
     snapshots: DataFrame, publications: DataFrame, reports: DataFrame,
 ) -> DataFrame:
-    """All issues of all documents: doc_id, level, code, path. Each step is a DataFrame; nothing comes to the driver."""
+    """All issues of all documents: doc_id, level, code, path. Nothing comes to the driver.
+
+    Each step is written by itself: as one plan, all of them have some eighty stages, which the driver plans anew after each of them
+    and compiles together, and its memory then grows with the plan and not with the tables.
+    """
 
     def of(found: DataFrame, level: str) -> DataFrame:
         path = F.col("path") if "path" in found.columns else F.lit(None).cast("string")
@@ -54,7 +58,7 @@ def verify(
         of(consistent(reports).where("not consistent").withColumn("code", F.lit("report_inconsistent")), "warning"),
         of(unknown_entries(entries), "info"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [materialise(p) for p in parts])
 
 
 def verdicts(issues: DataFrame, docs: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def _verified(s, d):
     strange = base.where(n(9)).select("doc_id", F.lit("strange.bin").alias("name"), F.lit(b"x").alias("bytes"))
     artifact = base.where(~n(10)).select("doc_id", F.lit("publications/p.pdf").alias("name"), F.lit(b"pdf").alias("bytes"))
     assets = I.assets_of(docs).where(~n(5)).select("doc_id", "asset_id").unionByName(base.where(n(4)).select("doc_id", F.lit("as_X").alias("asset_id")))
-    blocks = M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "text")
+    blocks = materialise(M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "text"))
     quotes = blocks.select("doc_id", F.lit("ann").alias("annotation_id"), F.col("node_id").alias("target_block"), F.when(n(7), "absent").otherwise(F.col("text")).alias("exact"))
     chain = base.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rev")).select("doc_id", "rev", F.when(F.col("rev") == 2, 1).alias("parent"), F.lit("human").alias("author_type"), F.sha2(F.col("rev").cast("string"), 256).alias("sha256"))
     snapshots = chain.select("doc_id", "rev", F.when(n(6) & (F.col("rev") == 2), "tampered").otherwise(F.col("rev").cast("string")).alias("content"))

@@ -68,3 +68,9 @@ def test_packages_are_dealt_over_all_cores(spark, tmp_path):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition ") == 1
     made.limit(50).coalesce(1).write.parquet(str(tmp_path / "p"))
     assert imported_docx(spark.read.parquet(str(tmp_path / "p"))).count() == 50
+
+
+def test_verification_is_not_one_plan(spark):
+    """The driver's memory grows with the stages of a plan, so each step of verification is written by itself and few joins stand in one plan."""
+    plan = registry.queries()["se4_issue_union"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Join") < 4
