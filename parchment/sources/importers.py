@@ -180,21 +180,24 @@ def written(docs: DataFrame, fmt: str) -> DataFrame:
     return _over(docs.select("doc_id", "title", "nodes"), lambda r: [(r["doc_id"], write(_document(r).nodes, r["title"]))], WRITTEN)
 
 
-def convert(table: DataFrame, source: str, target: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Import and export in one task: text never leaves it as a tree."""
+CONVERTED = f"{EXPORTED}, n_unread int"
+
+
+def convert(table: DataFrame, source: str, target: str, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Import and export in one Python step: a tree never leaves it, and few documents are held at a time.
+
+    n_lost counts the losses of both ways, n_unread those of the import among them; options are those of the export.
+    """
     reader = READERS[source]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                nodes, job = reader(t)
-                doc = Document(nodes, job.assets, {p["path"]: p["bytes"] for p in job.preserved}, job.title, job.language)
-                output, lost = render(doc, target)
-                rows.append((i, target, output, sum(e["loss_class"] != "none" for e in job.loss + lost.loss)))
-            yield pd.DataFrame(rows, columns=["doc_id", "format", "output", "n_lost"])
-
-    return spread(table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, EXPORTED)
+    def made(r: dict) -> list[tuple]:
+        nodes, job = reader(r["text"])
+        doc = Document(nodes, job.assets, {p["path"]: p["bytes"] for p in job.preserved}, job.title, job.language)
+        output, lost = render(doc, target, **options)
+        unread, unshown = (sum(e["loss_class"] != "none" for e in j.loss) for j in (job, lost))
+        return [(r["doc_id"], target, output, unread + unshown, unread)]
+
+    return _over(spread(table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))), made, CONVERTED)
 
 
 def render_nodes(nodes: DataFrame, fmt: str) -> DataFrame:

@@ -25,6 +25,25 @@ def test_exports_hold_few_documents_as_objects():
     assert [r["doc_id"] for x in found for r in x] == [*range(batch.num_rows), 0, 1]
 
 
+def test_marked_exports_take_one_python_step(spark):
+    """Where two Python steps are chained, an executor has twice as many Python workers, and all nodes of all documents pass between them."""
+    plan = registry.queries()["sk9_export_html_marked"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") + plan.count("MapInArrow") == 1
+
+
+def test_conversion_is_import_and_export(spark):
+    """Import and export in one step give what they give one after the other, documents without text included."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").selectExpr("page_id AS doc_id", "html AS text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, '<p>a<img src="data:image/png;base64,QUJD">&amp<custom x="1">b</custom>'), (None, "<h1>c</h1>")], "doc_id long, text string"))
+    docs = I.imported(pages, "html")
+    unread = {r.doc_id: r.n for r in docs.selectExpr("doc_id", "size(filter(loss, e -> e.loss_class <> 'none')) AS n").collect()}
+    for target, options in (("html", {"marked": True}), ("html", {}), ("text", {}), ("markdown", {})):
+        own = {r.doc_id: r for r in I.convert(pages, "html", target, **options).collect()}
+        apart = {r.doc_id: r for r in I.exported(docs, target, **options).collect()}
+        assert own.keys() == apart.keys() == unread.keys() and len(own) > 20
+        for i, r in apart.items():
+            assert (own[i].output, own[i].n_lost, own[i].n_unread) == (r.output, r.n_lost + unread[i], unread[i])
+
+
 def test_imports_give_back_frames_of_bounded_size():
     """The nodes and payloads of few documents are one frame, and none is left out."""
     nodes = [{"type": "paragraph", "content": [{"type": "text", "text": "a"}]}] * (I.NODES_AT_ONCE // 4)
