@@ -217,7 +217,7 @@ def sc8(s, d):
 def _moved(s, d):
     """Documents whose quote stands in its block, in one other block, in two others, or nowhere."""
     nodes = materialise(I.nodes_of(_read(s, d, "markdown", r"""concat(CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'one' END, '\n\n', CASE WHEN p_partkey % 4 IN (1, 2) THEN p_name ELSE 'two' END, '\n\n', CASE WHEN p_partkey % 4 = 2 THEN p_name ELSE 'three' END)""")))
-    blocks = M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "seq", "text")
+    blocks = materialise(M.listing(nodes).select("doc_id", F.col("target_block").alias("node_id"), "seq", "text"))
     first = blocks.groupBy("doc_id").agg(F.min_by("node_id", "seq").alias("target_block"))
     names = table(s, d, "part", F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("exact"))
     return first.join(growing(names), "doc_id").select("doc_id", F.lit("ann").alias("annotation_id"), "target_block", "exact", F.lit("").alias("prefix"), F.lit("").alias("suffix")), blocks

@@ -89,6 +89,13 @@ def test_packages_are_dealt_over_all_cores(spark, tmp_path):
     assert imported_docx(spark.read.parquet(str(tmp_path / "p"))).count() == 50
 
 
+@pytest.mark.parametrize("name, most", [("jn9_moved_quotes", 7), ("cm17_relocated_layer", 6)])
+def test_listings_are_made_once(spark, name, most):
+    """A listing of blocks that several joins read is written, so that its own join and texts are not repeated in the plan for each of them."""
+    plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Join") <= most and "collect_list" not in plan
+
+
 def test_verification_is_not_one_plan(spark):
     """The driver's memory grows with the stages of a plan, so each step of verification is written by itself and few joins stand in one plan."""
     plan = registry.queries()["se4_issue_union"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
