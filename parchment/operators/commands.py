@@ -16,7 +16,7 @@ from parchment.operators.render import Document, render
 from parchment.schemas import LOSS_CLASSES
 from parchment.sources.container import entries, pack
 from parchment.sources.importers import READERS
-from parchment.store import growing, spread
+from parchment.store import growing, materialise, spread
 from parchment.tree import Job
 
 CONTENT, REVISIONS, REPORT, CACHE = "content/content.json", "revisions/revisions.json", "reports/import-0001.json", "compat/document.txt"
@@ -132,8 +132,9 @@ def model_pipeline(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Annotations that pass the guards, and a revision for each rewrite that changes its block: doc_id, rev, parent, target_block, text.
 
     Guards: the block exists and is a paragraph, the quote stands in it, the confidence is in 0..1. Revision 1 is the import.
+    The listing is written, as several joins read it.
     """
-    listed = listing(nodes)
+    listed = materialise(listing(nodes))
     annotations, rewrites = proposed(listed)
     blocks = listed.select("doc_id", F.col("target_block").alias("node_id"), "text", "type")
     kept = guarded(annotations, blocks).select("doc_id", "target_block", "exact")

@@ -89,7 +89,7 @@ def test_packages_are_dealt_over_all_cores(spark, tmp_path):
     assert imported_docx(spark.read.parquet(str(tmp_path / "p"))).count() == 50
 
 
-@pytest.mark.parametrize("name, most", [("jn9_moved_quotes", 7), ("cm17_relocated_layer", 6)])
+@pytest.mark.parametrize("name, most", [("jn9_moved_quotes", 7), ("cm17_relocated_layer", 6), ("cm15_commits", 1), ("cm15_annotations", 1)])
 def test_listings_are_made_once(spark, name, most):
     """A listing of blocks that several joins read is written, so that its own join and texts are not repeated in the plan for each of them."""
     plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
