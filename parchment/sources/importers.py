@@ -22,7 +22,7 @@ from parchment.sources.html import read_html
 from parchment.sources.markdown import read_markdown
 from parchment.sources.pandoc import read_pandoc, write_pandoc
 from parchment.sources.sanitize import sanitize_paste
-from parchment.store import spread
+from parchment.store import small_batches, spread
 from parchment.tree import STRUCTS, Job, flatten, plain_block, unflatten
 
 READERS: dict[str, Callable[[str], tuple[list[dict], Job]]] = {
@@ -189,6 +189,7 @@ def convert(table: DataFrame, source: str, target: str, doc_id: str = "doc_id",
     n_lost counts the losses of both ways, n_unread those of the import among them; options are those of the export.
     """
     reader = READERS[source]
+    small_batches(table.sparkSession)
 
     def made(r: dict) -> list[tuple]:
         nodes, job = reader(r["text"])
